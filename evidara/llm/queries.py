@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, ngram_lm, packing, pivot_search, quality, simhash, token_ledger, toxicity
+from . import chat, neighbours, ngram_lm, packing, pivot_search, quality, simhash, token_ledger, toxicity
 from .common import cut, drop_shared_dir, new_shared_dir, table
 
 #: The vocabulary file's name in the folder of public tokenizers.
@@ -29,6 +29,10 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +85,7 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_ngram_lm": op2_ngram_lm,
+    "op4_neighbours": op4_neighbours,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
