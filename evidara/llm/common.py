@@ -96,16 +96,16 @@ def map_file(uri: str, name: str):
         return mmap.mmap(own.fileno(), 0, access=mmap.ACCESS_READ) if own.tell() else b""
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each part holds about SLICE_BYTES of text, one document at least."""
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each part holds about size bytes of text, one document at least."""
     import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // size
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, neighbours, ngram_lm, packing, pivot_search, quality, simhash, token_ledger, toxicity
+from . import chat, neighbours, ngram_lm, packing, piece_sampling, pivot_search, quality, simhash, token_ledger, toxicity
 from .common import cut, drop_shared_dir, new_shared_dir, table
 
 #: The vocabulary file's name in the folder of public tokenizers.
 PACK_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +30,10 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), with_ids=False)
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -85,6 +90,7 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_ngram_lm": op2_ngram_lm,
+    "op3_piece_sampling": op3_piece_sampling,
     "op4_neighbours": op4_neighbours,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
