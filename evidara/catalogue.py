@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import cases_graph, cases_text  # noqa: F401  registers its queries
+from .plans import cases_evaluation, cases_graph, cases_retrieval, cases_text  # noqa: F401  registers its queries
 from .plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "clean_text"
+FLAGSHIP = "qa_search"
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

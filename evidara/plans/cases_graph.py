@@ -280,3 +280,25 @@ def entity_link(spark, d):
     text = F.when(n == 0, norm("p_name")).when(n == 1, norm("p_brand")).otherwise("unknown thing")
     phrases = parts.filter("p_partkey <= 60").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("phrase_id"), text.alias("norm"), F.lit("Treatment").alias("entity_type"))
     return link_phrases(phrases, entities).select("phrase_id", "status", "entity_id", "match_score")
+
+
+_NAMES = (
+    (1, "Treatment", "رياضة"), (2, "Treatment", "اسبرين"), (3, "Symptom", "التهاب الحلق"), (4, "Treatment", "علاج التهاب"), (5, "Test", "صداع"), (6, "DiseaseCondition", "حمى"), (7, "Treatment", "مضاد هيستامين"), (8, "Treatment", "مرهم موضعي"),
+    (9, "Symptom", "العين"), (10, "DiseaseCondition", "مرض"),
+)
+
+
+@case(
+    "entity_rules",
+    f"""WITH n AS (SELECT * FROM (VALUES {", ".join(str(x) for x in _NAMES)}) v(id, kind, name))
+    SELECT id, CASE WHEN name = 'اسبرين' THEN 'الأسبرين' WHEN kind = 'Treatment' AND name LIKE 'مضاد ه%' THEN 'مضاد الهيستامين' ELSE name END AS canonical,
+        CASE WHEN name = 'حمى' OR name = 'صداع' THEN 'Symptom' WHEN contains(name, 'تهاب') AND NOT regexp_matches(name, 'علاج|دواء|مضاد|مرهم') THEN 'DiseaseCondition' ELSE kind END AS entity_type,
+        CASE WHEN kind = 'Treatment' AND name IN ('رياضة', 'الرياضة', 'جرعة') THEN 'low' WHEN kind = 'Treatment' AND NOT contains(name, ' ') THEN 'medium' ELSE 'high' END AS quality,
+        CASE name WHEN 'العين' THEN 'body_part' WHEN 'مرض' THEN 'generic' END AS rejection FROM n""",
+)
+def entity_rules(spark, d):
+    from ..operators import entity_rules as er
+
+    rows = spark.createDataFrame(list(_NAMES), "id int, kind string, name string").withColumn("aliases", F.array().cast("array<string>"))
+    k, n, a = F.col("kind"), F.col("name"), F.col("aliases")
+    return rows.select("id", er.canonical(k, n, a).alias("canonical"), er.corrected_type(k, n, a).alias("entity_type"), er.quality(k, n, a).alias("quality"), er.rejection(n).alias("rejection"))
