@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import release
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds (null for a null id)."""
@@ -39,7 +41,9 @@ def partition_sum(df: DataFrame, size: int, part: Callable[[pa.RecordBatch], np.
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
 
     sums = df.mapInArrow(add, "slot long, total binary").repartition(slots, "slot").select("total").mapInArrow(merge, "total binary")
-    return sum((np.frombuffer(r["total"]) for r in sums.collect()), np.zeros(size))
+    total = sum((np.frombuffer(r["total"]) for r in sums.collect()), np.zeros(size))
+    release(df.sparkSession)
+    return total
 
 
 class Isotonic:

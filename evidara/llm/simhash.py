@@ -28,6 +28,8 @@ RADIUS = 3
 SHINGLE_WORDS = 3
 #: Fingerprints in a tile: a pair of tiles takes some 70 KB of rows, its comparison under 30 MB.
 TILE = 4096
+#: Edges that one task may label; more are labelled by joins.
+FEW_EDGES = 1_000_000
 _STEP = 256
 
 
@@ -164,10 +166,43 @@ def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return loaded.mapInArrow(compare, "u long, v long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (its smallest reachable node) for the nodes of edges (u, v), by large-star and small-star steps."""
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and the smallest node that each reaches."""
+    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = back[: len(u)], back[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], low)
+        np.minimum.at(after, label[b], low)
+        while not np.array_equal(up := after[after], after):
+            after = up
+        if np.array_equal(after, label):
+            return nodes, nodes[label]
+        label = after
+
+
+def _components_of_few(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            nodes, least = least_reachable(*(np.concatenate(x) for x in zip(*parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["node", "component"])
+
+    return edges.repartition(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
+    """node, component (its smallest reachable node) for the nodes of edges (u, v).
+
+    Up to few edges one executor task labels them (few * 16 bytes, a fixed bound); more go through large-star and small-star steps, whose tasks hold no group.
+    """
     spark = edges.sparkSession
-    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    if now.count() <= few:
+        return _components_of_few(now)
+    now = cut(now.distinct())
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
