@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NEAR = 0.92
 IDENTITY_FLOOR = 0.90
@@ -17,9 +17,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-@F.pandas_udf("double")
-def matching_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def matching_ratio(left: Column, right: Column) -> Column:
     """2 * matched characters / all characters by longest matching blocks."""
+    return F.pandas_udf(_matching_ratio, T.DoubleType())(left, right)
+
+
+def _matching_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         matcher, out = SequenceMatcher(None), []
         for a, b in zip(left, right):
@@ -46,13 +49,16 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, floor: float, by: str | None
     lengths = a.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") / reach).cast("int"), F.floor(F.col("n") * reach).cast("int"))))
     pairs = lengths.join(b, "m").filter(ratio_bound(F.col("left"), F.col("right")) >= floor)
     same = pairs.filter("left = right").select("left", "right", F.lit(1.0).alias("ratio"))
-    other = pairs.filter("left <> right").select("left", "right", matching_ratio("left", "right").alias("ratio"))
+    other = pairs.filter("left <> right").select("left", "right", matching_ratio(F.col("left"), F.col("right")).alias("ratio"))
     return same.unionByName(other.filter(F.col("ratio") >= floor))
 
 
-@F.pandas_udf("array<string>")
-def near_matches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def near_matches(wanted: Column | str, found: Column | str) -> Column:
     """Of two sets, the terms of the first that the second has, exactly or nearly."""
+    return F.pandas_udf(_near_matches, T.ArrayType(T.StringType()))(wanted, found)
+
+
+def _near_matches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for wanted, found in pairs:
         out = []
         for a, b in zip(wanted, found):
@@ -61,9 +67,12 @@ def near_matches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series(out)
 
 
-@F.pandas_udf("double")
-def best_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def best_ratio(left: Column, right: Column) -> Column:
     """The best matching ratio between terms of two sets if it reaches the identity floor, else 0."""
+    return F.pandas_udf(_best_ratio, T.DoubleType())(left, right)
+
+
+def _best_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         out = []
         for a, b in zip(left, right):

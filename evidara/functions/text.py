@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"[\s\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -72,8 +72,12 @@ def letter_form(c: Column) -> Column:
 STABLE = r"^[\x{0000}-\x{007F}\x{00C0}-\x{00FF}\x{060C}\x{061B}\x{061F}\x{0621}-\x{063A}\x{0640}-\x{064A}\x{0660}-\x{0669}\x{06F0}-\x{06F9}]*$"
 
 
-@F.pandas_udf("string")
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def nfkc(c: Column) -> Column:
+    """The compatibility form (Arrow UDF)."""
+    return F.pandas_udf(_nfkc, T.StringType())(c)
+
+
+def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
 
@@ -81,7 +85,7 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def with_nfkc(df: DataFrame, column: str) -> DataFrame:
     """df with the column in compatibility form; rows that are stable never leave the JVM."""
     stable = F.coalesce(F.col(column), F.lit("")).rlike(STABLE)
-    return df.filter(stable).unionByName(df.filter(~stable).withColumn(column, nfkc(column)))
+    return df.filter(stable).unionByName(df.filter(~stable).withColumn(column, nfkc(F.col(column))))
 
 
 def normalization_steps(c: Column) -> Column:
@@ -135,7 +139,6 @@ def compact(c: Column, limit: int) -> Column:
 def mojibake(df: DataFrame, column: str) -> DataFrame:
     """UTF-8 that was read as Latin-1 read anew, where the text shows its marks and the bytes allow it."""
 
-    @F.pandas_udf("string")
     def repair(texts: pd.Series) -> pd.Series:
         def one(t):
             if not isinstance(t, str):
@@ -148,4 +151,4 @@ def mojibake(df: DataFrame, column: str) -> DataFrame:
         return texts.map(one)
 
     marked = F.coalesce(F.col(column), F.lit("")).rlike("[ØÙ]")
-    return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, repair(column)))
+    return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, F.pandas_udf(repair, T.StringType())(F.col(column))))
