@@ -107,6 +107,8 @@ def propose(store: Store, i: int, near: np.ndarray) -> Iterator[tuple[np.ndarray
     for a in range(0, len(near), _CHUNK):
         part = near[a : a + _CHUNK]
         some = part >= 0
+        if not some.any():
+            continue
         nodes, back = np.unique(part[some], return_inverse=True)
         place = np.zeros(part.shape, np.int64)
         place[some] = back
