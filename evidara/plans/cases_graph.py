@@ -302,3 +302,40 @@ def entity_rules(spark, d):
     rows = spark.createDataFrame(list(_NAMES), "id int, kind string, name string").withColumn("aliases", F.array().cast("array<string>"))
     k, n, a = F.col("kind"), F.col("name"), F.col("aliases")
     return rows.select("id", er.canonical(k, n, a).alias("canonical"), er.corrected_type(k, n, a).alias("entity_type"), er.quality(k, n, a).alias("quality"), er.rejection(n).alias("rejection"))
+
+
+@case("entities_by_version", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#11'")
+def entities_by_version(spark, d):
+    """A scan of one label and version: the filter reaches the Parquet scan."""
+    return table(spark, d, "part").filter("p_brand = 'Brand#11'").select("p_partkey", "p_name")
+
+
+@case(
+    "vector_support",
+    """WITH h AS (SELECT vec_id % 50 AS query_id, label AS entity_id, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / (1 + vec_id % 7) AS score FROM embeddings) SELECT query_id, entity_id, round(max(score), 6) AS support FROM h GROUP BY ALL""",
+)
+def vector_support(spark, d):
+    from ..functions.similarity import dot
+    from ..operators.retrieval import support
+
+    v = table(spark, d, "embeddings")
+    hits = v.select((F.col("vec_id") % 50).alias("query_id"), F.col("label").alias("entity_id"), (dot(F.col("embedding"), F.col("embedding")) / (1 + F.col("vec_id") % 7)).alias("score"))
+    return support(hits, "entity_id").withColumn("support", F.round("support", 6))
+
+
+@case(
+    "seed_scores",
+    f"""WITH p AS (SELECT p_partkey, {s_match('p_name')} AS norm, p_partkey % 40 AS query_id FROM part WHERE p_partkey < 400), prim AS (SELECT DISTINCT query_id, 'e' || p_partkey AS entity_id FROM p WHERE p_partkey % 40 < 10 AND p_partkey < 40),
+    h AS (SELECT query_id, 'e' || p_partkey AS entity_id, norm AS title, 0.8::DOUBLE + (p_partkey % 19) / 100.0::DOUBLE AS score, p_partkey AS ordinal FROM p), q AS (SELECT query_id, norm FROM p WHERE p_partkey < 40),
+    o AS (SELECT h.*, q.norm, string_split(title, ' ') AS t, string_split(q.norm, ' ') AS n FROM h JOIN q USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM prim) AND score >= 0.86),
+    i AS (SELECT *, len(list_intersect(list_filter(t, lambda x: length(x) > 2), list_filter(n, lambda x: length(x) > 2))) / least(len(list_distinct(list_filter(t, lambda x: length(x) > 2))), len(list_distinct(list_filter(n, lambda x: length(x) > 2)))) AS ident FROM o),
+    r AS (SELECT query_id, entity_id, score FROM i WHERE ident >= 0.86 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) <= 2)
+    SELECT query_id, entity_id, 1.0::DOUBLE AS seed_score FROM prim UNION ALL SELECT query_id, entity_id, round(least(0.70, 0.75 * score), 9)::DOUBLE FROM r""",
+)
+def seed_scores(spark, d):
+    from ..operators.retrieval import seed_scores as run
+
+    p = table(spark, d, "part").filter("p_partkey < 400").select("p_partkey", tx.query_form(F.col("p_name")).alias("norm"), (F.col("p_partkey") % 40).alias("query_id"), F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("entity_id"))
+    hits = p.select("query_id", "entity_id", F.col("norm").alias("title"), F.lit("Treatment").alias("entity_type"), (0.8 + F.col("p_partkey") % 19 / 100.0).alias("score"), F.col("p_partkey").alias("ordinal"))
+    phrases = p.filter("p_partkey < 40").select("query_id", "norm", F.lit("Treatment").alias("entity_type"))
+    return run(p.filter("p_partkey % 40 < 10 AND p_partkey < 40"), hits, phrases).withColumn("seed_score", F.round("seed_score", 9))

@@ -107,3 +107,42 @@ def test_sample_is_balanced_and_repeats(spark):
     b = corpus.balanced_sample(df.repartition(7), "cat", "id", 30, "s").collect()
     assert {r["id"] for r in a} == {r["id"] for r in b}
     assert sum(r["cat"] == "b" for r in a) == 10 and len(a) == 30
+
+
+def test_entity_replies(spark):
+    import json
+
+    from evidara.operators import extraction as ex
+
+    mention = lambda qa: {"qa_id": qa, "surface_form": "x", "field": "answer", "evidence": "x"}
+    entity = lambda name, kind, qa="q1": {"canonical_name": name, "entity_type": kind, "aliases": [" y ", ""], "mentions": [mention(qa)], "confidence": 2}
+    body = json.dumps({"chunk_id": "c1", "entities": [entity("اسبرين", "Treatment"), entity("عين", "Symptom"), entity("a", "Other"), entity("b", "Nonsense"), entity("", "Test"), entity("c", "Test", "q9")]})
+    replies = spark.createDataFrame([("c1", "ok", f"```json\n{body}\n```"), ("c2", "error", None), ("c3", "ok", "no json"), ("c9", "ok", body)], "chunk_id string, status string, response_text string")
+    good, bad = ex.validate_entities(replies, spark.createDataFrame([("c1", ["q1"]), ("c3", ["q2"])], "chunk_id string, qa_ids array<string>"))
+    rows = good.collect()
+    assert [(r["canonical_name"], r["entity_type"], r["quality"], r["aliases"], r["confidence"]) for r in rows] == [("الأسبرين", "Treatment", "medium", ["y"], 1.0)]
+    errors = sorted((r["chunk_id"], r["stage"]) for r in bad.collect())
+    assert errors == [("c1", "validation")] * 5 + [("c2", "model_call"), ("c3", "parse"), ("c9", "validation")]
+
+
+def test_relation_replies(spark):
+    import json
+
+    from evidara.operators import extraction as ex
+
+    body = json.dumps({"relations": [{"relation_id": "r1", "relation_type": "NONSENSE", "keep": True, "confidence": "0.7"}, {"relation_id": "r2", "relation_type": "TREATED_BY", "keep": False, "confidence": "high"}, {"relation_id": "zz", "keep": True}]})
+    replies = spark.createDataFrame([("c1", "ok", body)], "chunk_id string, status string, response_text string")
+    good, bad = ex.validate_relations(replies, spark.createDataFrame([("r1", "HAS_SYMPTOM"), ("r2", "DIAGNOSED_BY")], "relation_id string, relation_type string"))
+    assert {(r["relation_id"], r["relation_type"], r["keep"], r["confidence"]) for r in good.collect()} == {("r1", "HAS_SYMPTOM", True, 0.7), ("r2", "TREATED_BY", False, 0.0)}
+    assert [r["error"] for r in bad.collect()] == ["Unknown relation_id: zz"]
+
+
+def test_anchors_and_fallback(spark):
+    from evidara.operators import retrieval as rt
+
+    rows = [(1, 0, "دواء", "Treatment", "x"), (1, 1, "سعال", "Symptom", "x"), (1, 2, "اسبرين", "Treatment", "x"), (2, 0, "سعال", "Symptom", "comparison"), (2, 1, "اسبرين", "Treatment", "comparison"), (3, 0, "اسبرين", "Treatment", "x")]
+    got = {r["query_id"]: r["phrases"] for r in rt.relevance_phrases(spark.createDataFrame(rows, "query_id int, place int, norm string, entity_type string, primary_intent string")).collect()}
+    assert got == {1: ["سعال"], 2: ["سعال", "اسبرين"], 3: ["اسبرين"]}
+    df = spark.createDataFrame([("simple_medical", True, 0, 0, "سعال"), ("unclear", True, 1, 1, "سعال"), ("simple_medical", True, 0, 0, "ما"), ("simple_medical", False, 1, 0, "ما"), ("simple_medical", True, 1, 0, "ما")], "c string, v boolean, p int, u int, t string")
+    out = [r[0] for r in df.select(rt.needs_fallback(F.col("c"), F.col("v"), F.col("p"), F.col("u"), tm.token_set(F.col("t")))).collect()]
+    assert out == [True, False, False, False, True]
