@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import release
+from .common import cut, release
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -46,6 +46,12 @@ def partition_sum(df: DataFrame, size: int, part: Callable[[pa.RecordBatch], np.
     return total
 
 
+def in_few_tasks(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, materialised, in tasks of about so many rows: passes over a small table need not start a task for each shuffle partition."""
+    table = cut(df)
+    return table.coalesce(max(1, -(-table.count() // rows)))
+
+
 class Isotonic:
     """Monotone calibration from sums over a fixed grid of raw scores: pool adjacent violators, linear between pool centres."""
 

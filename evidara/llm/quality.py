@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, slices
-from .fitting import Isotonic, fold, labels_of, partition_sum
+from .fitting import Isotonic, fold, in_few_tasks, labels_of, partition_sum
 from .textstats import NAMES, statistics
 
 FEATURES = 384
@@ -77,18 +77,21 @@ def fit(train: DataFrame, features: int = FEATURES, ridge: float = RIDGE, width:
     rng = np.random.default_rng(seed)
     model = Model(mean, np.where(sd > 1e-9, sd, 1.0), rng.normal(size=(_K, features)) / width, rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), Isotonic(-0.5, 1.5))
     d = features + 1
+    half = np.triu_indices(d)  # the matrix is symmetric
 
     def normal(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros(d * d + d)
+        total = np.zeros(d * (d + 1) // 2 + d)
         x, y = _matrix(batch), label(batch)
         for a in range(0, len(y), 8192):
             z = model.features(x[a : a + 8192])
-            total += np.concatenate([(z.T @ z).ravel(), z.T @ y[a : a + 8192]])
+            total += np.concatenate([(z.T @ z)[np.triu_indices(d)], z.T @ y[a : a + 8192]])
         return total
 
-    sums = partition_sum(train, d * d + d, normal)
-    gram = sums[: d * d].reshape(d, d) + ridge * np.diag([*[1.0] * features, 0.0])
-    model.beta = np.linalg.solve(gram + 1e-9 * np.eye(d), sums[d * d :])
+    sums = partition_sum(train, len(half[0]) + d, normal)
+    gram = np.zeros((d, d))
+    gram[half] = sums[: len(half[0])]
+    gram += np.triu(gram, 1).T + ridge * np.diag([*[1.0] * features, 0.0])
+    model.beta = np.linalg.solve(gram + 1e-9 * np.eye(d), sums[len(half[0]) :])
     model.iso.fit(partition_sum(train, 3 * Isotonic.BINS, lambda batch: model.iso.sums(model.features(_matrix(batch)) @ model.beta, label(batch))))
     return model
 
@@ -97,7 +100,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held:
     """doc_id, held_out, score, predicted for each document; rows whose fold is held are never trained on."""
     table = cut(stats_table(docs))
     train = table.join(labels_of(labels, "quality"), "doc_id").filter(fold(F.col("doc_id"), folds) != held).dropDuplicates(["doc_id"]).select("stats", "label")
-    model = fit(cut(train), **options)
+    model = fit(in_few_tasks(train), **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bytescan import raw_bytes
 from .common import cut, slices
-from .fitting import Isotonic, fold, labels_of, partition_sum
+from .fitting import Isotonic, fold, in_few_tasks, labels_of, partition_sum
 
 # Words that insult, threaten or swear, by language and kind; plain forms, A-Z as a-z.
 LEXICON = {
@@ -242,7 +242,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held
     table = cut(signal_table(docs))
     train = table.filter(fold(F.col("doc_id"), folds) != held).join(labels_of(labels, "toxic"), "doc_id", "left")
     grouped = train.groupBy("mask", "density", "terms", "counts").agg(F.count("*").alias("n"), F.sum("label").alias("ones"), F.count("label").alias("known"))
-    grouped = cut(grouped.select("*", F.col("n").cast("double").alias("rows")).drop("n").withColumnRenamed("rows", "n"))
+    grouped = in_few_tasks(grouped.select("*", F.col("n").cast("double").alias("rows")).drop("n").withColumnRenamed("rows", "n"))
     patterns = grouped.groupBy("mask").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.sum("known").alias("known")).orderBy("mask").collect()  # 2**16 rows at most
     mask = np.array([r["mask"] for r in patterns], np.int64)
     ones = np.array([r["ones"] or 0.0 for r in patterns], float)
