@@ -1,11 +1,13 @@
-"""Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
+"""Toxicity by weak supervision: voters, a generative label model, and a linear classifier of all words on its posterior labels.
 
 Sixteen voters (lexicons of insults, threats and profanity in four languages, and patterns such as insults beside "you", shouting, masked words)
 look at each whole text. The label model knows only which of them vote together: counts of the vote patterns (2**16 at most, whatever the
 corpus) go to the driver, where expectation-maximisation estimates the class share, each voter's rates in
 both classes (its accuracy) and the voters' covariance within a class (their correlations, which keeps voters that repeat each other from counting twice); labelled training rows
-hold their own class in it. A logistic regression on term counts and patterns is then fitted to the posteriors of all training rows by Newton steps whose sums
-each partition adds up, and calibrated on the labelled training rows.
+hold their own class in it. A logistic regression on term counts, patterns and the hashed words and word beginnings of the whole text is then fitted to all
+training rows, labelled ones by their label and others by their posterior, so that words outside the lexicon count in any language. Gradients are summed by partition; L-BFGS
+steps need a few vectors of a fixed size on the driver. One model is fitted without each inner fold of the training rows; a labelled row is calibrated
+by the score of the model that has not seen it, and every text is scored by the mean of the models.
 
 Defined cases: null and empty texts get no votes and are scored like any text without them; a document labelled twice counts once; a row without
 doc_id is scored and held out of training; rows that repeat a doc_id are scored each; without labels the posteriors alone
@@ -14,15 +16,15 @@ decide. labels, lang, source and doc_id are never inputs of a score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bytescan import raw_bytes
+from .bytescan import raw_bytes, xxh64
 from .common import cut, slices
-from .fitting import Isotonic, fold, in_few_tasks, labels_of, partition_sum
+from .fitting import Isotonic, fold, labels_of, partition_sum
 
 # Words that insult, threaten or swear, by language and kind; plain forms, A-Z as a-z.
 LEXICON = {
@@ -41,12 +43,20 @@ VOTERS = (*LEXICON, "two_hits", "two_terms", "dense_hits", "at_someone", "shoute
 TERMS = tuple(dict.fromkeys(w for group in LEXICON.values() for w in group))
 _KIND = [[k for k, group in enumerate(LEXICON.values()) if w in group] for w in TERMS]
 _ADDRESS = tuple(w for w in ADDRESS if w not in TERMS)
-#: Inputs of the linear classifier: a weight for each voter and term, density and intercept.
+#: Dense inputs of the linear classifier: a weight for each voter and term, density and intercept.
 SIZE = len(VOTERS) + len(TERMS) + 2
+#: Hashed inputs: every word, and the beginnings (so many bytes) of longer ones.
+BUCKETS = 1 << 14
+BEGINNINGS = (4, 6, 8)
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
-RIDGE = 1.0
-EM_ROUNDS, NEWTON_STEPS = 25, 6
+RIDGE, BUCKET_RIDGE = 1.0, 20.0
+#: Weight of a row that only its posterior labels.
+UNLABELLED = 0.3
+INNER = 4
+EM_ROUNDS, STEPS = 25, 20
+#: Bytes of text, and rows, that one step looks at: the buckets of a text take some ten times its size.
+SLICE, _ROWS = 1 << 20, 512
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -54,6 +64,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+_LOG = np.log1p(np.arange(256))
 
 
 def _key(lanes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -78,13 +89,8 @@ def _dictionary() -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return keys[order], order, words
 
 
-def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For n texts: votes (n x voters, bool), density of hits, and hits as (text, term, count)."""
-    raw, offsets = raw_bytes(texts)
-    n = len(offsets) - 1
-    votes, none = np.zeros((n, len(VOTERS)), bool), np.zeros(0, np.int64)
-    if not len(raw):
-        return votes, np.zeros(n), none, none, none
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, which are letters, where texts begin, and the start, end and text of each run of letters."""
     low = _FOLD[raw]
     letter = _LETTER[raw]
     fresh = np.zeros(len(raw) + 1, bool)
@@ -94,7 +100,33 @@ def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     edge |= fresh
     start = np.flatnonzero(letter & edge[:-1])
     end = np.flatnonzero(letter & edge[1:]) + 1
-    doc = np.searchsorted(offsets, start, side="right") - 1
+    return low, letter, fresh, start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed words and beginnings of n texts as (text, bucket, count), and the number of words of each text."""
+    raw, offsets = raw_bytes(texts)
+    n, none = len(offsets) - 1, np.zeros(0, np.int64)
+    if not len(raw):
+        return none, none, none, np.zeros(n, np.int64)
+    low, _, _, start, end, doc = _words(raw, offsets)
+    codes = []
+    for size in (None, *BEGINNINGS):
+        long = slice(None) if size is None else end - start > size
+        stop = end if size is None else start[long] + size
+        codes.append(doc[long] * BUCKETS + (xxh64(low, start[long], stop) % np.uint64(BUCKETS)).astype(np.int64))
+    code, count = np.unique(np.concatenate(codes), return_counts=True)
+    return code // BUCKETS, code % BUCKETS, count, np.bincount(doc, minlength=n)
+
+
+def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For n texts: votes (n x voters, bool), density of hits, and hits as (text, term, count)."""
+    raw, offsets = raw_bytes(texts)
+    n = len(offsets) - 1
+    votes, none = np.zeros((n, len(VOTERS)), bool), np.zeros(0, np.int64)
+    if not len(raw):
+        return votes, np.zeros(n), none, none, none
+    low, letter, fresh, start, end, doc = _words(raw, offsets)
     keys, order, words = _dictionary()
     own = _key(_lanes(low), start, end)
     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
@@ -159,17 +191,22 @@ def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def signal_table(docs: DataFrame) -> DataFrame:
-    """doc_id, mask (the votes as bits), density, terms and counts of the hits."""
+    """doc_id, mask (the votes as bits), density, terms and counts of the hits; buckets (16 bits each), their counts (8 bits, 255 at most) and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             votes, density, d, t, c = signals(part.column("text"))
             cuts = pa.array(np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (t, c)]
             mask = (votes * (1 << np.arange(len(VOTERS)))).sum(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(mask), pa.array(density), *lists], ["doc_id", "mask", "density", "terms", "counts"])
+            home, bucket, times, words = buckets(part.column("text"))
+            at = np.searchsorted(home, np.arange(part.num_rows + 1)).tolist()
+            packed = [[x[a:b].tobytes() for a, b in zip(at, at[1:])] for x in (bucket.astype("<u2"), np.minimum(times, 255).astype(np.uint8))]
+            columns = [part.column("doc_id"), pa.array(mask), pa.array(density), *lists, *(pa.array(x, pa.binary()) for x in packed), pa.array(words)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "density", "terms", "counts", "buckets", "times", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, mask int, density double, terms array<int>, counts array<int>")
+    columns = "doc_id long, mask int, density double, terms array<int>, counts array<int>, buckets binary, times binary, words long"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, columns)
 
 
 def bits(mask: np.ndarray) -> np.ndarray:
@@ -219,53 +256,126 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(train: DataFrame, model: LabelModel, ridge: float = RIDGE, steps: int = NEWTON_STEPS) -> np.ndarray:
-    """Weights of the logistic regression on the posteriors; equal patterns need one row each with their number."""
-    theta = np.zeros(SIZE)
-    penalty = ridge * np.append(np.ones(SIZE - 1), 1e-6)
+def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and value: log of the count, by the root of the number of words."""
+    packed = batch.column("buckets").to_pylist()
+    row = np.repeat(np.arange(batch.num_rows), [len(x) // 2 for x in packed])
+    times = np.frombuffer(b"".join(batch.column("times").to_pylist()), np.uint8)
+    words = np.maximum(batch.column("words").to_numpy(), 1)
+    return row, np.frombuffer(b"".join(packed), "<u2").astype(np.int64), 10 * _LOG[times] / np.sqrt(words)[row]
+
+
+def raw_scores(batch: pa.RecordBatch, theta: np.ndarray) -> np.ndarray:
+    """A row of raw scores for each model (a row of theta)."""
+    row, bucket, value = _hashed(batch)
+    return _design(batch) @ theta[:, :SIZE].T + np.column_stack([np.bincount(row, value * t[SIZE:][bucket], batch.num_rows) for t in theta])
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(a, _ROWS) for a in range(0, batch.num_rows, _ROWS))
+
+
+def _descent(size: int, steps: int, memory: int = 8) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """L-BFGS: yields a point, is sent its value and slope, returns the last point."""
+    x = np.zeros(size)
+    value, slope = yield x
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        now = theta
+        way, shares = slope.copy(), []
+        for s, y in reversed(moves):
+            shares.append(way @ s / (y @ s))
+            way -= shares[-1] * y
+        way *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(np.linalg.norm(slope), 1e-12)
+        for (s, y), share in zip(moves, reversed(shares)):
+            way += s * (share - y @ way / (y @ s))
+        far = 1.0
+        while True:
+            there = x - far * way
+            value2, slope2 = yield there
+            if value2 <= value - 1e-4 * far * (slope @ way):
+                break
+            far /= 2
+            if far < 1e-3:
+                return x
+        if (there - x) @ (slope2 - slope) > 1e-12:
+            moves = [*moves, (there - x, slope2 - slope)][-memory:]
+        x, value, slope = there, value2, slope2
+        if np.linalg.norm(slope) < 1e-3:
+            break
+    return x
 
-        def part(batch: pa.RecordBatch, now: np.ndarray = now) -> np.ndarray:
-            x = _design(batch)
-            p, n = _logistic(x @ now), batch.column("n").to_numpy()
-            slope = x.T @ (n * (p - model.posterior(batch.column("mask").to_numpy())))
-            return np.concatenate([slope, ((x * (n * (p * (1 - p) + 1e-6))[:, None]).T @ x).ravel()])
 
-        sums = partition_sum(train, SIZE + SIZE * SIZE, part)
-        theta = theta - np.linalg.solve(sums[SIZE:].reshape(SIZE, SIZE) + np.diag(penalty), sums[:SIZE] + penalty * theta)
+def fit_linear(train: DataFrame, model: LabelModel, ridge: float = RIDGE, bucket_ridge: float = BUCKET_RIDGE, steps: int = STEPS) -> np.ndarray:
+    """Weights of INNER logistic regressions, each without one inner fold, on the labels and, for rows without one, the posteriors; all take a step in one pass."""
+    size = SIZE + BUCKETS
+    penalty = np.concatenate([np.full(SIZE - 1, ridge), [1e-6], np.full(BUCKETS, bucket_ridge)])
+    runs = [_descent(size, steps) for _ in range(INNER)]
+    theta = np.array([next(run) for run in runs])
+    open_ = list(range(INNER))
+    while open_:
+        now = theta[open_]
+
+        def part(batch: pa.RecordBatch, now: np.ndarray = now, open_: tuple[int, ...] = tuple(open_)) -> np.ndarray:
+            total = np.zeros((len(open_), 1 + size))
+            for piece in _pieces(batch):
+                label = piece.column("label").to_numpy(zero_copy_only=False).astype(float)
+                known = ~np.isnan(label)
+                y = np.where(known, label, model.posterior(piece.column("mask").to_numpy()))
+                inner = piece.column("inner").to_numpy()
+                x, (row, bucket, value) = _design(piece), _hashed(piece)
+                for k, g in enumerate(open_):
+                    z = np.clip(x @ now[k, :SIZE] + np.bincount(row, value * now[k, SIZE:][bucket], piece.num_rows), -30, 30)
+                    n = np.where(known, 1.0, UNLABELLED) * (inner != g)
+                    error = n * (_logistic(z) - y)
+                    total[k, 0] += n @ (np.logaddexp(0, z) - y * z)
+                    total[k, 1 : 1 + SIZE] += x.T @ error
+                    total[k, 1 + SIZE :] += np.bincount(bucket, value * error[row], BUCKETS)
+            return total.ravel()
+
+        sums = partition_sum(train, len(open_) * (1 + size), part).reshape(len(open_), 1 + size)
+        for k, g in enumerate(list(open_)):
+            try:
+                theta[g] = runs[g].send((sums[k, 0] + 0.5 * penalty @ now[k] ** 2, sums[k, 1:] + penalty * now[k]))
+            except StopIteration as end:
+                theta[g] = end.value
+                open_.remove(g)
     return theta
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each document; rows whose fold is held are never trained on."""
-    table = cut(signal_table(docs))
-    train = table.filter(fold(F.col("doc_id"), folds) != held).join(labels_of(labels, "toxic"), "doc_id", "left")
-    grouped = train.groupBy("mask", "density", "terms", "counts").agg(F.count("*").alias("n"), F.sum("label").alias("ones"), F.count("label").alias("known"))
-    grouped = in_few_tasks(grouped.select("*", F.col("n").cast("double").alias("rows")).drop("n").withColumnRenamed("rows", "n"))
-    patterns = grouped.groupBy("mask").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.sum("known").alias("known")).orderBy("mask").collect()  # 2**16 rows at most
+    # one table serves training and scoring, so that the buckets are shuffled and stored once; the same plan at all sizes
+    table = cut(signal_table(docs).join(labels_of(labels, "toxic").hint("merge"), "doc_id", "left"))
+    inner = fold(F.concat(F.lit("inner "), F.col("doc_id").cast("string")), INNER).alias("inner")
+    train = table.filter(fold(F.col("doc_id"), folds) != held).select("*", inner)
+    train = train.coalesce(max(1, -(-train.count() // 10_000)))
+    grouped = train.groupBy("mask").agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("ones"), F.count("label").alias("known"))
+    patterns = grouped.orderBy("mask").collect()  # 2**16 rows at most
     mask = np.array([r["mask"] for r in patterns], np.int64)
     ones = np.array([r["ones"] or 0.0 for r in patterns], float)
     known = np.array([r["known"] or 0.0 for r in patterns], float)
     model = LabelModel().fit(mask, np.array([r["n"] for r in patterns], float) - known, ones, known - ones)
-    theta = fit_linear(grouped, model)
+    theta = fit_linear(train, model)
     iso = Isotonic(-15.0, 15.0)
 
     def labelled(batch: pa.RecordBatch) -> np.ndarray:
-        raw = np.clip(_design(batch) @ theta, -15, 15)
-        known, ones = (np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in ("known", "ones"))
-        b = iso.bins(raw)
-        return np.concatenate([np.bincount(b, w, iso.BINS) for w in (known, ones, known * raw)])
+        total = np.zeros(3 * iso.BINS)
+        for piece in _pieces(batch):
+            own = raw_scores(piece, theta)[np.arange(piece.num_rows), piece.column("inner").to_numpy()]
+            total += iso.sums(np.clip(own, -15, 15), piece.column("label").to_numpy())
+        return total
 
-    sums = partition_sum(grouped, 3 * iso.BINS, labelled)
+    sums = partition_sum(train.filter("label is not null"), 3 * iso.BINS, labelled)
     calibrated = sums[: iso.BINS].sum() > 0
     if calibrated:
         iso.fit(sums)
+    mean = theta.mean(0, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.clip(_design(batch) @ theta, -15, 15)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(iso.apply(raw) if calibrated else _logistic(raw))], ["doc_id", "score"])
+            for piece in _pieces(batch):
+                raw = np.clip(raw_scores(piece, mean)[:, 0], -15, 15)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(iso.apply(raw) if calibrated else _logistic(raw))], ["doc_id", "score"])
 
     scored = table.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

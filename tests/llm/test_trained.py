@@ -66,6 +66,25 @@ def test_votes():
     assert [toxicity.TERMS[x] for x in t[d == 0]] == sorted(["stupid", "idiot"], key=toxicity.TERMS.index)
 
 
+def test_words_outside_the_lexicon_are_learnt_from_labels(spark):
+    rng = np.random.default_rng(3)
+    syllables = "ba ke lo mi nu ra se to vi zu".split()
+    word = lambda: "".join(rng.choice(syllables, 3))
+    rows = []
+    for i in range(1200):
+        text, toxic = [word() for _ in range(60)], i % 6 == 0
+        if toxic:  # a stem of no lexicon, with endings of its own each time
+            for at in rng.choice(60, 6, replace=False):
+                text[at] = "qualdrem" + word()
+        rows.append((i, " ".join(text), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    found = toxicity.toxicity_scores(docs, labels).toPandas()
+    held = found[found["held_out"]].merge(labels.toPandas(), on="doc_id")
+    assert held.loc[held["toxic"] == 1, "predicted"].mean() > 0.9
+    assert held.loc[held["toxic"] == 0, "predicted"].mean() < 0.05
+
+
 def test_label_model_finds_the_accurate_voters():
     rng = np.random.default_rng(1)
     y = rng.random(20000) < 0.1
