@@ -34,11 +34,12 @@ def partition_sum(df: DataFrame, size: int, part: Callable[[pa.RecordBatch], np.
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots]), pa.array([total.tobytes()])], ["slot", "total"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = None
         for batch in batches:
             for x in batch.column("total"):
-                total += np.frombuffer(x.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
+                total = np.frombuffer(x.as_py()) + (0 if total is None else total)
+        if total is not None:  # partitions that no slot falls into send nothing to the driver
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
 
     sums = df.mapInArrow(add, "slot long, total binary").repartition(slots, "slot").select("total").mapInArrow(merge, "total binary")
     total = sum((np.frombuffer(r["total"]) for r in sums.collect()), np.zeros(size))
