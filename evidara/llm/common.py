@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: Bytes of text that one vectorised step looks at; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or (unset, on a local master only, as in tests) one of our own."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="evidara-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -37,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_fields(ddl: str, df: DataFrame, carry: tuple[str, ...]) -> T.StructType:
+    """The schema ddl with the carried columns of df."""
+    return T.StructType([*T.StructType.fromDDL(ddl).fields, *(df.schema[c] for c in carry)])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -58,24 +65,66 @@ def local_path(uri: str) -> str | None:
     return urllib.parse.unquote(parts.path) if parts.scheme in ("", "file") else None
 
 
+class SharedFile:
+    """One new file of a shared folder. It is written under a name of its own and renamed when closed, so attempts of a task do each other no harm."""
+
+    def __init__(self, uri: str, name: str):
+        self.size, self.root, self.name, self.attempt = 0, local_path(uri), name, f".{name}.{uuid.uuid4().hex}"
+        if self.root is not None:
+            os.makedirs(self.root, exist_ok=True)
+            self.out = open(f"{self.root}/{self.attempt}", "wb")  # noqa: SIM115
+        else:
+            from pyarrow import fs
+
+            self.store, self.path = fs.FileSystem.from_uri(uri)
+            self.store.create_dir(self.path, recursive=True)
+            self.out = self.store.open_output_stream(f"{self.path}/{self.attempt}")
+
+    def write(self, data: bytes | memoryview) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        if self.root is not None:
+            os.replace(f"{self.root}/{self.attempt}", f"{self.root}/{self.name}")
+        else:
+            self.store.move(f"{self.path}/{self.attempt}", f"{self.path}/{self.name}")
+
+
 def put_bytes(uri: str, name: str, *parts: bytes | memoryview) -> None:
-    """Write one file of a shared folder. Attempts of a task write beside it and rename, so a retry does no harm."""
-    root = local_path(uri)
-    if root is None:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/{name}") as out:
-            for part in parts:
-                out.write(part)
-        return
-    os.makedirs(root, exist_ok=True)
-    attempt = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with open(attempt, "wb") as out:
-        for part in parts:
-            out.write(part)
-    os.replace(attempt, f"{root}/{name}")
+    """Write one file of a shared folder (see SharedFile)."""
+    out = SharedFile(uri, name)
+    for part in parts:
+        out.write(part)
+    out.close()
+
+
+class SharedReader:
+    """Reads ranges of the files of a shared folder without mapping or fetching them whole; at most so many files are open."""
+
+    OPEN = 256
+
+    def __init__(self, uri: str):
+        self.uri, self.root, self.files = uri, local_path(uri), {}
+
+    def read(self, name: str, offset: int, size: int) -> bytes:
+        file = self.files.get(name)
+        if file is None:
+            if len(self.files) >= self.OPEN:
+                self.files.pop(next(iter(self.files))).close()
+            if self.root is not None:
+                file = open(f"{self.root}/{name}", "rb", buffering=0)  # noqa: SIM115
+            else:
+                from pyarrow import fs
+
+                store, path = fs.FileSystem.from_uri(self.uri)
+                file = store.open_input_file(f"{path}/{name}")
+            self.files[name] = file
+        if self.root is not None:
+            return os.pread(file.fileno(), size, offset)
+        file.seek(offset)
+        return file.read(size)
 
 
 def map_file(uri: str, name: str):

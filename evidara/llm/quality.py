@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, slices
+from .common import cut, slices, with_fields
 from .fitting import Isotonic, fold, in_few_tasks, labels_of, partition_sum
 from .textstats import NAMES, statistics
 
@@ -54,15 +54,16 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("stats").to_pylist()), np.float64).reshape(-1, _K)
 
 
-def stats_table(docs: DataFrame) -> DataFrame:
-    """doc_id, stats: the statistics as little-endian doubles."""
+def stats_table(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, stats[, carry]: the statistics as little-endian doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = np.ascontiguousarray(statistics(part.column("text")), dtype="<f8")
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary()), *(part.column(c) for c in carry)], ["doc_id", "stats", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, stats binary")
+    read = docs.select(F.col("doc_id").cast("long"), "text", *carry)
+    return read.mapInArrow(run, with_fields("doc_id long, stats binary", read, carry))
 
 
 def fit(train: DataFrame, features: int = FEATURES, ridge: float = RIDGE, width: float = WIDTH, seed: int = SEED) -> Model:
@@ -96,15 +97,15 @@ def fit(train: DataFrame, features: int = FEATURES, ridge: float = RIDGE, width:
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; rows whose fold is held are never trained on."""
-    table = cut(stats_table(docs))
+def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, threshold: float = THRESHOLD, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, held_out, score, predicted[, carried columns] for each document; rows whose fold is held are never trained on."""
+    table = cut(stats_table(docs, carry))
     train = table.join(labels_of(labels, "quality"), "doc_id").filter(fold(F.col("doc_id"), folds) != held).dropDuplicates(["doc_id"]).select("stats", "label")
     model = fit(in_few_tasks(train), **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)), pa.float64()), *(batch.column(c) for c in carry)], ["doc_id", "score", *carry])
 
-    scored = table.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = table.mapInArrow(run, with_fields("doc_id long, score double", table, carry))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)

@@ -5,7 +5,7 @@ included; without words it is zero. Distinct fingerprints are laid out in tiles
 tiles are compared by numpy exclusive-or and bit counts, and tile pairs whose population counts (of the whole or, by
 their bounds, summed over four 16-bit parts) differ beyond the radius are skipped, since flipping one bit changes a count by one.
 Each tile pair gives a spanning forest of its links, so copies are never expanded into all pairs and no link between
-components is lost. Components come from alternating large-star and small-star steps.
+components is lost. Components come from the same steps at any size (components.py).
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any others; rows that repeat a doc_id are kept, each with
 its fingerprint; a row without doc_id gets the component of its fingerprint (null if no row with an id has that one);
@@ -14,7 +14,7 @@ columns besides doc_id and text are not read; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,15 +22,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytescan import scan, xxh64
-from .common import cut, release, slices
+from .common import cut, slices
+from .components import components
 
 RADIUS = 3
 SHINGLE_WORDS = 3
 #: Fingerprints in a tile: a pair of tiles takes some 70 KB of rows, its comparison under 30 MB.
 TILE = 4096
-#: Edges that one task may label; more are labelled by joins.
-FEW_EDGES = 1_000_000
 _STEP = 256
+#: A byte's bits as eight counters of a byte each.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+_ROWS = 1 << 20
+
+
+def bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes have each of the 64 bits set; sizes: hashes of each text, one at least.
+
+    Bytes are looked up as eight counters in one number, which hold the sums of up to 255 hashes.
+    """
+    pieces = -(-sizes // 255)
+    of = np.repeat(np.arange(len(sizes)), pieces)
+    first = np.cumsum(sizes) - sizes
+    nth = np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of]
+    edges = first[of] + 255 * nth
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    sums = np.empty((len(edges), 8), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(edges, np.arange(0, len(hashes), _ROWS)), len(edges))).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        low, high = int(edges[a]), int(edges[b]) if b < len(edges) else len(hashes)
+        for k in range(8):
+            sums[a:b, k] = np.add.reduceat(_SPREAD[octets[low:high, k]], edges[a:b] - low)
+    return np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), np.cumsum(pieces) - pieces, axis=0, dtype=np.int64)
 
 
 def fingerprints(texts: pa.Array, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -47,16 +69,10 @@ def fingerprints(texts: pa.Array, words: int = SHINGLE_WORDS) -> np.ndarray:
     head = first[doc] + nth
     tail = first[doc] + np.minimum(nth + words, w.counts[doc]) - 1
     hashes = xxh64(w.buf, w.starts[head], w.ends[tail])
-    for a in range(0, len(hashes), 1 << 19):  # 32 MB of bits at once
-        part = np.unpackbits(hashes[a : a + (1 << 19)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = doc[a : a + (1 << 19)]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-        sums = np.add.reduceat(part, edges, axis=0, dtype=np.int64)
-        if a == 0:
-            totals = np.zeros((len(out), 64), np.int64)
-        totals[own[edges]] += sums
-    bits = 2 * totals > shingles[:, None]
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    some = np.flatnonzero(shingles)
+    bits = 2 * bit_counts(hashes, shingles[some]) > shingles[some, None]
+    out[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def fingerprint_table(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -98,15 +114,18 @@ def _tiles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
         yield emit(int(rest["pop"].iloc[0]), rest)
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links (index into a followed by b, likewise) that join what the pairs within the radius join; under len(a) + len(b) of them."""
-    parent = np.arange(len(a) + len(b))
-    shift = 0 if same else len(a)
+def spanning(n: int, m: int, near: Callable[[int, int], tuple[np.ndarray, np.ndarray]], check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, step: int = _STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what all links of n rows with m others join, fewer than n + m of them.
+
+    near(a, b) gives the candidates (row, other) of rows a to b, others numbered from 0 or, in a tile of its own (m = 0), as rows; check says which of them are links. Candidates within one
+    tree are passed over; of those that would hang up one root, the first is checked, and taken or given up.
+    """
+    parent = np.arange(n + m)
+    shift = n if m else 0
     links_u, links_v = [], []
-    for k in range(0, len(a), _STEP):
-        near = np.bitwise_count(a[k : k + _STEP, None] ^ b[None, :]) <= radius
-        u, v = np.nonzero(near)
-        u, v = u + k, v + shift
+    for k in range(0, n, step):
+        u, v = near(k, min(k + step, n))
+        v = v + shift
         while len(u):
             ru, rv = parent[u], parent[v]
             open_ = ru != rv
@@ -114,8 +133,11 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
             if not len(u):
                 break
             low, high = np.minimum(ru, rv), np.maximum(ru, rv)
-            # of the pairs that would hang up one root, one is taken
             roots, pick = np.unique(high, return_index=True)
+            if check is not None:
+                ok = check(u[pick], v[pick])
+                failed = pick[~ok]
+                roots, pick = roots[ok], pick[ok]
             parent[roots] = low[pick]
             links_u.append(u[pick])
             links_v.append(v[pick])
@@ -124,10 +146,22 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
                 if np.array_equal(up, parent):
                     break
                 parent = up
+            if check is not None:
+                u, v = np.delete(u, failed), np.delete(v, failed)
     none = np.zeros(0, np.int64)
     return (np.concatenate(links_u) if links_u else none), (np.concatenate(links_v) if links_v else none)
 
 
+def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links (index into a followed by b, likewise) that join what the pairs within the radius join; under len(a) + len(b) of them."""
+
+    def near(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        u, v = np.nonzero(np.bitwise_count(a[i:j, None] ^ b[None, :]) <= radius)
+        return u + i, v
+
+    return spanning(len(a), 0 if same else len(b), near)
+
+
 def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """reps: fp, rep (distinct fingerprints). Returns u, v: rep pairs, a spanning forest for each tile pair."""
     fp = F.col("fp")
@@ -166,62 +200,6 @@ def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return loaded.mapInArrow(compare, "u long, v long")
 
 
-def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of the edges and the smallest node that each reaches."""
-    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = back[: len(u)], back[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        after = label.copy()
-        np.minimum.at(after, label[a], low)
-        np.minimum.at(after, label[b], low)
-        while not np.array_equal(up := after[after], after):
-            after = up
-        if np.array_equal(after, label):
-            return nodes, nodes[label]
-        label = after
-
-
-def _components_of_few(edges: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
-        if parts:
-            nodes, least = least_reachable(*(np.concatenate(x) for x in zip(*parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["node", "component"])
-
-    return edges.repartition(1).mapInArrow(run, "node long, component long")
-
-
-def components(edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
-    """node, component (its smallest reachable node) for the nodes of edges (u, v).
-
-    Up to few edges one executor task labels them (few * 16 bytes, a fixed bound); more go through large-star and small-star steps, whose tasks hold no group.
-    """
-    spark = edges.sparkSession
-    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    if now.count() <= few:
-        return _components_of_few(now)
-    now = cut(now.distinct())
-    before = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.select("u", F.col("m").alias("v"))).filter("u <> v")
-        now = cut(small.distinct())
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
-        release(spark)
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (smallest doc_id reachable, itself included)."""
     prints = cut(fingerprint_table(docs, words))

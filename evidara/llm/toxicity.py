@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytescan import raw_bytes, xxh64
-from .common import cut, slices
+from .common import cut, slices, with_fields
 from .fitting import Isotonic, fold, labels_of, partition_sum
 
 # Words that insult, threaten or swear, by language and kind; plain forms, A-Z as a-z.
@@ -190,8 +190,8 @@ def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return votes, density, d, t, count
 
 
-def signal_table(docs: DataFrame) -> DataFrame:
-    """doc_id, mask (the votes as bits), density, terms and counts of the hits; buckets (16 bits each), their counts (8 bits, 255 at most) and the number of words."""
+def signal_table(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id[, carry], mask (the votes as bits), density, terms and counts of the hits; buckets (16 bits each), their counts (8 bits, 255 at most) and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
@@ -202,11 +202,12 @@ def signal_table(docs: DataFrame) -> DataFrame:
             home, bucket, times, words = buckets(part.column("text"))
             at = np.searchsorted(home, np.arange(part.num_rows + 1)).tolist()
             packed = [[x[a:b].tobytes() for a, b in zip(at, at[1:])] for x in (bucket.astype("<u2"), np.minimum(times, 255).astype(np.uint8))]
-            columns = [part.column("doc_id"), pa.array(mask), pa.array(density), *lists, *(pa.array(x, pa.binary()) for x in packed), pa.array(words)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "density", "terms", "counts", "buckets", "times", "words"])
+            columns = [part.column("doc_id"), pa.array(mask), pa.array(density), *lists, *(pa.array(x, pa.binary()) for x in packed), pa.array(words), *(part.column(c) for c in carry)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "density", "terms", "counts", "buckets", "times", "words", *carry])
 
     columns = "doc_id long, mask int, density double, terms array<int>, counts array<int>, buckets binary, times binary, words long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, columns)
+    read = docs.select(F.col("doc_id").cast("long"), "text", *carry)
+    return read.mapInArrow(run, with_fields(columns, read, carry))
 
 
 def bits(mask: np.ndarray) -> np.ndarray:
@@ -342,10 +343,10 @@ def fit_linear(train: DataFrame, model: LabelModel, ridge: float = RIDGE, bucket
     return theta
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; rows whose fold is held are never trained on."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted[, carried columns] for each document; rows whose fold is held are never trained on."""
     # one table serves training and scoring, so that the buckets are shuffled and stored once; the same plan at all sizes
-    table = cut(signal_table(docs).join(labels_of(labels, "toxic").hint("merge"), "doc_id", "left"))
+    table = cut(signal_table(docs, carry).join(labels_of(labels, "toxic").hint("merge"), "doc_id", "left"))
     inner = fold(F.concat(F.lit("inner "), F.col("doc_id").cast("string")), INNER).alias("inner")
     train = table.filter(fold(F.col("doc_id"), folds) != held).select("*", inner)
     train = train.coalesce(max(1, -(-train.count() // 10_000)))
@@ -375,7 +376,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held
         for batch in batches:
             for piece in _pieces(batch):
                 raw = np.clip(raw_scores(piece, mean)[:, 0], -15, 15)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(iso.apply(raw) if calibrated else _logistic(raw))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(iso.apply(raw) if calibrated else _logistic(raw)), *(piece.column(c) for c in carry)], ["doc_id", "score", *carry])
 
-    scored = table.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = table.mapInArrow(run, with_fields("doc_id long, score double", table, carry))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)

@@ -73,8 +73,8 @@ def test_simhash_links_random_fingerprints(spark):
     near = [int(x) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False)) for x in base for _ in range(4)]
     prints = sorted({int(x) for x in base} | set(near))
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)], "fp long, rep long")
-    for few in (0, 10**6):
-        got = {r["node"]: r["component"] for r in simhash.components(simhash.links(df, 3, tile=16), few=few).collect()}
+    for chunk in (5, 10**6):
+        got = {r["node"]: r["component"] for r in simhash.components(simhash.links(df, 3, tile=16), chunk=chunk).collect()}
         wanted = smallest_reachable(list(range(len(prints))), prints, 3)
         assert all(got.get(i, i) == c for i, c in wanted.items())
 
