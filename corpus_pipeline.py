@@ -1,45 +1,60 @@
 """Corpus pipeline: quality filter, toxicity filter, SimHash near-dedup, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns what the next one reads
-as its documents. Filters drop rejected rows by doc_id with an anti join, so rows without doc_id stay.
+as its documents. A row is told by its doc_id and a hash of its text, so rows that lack or repeat a doc_id have decisions of their own.
+
+Near-dedup works on five words and a similarity of 0.8: of each group one document stays, that of the smallest doc_id (of equal rows of that id the first). A row without doc_id
+goes if a row with one has an equal set of shingles, or if another such row has its text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidara.llm import packing, quality, simhash, toxicity
+from evidara.llm import near_texts, packing, quality, toxicity
 from evidara.llm.common import cut, drop_shared_dir, new_shared_dir, table
 from evidara.llm.queries import PACK_TOKENIZER, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MARK = "_text_mark"
+KEY = ["doc_id", MARK]
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.xxhash64("text").alias(MARK))
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _without(marked: DataFrame, rejected: DataFrame) -> DataFrame:
+    gone = rejected.select(F.col("doc_id").alias("_gone_id"), F.col(MARK).alias("_gone_mark")).distinct()
+    return marked.join(gone, (marked[MARK] == gone["_gone_mark"]) & marked["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.filter("predicted = 0"))
+    marked = _marked(docs)
+    scores = quality.quality_scores(marked, table(spark, sf_dir, "labels"), carry=(MARK,))
+    return _without(marked, scores.filter("predicted = 0")).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
-    scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.filter("predicted = 1"))
+    marked = _marked(docs)
+    scores = toxicity.toxicity_scores(marked, table(spark, sf_dir, "labels"), carry=(MARK,))
+    return _without(marked, scores.filter("predicted = 1")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group; of rows that repeat a doc_id one stays."""
-    found = cut(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    kept = _without(docs, found.filter("doc_id <> component_id"))
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    with_id = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.filter("doc_id is null"))
+    """One document of each group of near duplicates."""
+    marked = _marked(docs)
+    found = cut(near_texts.groups(marked, carry=(MARK,)))
+    gone = found.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(*KEY)
+    # rows that repeat the id (or, without one, the text) of a row that stays: none in tables of unique ids
+    stays = found.filter("doc_id = component_id OR component_id IS NULL").groupBy(F.coalesce("component_id", MARK).alias("own"), "doc_id").agg(F.count("*").alias("n"), F.min(MARK).alias("first"))
+    again = cut(stays.filter("n > 1"))
+    if again.isEmpty():
+        return _without(marked, gone).select(*COLUMNS)
+    others = found.join(again.select(F.col("doc_id").alias("_id"), "first"), F.col("doc_id") == F.col("_id")).filter(F.col(MARK) != F.col("first")).select(*KEY)
+    return _without(marked, gone.unionByName(others)).dropDuplicates(KEY).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +64,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("packing", pack)]
 
-#: Trained models, hashing and tokenizers are beyond SQL; tests hold the stages against brute-force versions.
+#: Trained models, hashing and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
