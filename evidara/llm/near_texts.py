@@ -191,13 +191,17 @@ def links(reps: DataFrame, uri: str, similarity: float = SIMILARITY, radius: int
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, carry: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of an equal set), component_id (smallest doc_id reachable over links, itself included)[, carry] for each document."""
+    """doc_id, class_id (smallest doc_id of an equal set), component_id (smallest doc_id reachable over links, itself included), group (a number of the component)[, carry] for each document."""
     uri = new_shared_dir(docs.sparkSession, "shingle-sets")
     prints = cut(print_table(docs, uri, words, carry))
     where = F.min(F.struct("doc_id", "file", "at")).alias("w")
-    reps = cut(prints.filter("doc_id is not null").groupBy("fp", "n", "sum").agg(where).select("fp", "n", "sum", F.col("w.doc_id").alias("rep"), "w.file", "w.at"))
-    labels = components(links(reps.filter("n > 0"), uri, similarity, tile=tile))
+    sets = prints.filter("doc_id is not null").groupBy("fp", "n", "sum").agg(where)
+    # sets have numbers of their own, since rows of different texts may share a doc_id
+    sets = cut(sets.select("fp", "n", "sum", F.col("w.doc_id").alias("class_id"), "w.file", "w.at", F.monotonically_increasing_id().alias("rep")))
+    labels = components(links(sets.filter("n > 0"), uri, similarity, tile=tile))
     drop_shared_dir(docs.sparkSession, uri)
-    classes = reps.join(labels, reps.rep == labels.node, "left").select("fp", "n", "sum", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    linked = labels.join(sets.select(F.col("rep").alias("node"), "class_id"), "node")
+    linked = linked.join(linked.groupBy("component").agg(F.min("class_id").alias("least")), "component").select(F.col("node").alias("rep"), "component", "least")
+    classes = sets.join(linked, "rep", "left").select("fp", "n", "sum", "class_id", F.coalesce("least", "class_id").alias("component_id"), F.coalesce("component", "rep").alias("group"))
     # copies of one text may hold a large part of all rows: adaptive skew handling splits that side of this join
-    return prints.join(classes, ["fp", "n", "sum"], "left").select("doc_id", "class_id", "component_id", *carry)
+    return prints.join(classes, ["fp", "n", "sum"], "left").select("doc_id", "class_id", "component_id", "group", *carry)

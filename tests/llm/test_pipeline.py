@@ -86,4 +86,4 @@ def test_rows_decide_for_themselves(spark):
     one, two, three = "a b c d e f g h", "b c d e f g h i j k l m n", "z y x w v u t"
     df = spark.createDataFrame([row(1, one), row(1, two), row(1, one), row(2, two), row(None, three), row(None, three), row(None, one), row(3, "z y x w v u t s r q p")], kind)
     kept = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
-    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("1", one), ("1", two), ("None", three), ("3", "z y x w v u t s r q p")]) or sorted((str(r["doc_id"]), r["text"]) for r in kept) == []
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("1", one), ("1", two), ("None", three), ("3", "z y x w v u t s r q p")])
