@@ -49,12 +49,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = cut(near_texts.groups(marked, carry=(MARK,)))
     gone = found.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(*KEY)
     # rows that repeat the id (or, without one, the text) of a row that stays: none in tables of unique ids
-    stays = found.filter("doc_id = component_id OR component_id IS NULL").groupBy(F.coalesce("component_id", MARK).alias("own"), "doc_id").agg(F.count("*").alias("n"), F.min(MARK).alias("first"))
+    stays = found.filter("doc_id = component_id OR component_id IS NULL").groupBy(F.coalesce("group", MARK).alias("own"), "doc_id").agg(F.count("*").alias("n"), F.min(MARK).alias("first"))
     again = cut(stays.filter("n > 1"))
     if again.isEmpty():
         return _without(marked, gone).select(*COLUMNS)
-    others = found.join(again.select(F.col("doc_id").alias("_id"), "first"), F.col("doc_id") == F.col("_id")).filter(F.col(MARK) != F.col("first")).select(*KEY)
-    return _without(marked, gone.unionByName(others)).dropDuplicates(KEY).select(*COLUMNS)
+    others = found.join(again.select("own", F.col("doc_id").alias("_id"), "first"), (F.col("group") == F.col("own")) & (F.col("doc_id") == F.col("_id")))
+    return _without(marked, gone.unionByName(others.filter(F.col(MARK) != F.col("first")).select(*KEY))).dropDuplicates(KEY).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
