@@ -124,7 +124,9 @@ def anatomy_terms(tokens: Column) -> Column:
     def prepositions(t: Column) -> Column:
         return F.array_compact(F.array(t, F.when((t.startswith("ب") | t.startswith("ل")) & (F.length(t) > 3), _tail(t, 1))))
 
-    forms = F.flatten(F.transform(F.flatten(F.transform(F.flatten(F.transform(tokens, begins)), ends)), prepositions))
+    # only words in the script of the vocabulary (which lies above all Latin letters) can have such a form
+    own = F.filter(tokens, lambda t: t >= F.lit("\u0621"))
+    forms = F.flatten(F.transform(F.flatten(F.transform(F.flatten(F.transform(own, begins)), ends)), prepositions))
     return F.array_intersect(forms, words(ANATOMY))
 
 

@@ -1,7 +1,7 @@
 """Text normalisation as column expressions. The five variants differ on purpose; each lists its steps.
 
 Character classes are spelt out, since \\w, \\s and \\b mean ASCII in the JVM's patterns. Only compatibility normalisation (NFKC) has no JVM function:
-with_nfkc() sends just the rows that it would change to Python.
+with_nfkc() sends just the values that it may change to Python. Operators apply it where texts enter: searches, links, claims.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def matching_form(c: Column) -> Column:
 
 
 def query_form(c: Column) -> Column:
-    """matching_form() of a text in compatibility form (see with_nfkc)."""
+    """matching_form() of a text that with_nfkc() has put in compatibility form."""
     return matching_form(c)
 
 
@@ -82,10 +82,9 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
 
 
-def with_nfkc(df: DataFrame, column: str) -> DataFrame:
-    """df with the column in compatibility form; rows that are stable never leave the JVM."""
-    stable = F.coalesce(F.col(column), F.lit("")).rlike(STABLE)
-    return df.filter(stable).unionByName(df.filter(~stable).withColumn(column, nfkc(F.col(column))))
+def with_nfkc(df: DataFrame, *columns: str) -> DataFrame:
+    """df with the columns in compatibility form. Python sees only the values that it may change, and nulls in place of the others."""
+    return df.withColumns({c: F.coalesce(nfkc(F.when(~F.coalesce(F.col(c), F.lit("")).rlike(STABLE), F.col(c))), F.col(c)) for c in columns})
 
 
 def normalization_steps(c: Column) -> Column:

@@ -34,31 +34,29 @@ def term_forms(phrases: DataFrame) -> DataFrame:
 def link_phrases(phrases: DataFrame, entities: DataFrame) -> DataFrame:
     """phrase_id, status (linked, ambiguous, type_conflict, unresolved), entity_id, match_type, match_score for each phrase (phrase_id, norm, entity_type).
 
-    entities: entity_id, canonical (normal form), aliases (array of normal forms), entity_type. Names and aliases are two equi-joins; an alias counts only
-    if the entity's name shares a word with the phrase.
+    entities: entity_id, canonical (normal form), aliases (array of normal forms), entity_type. Distinct phrases are linked once and joined back. Names and aliases are two equi-joins; an alias counts only
+    if the entity's name shares a word with the phrase. Of the best matches only their number and one of them are kept, so an ambiguous name gathers nothing.
     """
-    forms = term_forms(phrases)
+    forms = term_forms(phrases.select("norm", "entity_type").distinct())
     by_name = forms.join(entities.select("entity_id", "canonical", F.col("entity_type").alias("found_type")), forms.form == F.col("canonical"))
     by_name = by_name.withColumn("match_type", F.when(F.col("kind") == "norm", "exact_canonical").when(F.col("kind") == "article", "article_normalized").otherwise("medical_variant"))
     names = entities.select("entity_id", "canonical", F.col("entity_type").alias("found_type"), F.explode("aliases").alias("alias"))
     by_alias = forms.join(names, forms.form == F.col("alias")).withColumn("match_type", F.lit("exact_alias"))
     shares = F.arrays_overlap(F.split("canonical", " "), F.split("norm", " "))
     by_alias = by_alias.filter((F.col("canonical") == F.col("norm")) | shares).drop("alias")
-    columns = ["phrase_id", "entity_type", "entity_id", "found_type", "match_type"]
+    key = ["norm", "entity_type"]
+    columns = [*key, "entity_id", "found_type", "match_type"]
     score = reduce(lambda c, kv: F.when(F.col("match_type") == kv[0], kv[1]).otherwise(c), MATCH_SCORES.items(), F.lit(0.0))
     hits = by_name.select(*columns).unionByName(by_alias.select(*columns)).withColumn("score", score)
-    best = hits.groupBy("phrase_id", "entity_type", "entity_id", "found_type").agg(F.max(F.struct("score", "match_type")).alias("m"))
-    same = F.col("entity_type") == F.col("found_type")
-    per = best.groupBy("phrase_id").agg(
-        F.max(F.when(same, F.col("m.score"))).alias("top"),
-        F.collect_list(F.when(same, F.struct(F.col("m.score").alias("score"), F.col("m.match_type").alias("match_type"), "entity_id"))).alias("own"),
-        F.count(F.when(~same, 1)).alias("others"),
-    )
-    top = F.filter("own", lambda x: x["score"] == F.col("top"))
-    joined = phrases.select("phrase_id").join(per, "phrase_id", "left").withColumn("top_hits", F.coalesce(top, F.array()))
-    status = F.when(F.col("others").isNull(), "unresolved").when(F.col("top").isNull(), "type_conflict").when(F.size("top_hits") > 1, "ambiguous").otherwise("linked")
-    only = F.when(F.size("top_hits") == 1, F.element_at("top_hits", 1))
-    return joined.select("phrase_id", status.alias("status"), only["entity_id"].alias("entity_id"), only["match_type"].alias("match_type"), F.coalesce("top", F.lit(0.0)).alias("match_score"))
+    best = hits.groupBy(*key, "entity_id", "found_type").agg(F.max(F.struct("score", "match_type")).alias("m"))
+    same = F.col("entity_type").eqNullSafe(F.col("found_type"))
+    levels = best.groupBy(*key, same.alias("same"), F.col("m.score").alias("score")).agg(F.count("*").alias("n"), F.min(F.struct("entity_id", "m.match_type")).alias("one"))
+    per = levels.groupBy(*key).agg(F.max(F.when(F.col("same"), F.struct("score", "n", "one"))).alias("top"), F.max(~F.col("same")).alias("others"))
+    status = F.when(F.col("others").isNull(), "unresolved").when(F.col("top").isNull(), "type_conflict").when(F.col("top.n") > 1, "ambiguous").otherwise("linked")
+    only = F.when(F.col("top.n") == 1, F.col("top.one"))
+    found = per.select(*(F.col(c).alias(f"_{c}") for c in key), status.alias("status"), only["entity_id"].alias("entity_id"), only["match_type"].alias("match_type"), F.col("top.score").alias("match_score"))
+    joined = phrases.select("phrase_id", *key).join(found, F.col("norm").eqNullSafe(F.col("_norm")) & F.col("entity_type").eqNullSafe(F.col("_entity_type")), "left")
+    return joined.select("phrase_id", F.coalesce("status", F.lit("unresolved")).alias("status"), "entity_id", "match_type", F.coalesce("match_score", F.lit(0.0)).alias("match_score"))
 
 
 def _any(text: Column, terms: list[str]) -> Column:

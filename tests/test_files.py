@@ -39,17 +39,32 @@ def test_optional_dictionary_manifest_and_guard(spark, tmp_path):
     files.write_table(df, str(tmp_path / "t"), ["id"])
     with pytest.raises(Exception):
         files.write_table(df, str(tmp_path / "t"), ["id"])
-    files.replace_table(spark.range(5), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 5
+    for n in (5, 7, 9):
+        files.replace_table(spark.range(n), str(tmp_path / "state"))
+        assert files.read_table(spark, str(tmp_path / "state")).count() == n
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("state-")]) == 2  # the state before stays for its readers
+    with pytest.raises(FileNotFoundError):
+        files.read_table(spark, str(tmp_path / "nothing"))
+    files.write_metadata(spark, str(tmp_path / "meta.json"), {"corpus_version": "v1"})
+    files.write_metadata(spark, str(tmp_path / "meta.json"), {"corpus_version": "v2"})
+    assert files.read_metadata(spark, str(tmp_path / "meta.json")) == {"corpus_version": "v2"}
+    (tmp_path / "raw").write_text("a = 1\nb=x\n")
+    assert files.read_metadata(spark, str(tmp_path / "raw")) == {"a": "1", "b": "x"}
+    counts = files.snapshot_counts({"entities": df, "none": df.limit(0)})
+    assert counts == {"entities": 3, "none": 0}
+    files.write_jsonl(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "lines"), ["b", "a"])
+    assert spark.read.text(str(tmp_path / "lines")).first()[0] == '{"b":null,"a":1}'
+    assert files.health(spark) == {"ok": True, "version": spark.version}
     files.write_report(spark, str(tmp_path / "r.json"), {"n": 1})
     assert json.loads((tmp_path / "r.json").read_text()) == {"n": 1}
     assert "Range" in files.dry_run({"a": df})["a"]
 
 
 def test_settings():
-    env = config.parse_env_text("# c\nEVIDARA_RETRIEVAL_QA_TOP_K=7\nEVIDARA_CORPUS_ENABLED='no'\nEVIDARA_RETRIEVAL_MAX_HOPS=x\n")
-    s = config.load_settings(env)
-    assert (s.retrieval.qa_top_k, s.corpus.enabled, s.retrieval.max_hops) == (7, False, 2)
+    text = "# c\nEVIDARA_RETRIEVAL_QA_TOP_K=7\n\n  EVIDARA_CORPUS_ENABLED = 'no'  \nEVIDARA_RETRIEVAL_MAX_HOPS=x\nno assignment\n#EVIDARA_GRAPH_VERSION=z\nEVIDARA_GRAPH_PATH=a=b\n"
+    assert config.parse_env_text(text) == {"EVIDARA_RETRIEVAL_QA_TOP_K": "7", "EVIDARA_CORPUS_ENABLED": "no", "EVIDARA_RETRIEVAL_MAX_HOPS": "x", "EVIDARA_GRAPH_PATH": "a=b"}
+    s = config.load_settings({"EVIDARA_RETRIEVAL_QA_TOP_K": "9"}, env_text=text)
+    assert (s.retrieval.qa_top_k, s.corpus.enabled, s.retrieval.max_hops, s.graph.path, s.graph_version) == (9, False, 1, "a=b", "v1")
     assert config.safe_tag(" a b/c ") == "a_b_c" and config.safe_tag("") == "run"
     with pytest.raises(ValueError):
         config.safe_index_name("a b")
@@ -75,8 +90,19 @@ def test_provider_failures_stay_with_their_row():
             raise RuntimeError("no")
         return ["{}" for _ in prompts]
 
-    assert answering.with_retries(provider, 2)(["a", "bad"]) == ["{}", '{"error": "RuntimeError: no"}']
-    assert answering.retry_wait(0) == 20.0 and answering.retry_wait(9) == 60.0 and answering.retry_wait(0, 3.0) == 3.0
+    waits = []
+    assert answering.with_retries(provider, 2, sleep=waits.append)(["a", "bad"]) == ["{}", json.dumps({"error": "RuntimeError: no", "attempts": 1})] and waits == []
+    assert [answering.retry_wait(n) for n in (1, 2, 3, 9)] == [2.0, 4.0, 8.0, 30.0] and answering.retry_wait(1, 5.0) == 5.0 and answering.retry_wait(1, 99.0) == 30.0
+    calls = []
+
+    def limited(prompts):
+        calls.append(prompts[0])
+        raise answering.status_error(429 if prompts[0] == "later" else 401, "no  more\ncalls", {"Retry-After": "3", "Authorization": "secret"})
+
+    waits = []
+    replies = [json.loads(r) for r in answering.with_retries(limited, 3, sleep=waits.append)(["later", "never"])]
+    assert calls == ["later"] * 3 + ["never"] and waits == [3.0, 4.0] and [r["attempts"] for r in replies] == [3, 1]
+    assert replies[0]["error"] == "ProviderError: HTTP 429; retry-after=3; body=no more calls" and "secret" not in json.dumps(replies)
 
 
 def test_payload_validation(spark):

@@ -33,13 +33,17 @@ def test_chunks_follow_the_greedy_rule(spark):
     sizes = [3000, 3000, 600, 7000, 10, *[1] * 9]
     df = spark.createDataFrame([("g", i, s) for i, s in enumerate(sizes)], "g string, k long, size int")
     got = [r["chunk"] for r in corpus.chunk_numbers(df, ["g"], "k", "size").orderBy("k").collect()]
-    wanted, chunk, n, chars = [], 0, 0, 0
+    assert got == chunks(sizes)
+
+
+def chunks(sizes):
+    out, chunk, n, chars = [], 0, 0, 0
     for s in sizes:
         if n >= 8 or (n and chars + s > 6500):
             chunk, n, chars = chunk + 1, 0, 0
-        wanted.append(chunk)
+        out.append(chunk)
         n, chars = n + 1, chars + s
-    assert got == wanted
+    return out
 
 
 def test_two_hops_use_no_edge_twice(spark):
@@ -73,20 +77,20 @@ def test_claims_from_an_answer(spark):
 
 
 def test_verdicts(spark):
-    base = {"query": "fever treatment rest", "primary_intent": "none", "evidence_id": "E1", "answer_relevance": 0.9, "entity_identity": 0.9, "vector_similarity": 0.9, "intent_support": None, "cited_coverage": 1.0}
     rows = [("good", "rest lowers fever", "rest lowers fever quickly"), ("number", "take 3 pills for fever", "take 5 pills for fever"), ("weak", "rest and sleep and water lower fever", "fever needs rest now"), ("none", "rest lowers fever", None)]
-    df = spark.createDataFrame([(i, c, s, *base.values()) for i, c, s in rows], "claim_id string, claim string, segment string, query string, primary_intent string, evidence_id string, answer_relevance double, entity_identity double, vector_similarity double, intent_support double, cited_coverage double")
-    got = {r["claim_id"]: (r["status"], r["failed_checks"]) for r in cl.verify(df).collect()}
+    claims = spark.createDataFrame([(i, c, "fever treatment rest", "none", i, "E1") for i, c, _ in rows], "claim_id string, claim string, query string, primary_intent string, query_id string, evidence_id string")
+    evidence = spark.createDataFrame([(i, "E1", [s] if s else [], i == "none", 0.9, 0.9, 0.9, None, 1.0) for i, _, s in rows], "query_id string, evidence_id string, texts array<string>, question_only boolean, answer_relevance double, entity_identity double, vector_similarity double, intent_support double, cited_coverage double")
+    got = {r["claim_id"]: (r["status"], r["failed_checks"]) for r in cl.verify(claims, evidence, ["query_id", "evidence_id"]).collect()}
     assert got["good"] == ("supported", [])
     assert got["number"][0] == "unsupported" and "number_mismatch" in got["number"][1]
     assert got["weak"][0] == "supported"  # a third of its words, from a passage past the trust gates
-    assert got["none"][0] == "unsupported" and "no_evidence_segment" in got["none"][1]
+    assert got["none"][0] == "unsupported" and "question_only_evidence" in got["none"][1]
 
 
 def test_segments_join_those_of_equal_polarity(spark):
-    df = spark.createDataFrame([("يفيد الماء. لا يفيد السكر. يفيد النوم", "يفيد الماء والنوم")], "t string, c string")
-    got = df.select(cl.segments(F.col("t"), tm.token_set(F.col("c"))).alias("s")).first()[0]
-    assert got == ["يفيد الماء", "لا يفيد السكر", "يفيد النوم", "يفيد الماء يفيد النوم"]
+    df = spark.createDataFrame([(1, ["يفيد الماء. لا يفيد السكر. يفيد النوم", ""]), (2, None)], "id int, texts array<string>")
+    got = {(r["segment"], r["only"]) for r in cl.segments(df, ["id"]).collect()}
+    assert got == {("يفيد الماء", None), ("لا يفيد السكر", None), ("يفيد النوم", None), ("يفيد الماء يفيد النوم", False), ("يفيد الماء. لا يفيد السكر. يفيد النوم", True)}
 
 
 def test_distinct_phrases(spark):
@@ -146,3 +150,166 @@ def test_anchors_and_fallback(spark):
     df = spark.createDataFrame([("simple_medical", True, 0, 0, "سعال"), ("unclear", True, 1, 1, "سعال"), ("simple_medical", True, 0, 0, "ما"), ("simple_medical", False, 1, 0, "ما"), ("simple_medical", True, 1, 0, "ما")], "c string, v boolean, p int, u int, t string")
     out = [r[0] for r in df.select(rt.needs_fallback(F.col("c"), F.col("v"), F.col("p"), F.col("u"), tm.token_set(F.col("t")))).collect()]
     assert out == [True, False, False, False, True]
+
+
+def test_chunks_go_on_over_partitions(spark):
+    import random
+
+    rnd = random.Random(3)
+    groups = {g: [rnd.choice([1, 40, 900, 3000, 7000]) for _ in range(n)] for g, n in (("a", 700), (None, 90), ("b", 3), ("c", 1), ("d", 200))}
+    rows = [(g, i, s) for g, sizes in groups.items() for i, s in enumerate(sizes)]
+    rnd.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "3", "17", "150"):  # many partitions within a group, some of a row or two
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            df = spark.createDataFrame(rows, "g string, k long, size int")
+            got = {(r["g"], r["k"]): r["chunk"] for r in corpus.chunk_numbers(df, ["g"], "k", "size").collect()}
+            assert got == {(g, i): c for g, sizes in groups.items() for i, c in enumerate(chunks(sizes))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_places_and_running_sums(spark):
+    from evidara.sources.stages import with_places
+
+    df = spark.createDataFrame([(i * 7 % 50, i % 3) for i in range(50)], "k int, v int").repartition(6)
+    rows = sorted((r["k"], r["place"], r["s"]) for r in with_places(df, ["k"], sums={"s": "v"}).collect())
+    value = {i * 7 % 50: i % 3 for i in range(50)}
+    assert rows == [(k, k + 1, sum(value[j] for j in range(k + 1))) for k in range(50)]
+
+
+def test_contained_items(spark):
+    docs = ["xx the quick brown fox jumps over it yy", "quick brown fox", "the quick  brown fox jumps over it", "nothing", "ab cd", "a b c d", None]
+    items = ["he quick brown fox jumps over it", "brown fox", "quick brown", "b c", "cd", "quick", "zzz"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id int, needle string")
+    got = {(r["doc_id"], r["item_id"]) for r in corpus.contained(d, "doc_id", "text", b, "item_id", "needle").collect()}
+    assert got == {(i, j) for i, t in enumerate(docs) for j, n in enumerate(items) if t and n in t}
+
+
+def test_sequence_ids_and_distinct_mentions(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 9), ("a", 1), (None, 5)], "g string, k int")
+    got = {(r["g"], r["k"]): r["sequence_id"] for r in corpus.sequence_ids(df, ["g"], "k", "chunk_", 5).collect()}
+    assert got == {(None, 5): "chunk_00001", ("a", 1): "chunk_00002", ("a", 9): "chunk_00003", ("b", 2): "chunk_00004"}
+    m = spark.createDataFrame([(1, "x", "late", 5), (1, "x", "first", 2), (2, "x", "one", 9)], "qa int, e string, v string, ordinal int")
+    assert {tuple(r) for r in corpus.distinct_mentions(m, ["qa", "e"]).collect()} == {(1, "x", "first", 2), (2, "x", "one", 9)}
+
+
+def test_stored_index(spark, tmp_path):
+    import pytest
+
+    rows = [(1, "fever and pain", "rest", "a"), (2, "pain in the knee", "doctor for pain", "b"), (3, "held out", "x", "a"), (4, "Fever and  pain", "rest", "a"), (5, "", "x", "a"), (6, "cough", "honey", None)]
+    df = spark.createDataFrame(rows, "qa_id long, question string, answer string, category string")
+    held = spark.createDataFrame([("held out",)], "question_norm string")
+    found = se.write_index(df, str(tmp_path / "index"), "v1", held)
+    assert (found["source_rows"], found["indexed_rows"], found["heldout_rows"], found["duplicate_rows"], found["invalid_rows"]) == (6, 3, 1, 1, 1)
+    postings, stats, records = se.open_index(spark, str(tmp_path / "index"), "v1")
+    asked = spark.createDataFrame([(1, "fever pain"), (2, "honey")], "query_id int, query string")
+    plain = se.search_qa(records, asked).select("query_id", "qa_id", "position", "bm25", "score", "rank").collect()
+    stored = se.search_qa(records, asked, index=(postings, stats)).select("query_id", "qa_id", "position", "bm25", "score", "rank").collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, stored)) and {r["qa_id"] for r in stored} == {1, 2, 6}
+    se.write_index(df.filter("qa_id < 3"), str(tmp_path / "index"), "v2")
+    assert se.open_index(spark, str(tmp_path / "index"), "v2")[2].count() == 2
+    with pytest.raises(ValueError, match="version"):
+        se.open_index(spark, str(tmp_path / "index"), "v1")
+
+
+def test_compatibility_forms_in_search_and_links(spark):
+    from evidara.operators import linking as li
+    from evidara.functions import text as tx
+
+    qas = spark.createDataFrame([(1, "\ufed3\ufed8\ufeae \ufe8d\ufedf\ufeaa\ufee1", "x", "c"), (2, "other words", "y", "c")], "qa_id long, question string, answer string, category string")
+    plain = spark.createDataFrame([(1, "فقر الدم"), (2, "\ufed3\ufed8\ufeae \ufe8d\ufedf\ufeaa\ufee1")], "query_id int, query string")
+    terms = {r["query_id"]: (r["terms"], r["legacy"]) for r in se.index_terms(plain).collect()}
+    assert terms[1] == (["فقر", "الدم"], []) and terms[2][0] == ["فقر", "الدم"] and len(terms[2][1]) == 2
+    got = {r["query_id"]: (r["qa_id"], r["score"]) for r in se.search_qa(qas, plain).collect()}
+    assert got[2][0] == 1 and got[2][1] > 0.9  # found by its own glyphs, scored by the plain words
+    names = tx.with_nfkc(qas, "question").select(F.col("qa_id").cast("string").alias("entity_id"), tx.query_form(F.col("question")).alias("canonical"), F.array().cast("array<string>").alias("aliases"), F.lit("T").alias("entity_type"))
+    phrases = plain.filter("query_id = 1").select(F.col("query_id").alias("phrase_id"), tx.query_form(F.col("query")).alias("norm"), F.lit("T").alias("entity_type"))
+    assert [(r["status"], r["entity_id"]) for r in li.link_phrases(phrases, names).collect()] == [("linked", "1")]
+
+
+def test_links_count_ties_without_gathering_them(spark):
+    from evidara.operators import linking as li
+
+    ents = spark.createDataFrame([("e1", "fever", ["heat"], "S"), ("e2", "pain", [], "S"), ("e3", "pain", [], "S"), ("e4", "drug", [], "T")], "entity_id string, canonical string, aliases array<string>, entity_type string")
+    phrases = spark.createDataFrame([(1, "fever", "S"), (2, "pain", "S"), (3, "drug", "S"), (4, "zzz", "S"), (5, "fever", "S"), (6, "heat", "S")], "phrase_id int, norm string, entity_type string")
+    got = {r["phrase_id"]: (r["status"], r["entity_id"]) for r in li.link_phrases(phrases, ents).collect()}
+    assert got == {1: ("linked", "e1"), 2: ("ambiguous", None), 3: ("type_conflict", None), 4: ("unresolved", None), 5: ("linked", "e1"), 6: ("unresolved", None)}
+
+
+def test_query_analysis(spark):
+    import json
+
+    from evidara.operators import analysis as an
+
+    base = {"corrected_query": "علاج الصداع", "reformulated_query": "ما علاج الصداع؟", "query_class": "simple_medical", "complexity": "low", "primary_intent": "general_medical_advice", "secondary_intents": ["comparison", "comparison"], "medical_phrases": [], "confidence": 0.7, "warnings": [" w ", ""]}
+    phrase = lambda **k: {"surface_form": "الصداع", "normalized_form": "صداع", "entity_type": "Symptom", "source": "corrected_query", "confidence": 0.8} | k
+    make = lambda **k: json.dumps(base | k, ensure_ascii=False)
+    replies = [
+        (1, "علاج الصداع", make(medical_phrases=[phrase(), phrase(surface_form="السكر"), phrase(entity_type="Body"), phrase(confidence="x"), phrase(confidence=3), "no object"])),
+        (2, "اشعر بالم", make(corrected_query="اشعر بالم", reformulated_query="سبب الالم")),
+        (3, "علاج", make(query_class="odd")), (4, "ما اعراض البرد", "no json"), (5, "طقس", json.dumps({k: v for k, v in base.items() if k != "warnings"})), (6, "x", make(confidence=2)),
+        (7, "شيء", make(corrected_query="شيء", reformulated_query="شيء", query_class="non_medical", primary_intent="treatment_request", medical_phrases=[phrase()])),
+    ]
+    df = spark.createDataFrame([(i, q, q, r) for i, q, r in replies], "query_id int, original_query string, normalized_query string, reply string")
+    analysis, phrases = an.validate(df)
+    got = {r["query_id"]: r for r in analysis.collect()}
+    assert (got[1]["primary_intent"], got[1]["confidence"], got[1]["preferred_relation_types"], got[1]["analysis_status"]) == ("treatment_request", 0.9, ["TREATED_BY", "TREATS"], "model")
+    assert got[1]["warnings"][0] == "w" and sum(w.startswith("Skipped phrase") for w in got[1]["warnings"]) == 5 and any(w.startswith("Adjusted phrase 1") for w in got[1]["warnings"])
+    assert [(r["query_id"], r["norm"], r["entity_type"]) for r in phrases.collect()] == [(1, "الصداع", "Symptom")]
+    assert got[2]["reformulated_query"].startswith("ما التوجيه") and any("Blocked" in w for w in got[2]["warnings"])
+    assert got[3]["analysis_status"] == "fallback" and "Invalid query_class: odd" in got[3]["warnings"][0] and got[3]["primary_intent"] == "treatment_request"
+    assert got[4]["primary_intent"] == "symptom_request" and "not a JSON object" in got[4]["warnings"][0]
+    assert got[5]["primary_intent"] == "non_medical" and got[5]["query_class"] == "non_medical" and "Missing required fields: warnings" in got[5]["warnings"][0]
+    assert "between 0 and 1" in got[6]["warnings"][0] and got[6]["primary_intent"] == "unclear_intent"
+    assert (got[7]["primary_intent"], got[7]["secondary_intents"]) == ("non_medical", [])
+
+
+def test_authoritative_texts_and_ties(spark):
+    from evidara.operators import evidence as ev
+
+    rows = [("q", "qa::1", "what helps", "what helps", "rest helps", "mention_evidence", None, ["r1"], "1"), ("q", "qa::2", "rest helps", "what", "rest helps", "x", None, [], "1"), ("q", "r", "a fact", "", "", "x", "validated_relation", ["r1", "r2"], "")]
+    df = spark.createDataFrame(rows, "query_id string, evidence_id string, text string, question string, answer string, source_quality string, origin_label string, relation_ids array<string>, qa_id string")
+    df = df.withColumn("facts", F.when(F.col("evidence_id") == "r", F.array(F.lit(" f "), F.lit(""))))
+    got = {r["evidence_id"]: (r["origin"], r["question_only"], r["texts"]) for r in ev.authoritative(df, "facts").collect()}
+    assert got == {"qa::1": ("question", True, ["rest helps"]), "qa::2": ("answer", False, ["rest helps"]), "r": ("validated_relation", False, ["a fact", "f"])}
+    relations = spark.createDataFrame([("q", "r1", "1"), ("q", "r2", "9")], "query_id string, relation_id string, qa_id string")
+    ties = sorted((r["relation_id"], r["evidence_id"], r["by"]) for r in ev.of_relations(relations, df).collect())
+    assert ties == [("r1", "qa::1", "qa"), ("r1", "qa::1", "relation"), ("r1", "qa::2", "qa"), ("r1", "r", "relation"), ("r2", "r", "relation")]
+    priors = {r["relation_id"]: r["source_prior"] for r in ev.source_priors(relations, df).collect()}
+    assert priors == {"r1": 0.65, "r2": 0.65}
+    facts = spark.createDataFrame([("q", "r1", "one"), ("q", "r2", "two")], "query_id string, relation_id string, fact string")
+    assert {r["evidence_id"]: r["facts"] for r in ev.facts_of(df, facts).collect()} == {"qa::1": ["one"], "r": ["one", "two"]}
+
+
+def test_reports_and_joined_texts(spark):
+    from evidara.operators import analysis as an, evidence as ev
+
+    ents = spark.createDataFrame([("Test", "low", 0.4), ("Test", "high", 0.9), ("Symptom", None, None)], "entity_type string, quality string, avg_confidence double")
+    ments = spark.createDataFrame([("c1", "m", 0.1), ("c1", None, 0.9), ("c2", "m", None)], "chunk_id string, model string, confidence double")
+    errs = spark.createDataFrame([("c1", "error", "x"), ("c3", "error", "y"), ("c1", "warning", "Rejected entity: generic"), ("c1", "warning", "Rejected accidental entity type: Other")], "chunk_id string, severity string, error string")
+    got = {(r["part"], r["label"]): r["n"] for r in ev.extraction_report(ents, ments, errs).collect()}
+    assert got == {
+        ("entity_type", "Test"): 2, ("entity_type", "Symptom"): 1, ("quality", "low"): 1, ("quality", "high"): 1, ("quality", "unknown"): 1, ("entities", "not_actionable"): 1, ("entities", "low_confidence"): 2, ("mentions", "low_confidence"): 2,
+        ("model", "m"): 2, ("model", "unknown"): 1, ("chunks", "with_entities"): 2, ("severity", "error"): 2, ("severity", "warning"): 2, ("chunks", "failed"): 2, ("rejected", "entity"): 1, ("rejected", "accidental entity type"): 1,
+    }
+    rows = spark.createDataFrame([("a", " x ", 2), ("a", "y", 1), ("a", "x", 3), ("a", " ", 0), ("b", None, 1)], "k string, v string, o int")
+    assert [tuple(r) for r in ev.joined_once(rows, ["k"], "v", "o").collect()] == [("a", "y\nx")]
+    assert {tuple(r) for r in ev.most_frequent(rows, "k", "v", "o").collect()} >= {("b", None)}
+    lists = spark.createDataFrame([(["a", "", "b"], None, ["b", "c", None])], "x array<string>, y array<string>, z array<string>")
+    assert lists.select(an.ordered_union(F.col("x"), F.col("y"), F.col("z"))).first()[0] == ["a", "b", "c"]
+
+
+def test_optional_metrics():
+    import numpy as np
+
+    assert mt.metric_status("no_such_package", True)["status"] == "unavailable" and mt.metric_status("json", True)["status"] == "not_run"
+    assert mt.text_similarity("a b", "b c")["status"] == "unavailable"
+    same = lambda p, r: np.array([[float(x == y) for y in r] for x in p])
+    assert mt.text_similarity("a b", "b c", same) == {"status": "computed", "precision": 0.5, "recall": 0.5, "f1": 0.5}
+
+
