@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.similarity import dot
 from ..operators import metrics as mt
@@ -41,26 +40,26 @@ def relation_prf1(spark, d):
     return mt.precision_recall_f1(rows.filter("l_quantity > 20"), rows.filter("l_discount > 0.04"), ["a", "r", "b"])
 
 
-@case("claim_rates", "SELECT source, round(avg((quality = 1)::INT), 6) AS supported_rate, round(avg((toxic = 1)::INT), 6) AS unsupported_rate, count(*)::BIGINT AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
+@case("claim_rates", "SELECT source, round(avg((quality = 1 AND toxic <> 1)::INT), 6) AS supported_rate, round(avg((quality <> 1 AND toxic <> 1)::INT), 6) AS weak_rate, round(avg((quality <> 1 AND toxic = 1)::INT), 6) AS unsupported_rate, count(*)::BIGINT AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def claim_rates(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
-    return rows.groupBy("source").agg(F.round(F.count_if(F.col("quality") == 1) / F.count("*"), 6).alias("supported_rate"), F.round(F.count_if(F.col("toxic") == 1) / F.count("*"), 6).alias("unsupported_rate"), F.count("*").alias("n"))
+    status = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 1, "both").otherwise("supported")).when(F.col("toxic") == 1, "unsupported").otherwise("weakly_supported")
+    return mt.status_rates(rows.withColumn("status", status), ["source"], "status", {"supported_rate": "supported", "weak_rate": "weakly_supported", "unsupported_rate": "unsupported"})
 
 
 @case(
     "recall_mrr_ndcg",
-    """WITH a AS (SELECT q.vec_id AS query_id, v.vec_id, (v.label = q.label)::INT AS gain, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id < 5 AND v.vec_id <> q.vec_id),
+    """WITH a AS (SELECT q.vec_id AS query_id, v.vec_id, (v.label = q.label)::INT AS gain, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
     n AS (SELECT query_id, sum(gain) AS n FROM a GROUP BY 1), i AS (SELECT query_id, n, (SELECT sum(1 / log2(x + 1)) FROM range(1, least(10, n)::BIGINT + 1) t(x)) AS idcg FROM n)
     SELECT a.query_id, round(count(*) FILTER (WHERE rank <= 10 AND gain = 1) / max(n), 6) AS recall_at_k, round(coalesce(1 / min(CASE WHEN gain = 1 THEN rank END), 0), 6) AS reciprocal_rank, round(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1) ELSE 0 END) / max(idcg), 6) AS ndcg_at_k
     FROM a JOIN i USING (query_id) GROUP BY a.query_id""",
 )
 def recall_mrr_ndcg(spark, d):
+    """Queries are the vectors whose id is divisible by 100, against all others."""
     v = table(spark, d, "embeddings")
-    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    pairs = v.crossJoin(q).filter("vec_id <> query_id").select("query_id", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("gain"), F.round(dot(F.col("qv"), F.col("embedding")), 9).alias("s"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")))
-    relevant = pairs.groupBy("query_id").agg(F.sum("gain").alias("n_relevant"), F.slice(F.sort_array(F.collect_list(F.when(F.col("gain") > 0, F.col("gain"))), asc=False), 1, 10).alias("ideal"))
-    return mt.ranking_metrics(ranked, relevant, 10)
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
+    pairs = v.crossJoin(q).filter("vec_id <> query_id").select("query_id", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("gain"), F.round(dot(F.col("qv"), F.col("embedding")), 9).alias("score"))
+    return mt.ranking_metrics(*mt.rank_scored(pairs, 10, "vec_id"), 10)
 
 
 @case("auroc", f"WITH {_S_SAMPLES} SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END::DOUBLE), 6) AS auroc FROM s p, s n WHERE p.label = 1 AND n.label = 0")
@@ -95,23 +94,16 @@ def threshold_sweep(spark, d):
 @case("latency_average", "SELECT event_type, round(sum(coalesce(value, 0)) / (SELECT count(*) FROM events), 6) AS mean_latency FROM events GROUP BY event_type")
 def latency_average(spark, d):
     """Mean over all runs; a stage that a run lacks counts as zero."""
-    events = table(spark, d, "events")
-    total = events.agg(F.count("*").alias("n"))
-    sums = events.groupBy("event_type").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("s"))
-    return sums.crossJoin(total).select("event_type", F.round(F.col("s") / F.col("n"), 6).alias("mean_latency"))
+    return mt.mean_latency(table(spark, d, "events"), "event_type", "value")
 
 
 @case(
     "matrix_mean_best",
-    """WITH a AS (SELECT p.vec_id AS i, g.vec_id AS j, list_dot_product(p.embedding::DOUBLE[], g.embedding::DOUBLE[]) AS s FROM embeddings p, embeddings g WHERE p.vec_id < 20 AND g.vec_id BETWEEN 20 AND 39),
+    """WITH a AS (SELECT p.vec_id AS i, g.vec_id AS j, list_dot_product(p.embedding::DOUBLE[], g.embedding::DOUBLE[]) AS s FROM embeddings p, embeddings g WHERE p.vec_id % 100 = 0 AND g.vec_id % 100 <> 0),
     r AS (SELECT avg(m) AS p FROM (SELECT max(s) AS m FROM a GROUP BY i)), c AS (SELECT avg(m) AS q FROM (SELECT max(s) AS m FROM a GROUP BY j)) SELECT round(p, 6) AS precision, round(q, 6) AS recall, round(2 * p * q / (p + q), 6) AS f1 FROM r, c""",
 )
 def matrix_mean_best(spark, d):
-    """Best similarity of each predicted entity and of each gold one, averaged both ways."""
+    """Predicted are the vectors whose id is divisible by 100, gold are all others."""
     v = table(spark, d, "embeddings")
-    left = v.filter("vec_id < 20").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
-    right = v.filter("vec_id BETWEEN 20 AND 39").select(F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
-    s = left.crossJoin(right).select("i", "j", dot(F.col("a"), F.col("b")).alias("s"))
-    p = s.groupBy("i").agg(F.max("s").alias("m")).agg(F.avg("m").alias("p"))
-    q = s.groupBy("j").agg(F.max("s").alias("m")).agg(F.avg("m").alias("q"))
-    return p.crossJoin(q).select(F.round("p", 6).alias("precision"), F.round("q", 6).alias("recall"), F.round(2 * F.col("p") * F.col("q") / (F.col("p") + F.col("q")), 6).alias("f1"))
+    predicted = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
+    return mt.mean_best(predicted, v.filter("vec_id % 100 <> 0").select(F.col("vec_id").alias("j"), F.col("embedding").alias("b")), dot)

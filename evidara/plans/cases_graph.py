@@ -77,9 +77,9 @@ def latest_record_per_key(spark, d):
     SELECT user_id FROM q WHERE n BETWEEN 11 AND 100 AND user_id NOT IN (SELECT user_id FROM done)""",
 )
 def resume_pending(spark, d):
-    """The slice of the work list that has no completed record yet; the list of keys is small beside the log."""
+    """The slice of the work list that has no completed record yet: tasks keep its first 100 keys, and only those are numbered."""
     events = table(spark, d, "events")
-    queue = events.select("user_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("user_id")))
+    queue = events.select("user_id").distinct().orderBy("user_id").limit(100).withColumn("n", F.row_number().over(Window.orderBy("user_id")))
     done = events.filter("event_type = 'purchase' AND event_id < 300").select("user_id").distinct()
     return queue.filter("n BETWEEN 11 AND 100").join(done, "user_id", "left_anti").select("user_id")
 
@@ -213,34 +213,40 @@ def graph_upsert(spark, d):
     return gr.upsert(c.filter("k % 3 <> 0"), new, "k")
 
 
-_SEEDS = ("customer:1", "customer:7", "part:3")
+# Seeds of the walks: the entities whose key is divisible by 100.
+_S_SEEDS = "s AS (SELECT DISTINCT entity_id AS seed FROM m WHERE k % 100 = 0 AND kind {kinds})"
 
 
-def _seeds(spark):
-    return spark.createDataFrame([(s,) for s in _SEEDS], "entity_id string")
+def _seeds(spark, d, *kinds):
+    """The customers, parts or suppliers whose key is divisible by 100."""
+    key = {"customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    rows = [table(spark, d, k).select(F.col(key[k]).alias("k")).filter("k % 100 = 0").select(F.concat(F.lit(f"{k}:"), F.col("k").cast("string")).alias("entity_id")) for k in kinds]
+    return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
 
 
 @case(
     "graph_hop1",
-    f"""WITH {S_EDGES}, s AS (SELECT unnest({list(_SEEDS)}) AS seed)
-    SELECT DISTINCT seed AS seed_entity_id, edge_id, graph_relation_type FROM e JOIN s ON seed = source_entity_id OR seed = target_entity_id WHERE edge_direction = 'direct'""",
+    f"""WITH {S_EDGES}, {_S_SEEDS.format(kinds="IN (0, 2)")}
+    SELECT DISTINCT seed AS seed_entity_id, edge_id, graph_relation_type FROM (SELECT * FROM e WHERE edge_direction = 'direct') JOIN s ON seed = source_entity_id
+    UNION SELECT DISTINCT seed, edge_id, graph_relation_type FROM (SELECT * FROM e WHERE edge_direction = 'direct') JOIN s ON seed = target_entity_id""",
 )
 def graph_hop1(spark, d):
     direct = edges(spark, d).filter("edge_direction = 'direct'")
-    return gr.hop_edges(direct, _seeds(spark), 1).select("seed_entity_id", "edge_id", "graph_relation_type")
+    return gr.hop_edges(direct, _seeds(spark, d, "customer", "part"), 1).select("seed_entity_id", "edge_id", "graph_relation_type")
 
 
 @case(
     "graph_hop2",
     f"""WITH {S_EDGES}, d AS (SELECT relation_id, source_entity_id AS a, target_entity_id AS b, graph_relation_type FROM e WHERE edge_direction = 'direct'),
-    u AS (SELECT relation_id, a, b FROM d UNION ALL SELECT relation_id, b, a FROM d), s AS (SELECT unnest({list(_SEEDS[:2])}) AS seed),
-    h1 AS (SELECT seed, relation_id, b FROM u JOIN s ON a = seed), h2 AS (SELECT DISTINCT h1.seed, u.relation_id FROM h1 JOIN u ON u.a = h1.b AND u.relation_id <> h1.relation_id),
+    u AS (SELECT relation_id, a, b FROM d UNION ALL SELECT relation_id, b, a FROM d), {_S_SEEDS.format(kinds="= 0")},
+    h1 AS (SELECT seed, relation_id, b FROM u JOIN s ON a = seed), v AS (SELECT seed, b, count(DISTINCT relation_id) AS n, min(relation_id) AS only FROM h1 GROUP BY ALL),
+    h2 AS (SELECT DISTINCT v.seed, u.relation_id FROM v JOIN u ON u.a = v.b WHERE v.n > 1 OR u.relation_id <> v.only),
     x AS (SELECT seed, relation_id FROM h1 UNION SELECT seed, relation_id FROM h2)
     SELECT seed AS seed_entity_id, relation_id, graph_relation_type FROM x JOIN d USING (relation_id) WHERE graph_relation_type IN ('TREATED_BY', 'HAS_SYMPTOM')""",
 )
 def graph_hop2(spark, d):
     direct = edges(spark, d).filter("edge_direction = 'direct'")
-    found = gr.hop_edges(direct, _seeds(spark).filter("entity_id like 'customer%'"), 2, ["TREATED_BY", "HAS_SYMPTOM"])
+    found = gr.hop_edges(direct, _seeds(spark, d, "customer"), 2, ["TREATED_BY", "HAS_SYMPTOM"])
     return found.select("seed_entity_id", "relation_id", "graph_relation_type")
 
 
@@ -261,8 +267,9 @@ def entity_point_lookup(spark, d):
 @case(
     "entity_link",
     f"""WITH ents AS (SELECT 'part:' || p_partkey AS entity_id, {s_match('p_name')} AS canonical, {s_match('p_brand')} AS alias, CASE WHEN p_size > 25 THEN 'Test' ELSE 'Treatment' END AS kind FROM part),
-    q AS (SELECT 'part:' || p_partkey AS phrase_id, CASE p_partkey % 3 WHEN 0 THEN {s_match('p_name')} WHEN 1 THEN {s_match('p_brand')} ELSE 'unknown thing' END AS norm, 'Treatment' AS kind FROM part WHERE p_partkey <= 60),
-    hit AS (SELECT phrase_id, q.norm, q.kind AS wanted, entity_id, ents.kind, canonical, CASE WHEN canonical = norm THEN 'exact_canonical' ELSE 'exact_alias' END AS match_type FROM q JOIN ents ON canonical = norm OR alias = norm),
+    q AS (SELECT 'part:' || p_partkey AS phrase_id, CASE p_partkey % 3 WHEN 0 THEN {s_match('p_name')} WHEN 1 THEN {s_match('p_brand')} ELSE 'unknown thing' END AS norm, 'Treatment' AS kind FROM part),
+    hit AS (SELECT phrase_id, q.norm, q.kind AS wanted, entity_id, ents.kind, canonical, 'exact_canonical' AS match_type FROM q JOIN ents ON canonical = norm
+        UNION ALL SELECT phrase_id, q.norm, q.kind, entity_id, ents.kind, canonical, 'exact_alias' FROM q JOIN ents ON alias = norm AND canonical <> norm),
     ok AS (SELECT * FROM hit WHERE match_type = 'exact_canonical' OR len(list_intersect(string_split(canonical, ' '), string_split(norm, ' '))) > 0),
     z AS (SELECT *, CASE match_type WHEN 'exact_canonical' THEN 1.0::DOUBLE ELSE 0.95::DOUBLE END AS s, kind = wanted AS same FROM ok),
     b AS (SELECT *, max(CASE WHEN same THEN s END) OVER (PARTITION BY phrase_id) AS best FROM z),
@@ -273,12 +280,12 @@ def entity_point_lookup(spark, d):
 def entity_link(spark, d):
     from ..operators.linking import link_phrases
 
-    parts = table(spark, d, "part")
+    parts = tx.with_nfkc(table(spark, d, "part"), "p_name", "p_brand")
     norm = lambda c: tx.query_form(F.col(c))
     entities = parts.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity_id"), norm("p_name").alias("canonical"), F.array(norm("p_brand")).alias("aliases"), F.when(F.col("p_size") > 25, "Test").otherwise("Treatment").alias("entity_type"))
     n = F.col("p_partkey") % 3
     text = F.when(n == 0, norm("p_name")).when(n == 1, norm("p_brand")).otherwise("unknown thing")
-    phrases = parts.filter("p_partkey <= 60").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("phrase_id"), text.alias("norm"), F.lit("Treatment").alias("entity_type"))
+    phrases = parts.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("phrase_id"), text.alias("norm"), F.lit("Treatment").alias("entity_type"))
     return link_phrases(phrases, entities).select("phrase_id", "status", "entity_id", "match_score")
 
 
@@ -325,17 +332,18 @@ def vector_support(spark, d):
 
 @case(
     "seed_scores",
-    f"""WITH p AS (SELECT p_partkey, {s_match('p_name')} AS norm, p_partkey % 40 AS query_id FROM part WHERE p_partkey < 400), prim AS (SELECT DISTINCT query_id, 'e' || p_partkey AS entity_id FROM p WHERE p_partkey % 40 < 10 AND p_partkey < 40),
-    h AS (SELECT query_id, 'e' || p_partkey AS entity_id, norm AS title, 0.8::DOUBLE + (p_partkey % 19) / 100.0::DOUBLE AS score, p_partkey AS ordinal FROM p), q AS (SELECT query_id, norm FROM p WHERE p_partkey < 40),
+    f"""WITH p AS (SELECT p_partkey, {s_match('p_name')} AS norm, p_partkey // 100 * 100 AS query_id FROM part), prim AS (SELECT query_id, 'e' || p_partkey AS entity_id FROM p WHERE p_partkey = query_id AND query_id // 100 % 4 = 1),
+    h AS (SELECT query_id, 'e' || p_partkey AS entity_id, norm AS title, 0.8::DOUBLE + (p_partkey % 19) / 100.0::DOUBLE AS score, p_partkey AS ordinal FROM p), q AS (SELECT query_id, norm FROM p WHERE p_partkey = query_id),
     o AS (SELECT h.*, q.norm, string_split(title, ' ') AS t, string_split(q.norm, ' ') AS n FROM h JOIN q USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM prim) AND score >= 0.86),
     i AS (SELECT *, len(list_intersect(list_filter(t, lambda x: length(x) > 2), list_filter(n, lambda x: length(x) > 2))) / least(len(list_distinct(list_filter(t, lambda x: length(x) > 2))), len(list_distinct(list_filter(n, lambda x: length(x) > 2)))) AS ident FROM o),
     r AS (SELECT query_id, entity_id, score FROM i WHERE ident >= 0.86 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) <= 2)
     SELECT query_id, entity_id, 1.0::DOUBLE AS seed_score FROM prim UNION ALL SELECT query_id, entity_id, round(least(0.70, 0.75 * score), 9)::DOUBLE FROM r""",
 )
 def seed_scores(spark, d):
+    """Each part is a hit of the query of its hundred; the queries are the parts whose key is divisible by 100."""
     from ..operators.retrieval import seed_scores as run
 
-    p = table(spark, d, "part").filter("p_partkey < 400").select("p_partkey", tx.query_form(F.col("p_name")).alias("norm"), (F.col("p_partkey") % 40).alias("query_id"), F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("entity_id"))
+    p = table(spark, d, "part").select("p_partkey", tx.query_form(F.col("p_name")).alias("norm"), F.expr("p_partkey div 100 * 100").alias("query_id"), F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("entity_id"))
     hits = p.select("query_id", "entity_id", F.col("norm").alias("title"), F.lit("Treatment").alias("entity_type"), (0.8 + F.col("p_partkey") % 19 / 100.0).alias("score"), F.col("p_partkey").alias("ordinal"))
-    phrases = p.filter("p_partkey < 40").select("query_id", "norm", F.lit("Treatment").alias("entity_type"))
-    return run(p.filter("p_partkey % 40 < 10 AND p_partkey < 40"), hits, phrases).withColumn("seed_score", F.round("seed_score", 9))
+    phrases = p.filter("p_partkey = query_id").select("query_id", "norm", F.lit("Treatment").alias("entity_type"))
+    return run(p.filter("p_partkey = query_id AND query_id div 100 % 4 = 1"), hits, phrases).withColumn("seed_score", F.round("seed_score", 9))

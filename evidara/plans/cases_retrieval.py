@@ -1,4 +1,4 @@
-"""Queries on retrieval, reranking, context and claims. Asked are the questions of the first conversations; the corpus are all question-answer pairs."""
+"""Queries on retrieval, reranking, context and claims. Asked are the questions of all conversations; the corpus are all question-answer pairs. Vector queries are the rows whose id is divisible by 100."""
 
 from __future__ import annotations
 
@@ -9,11 +9,8 @@ from ..operators import claims as cl, context as ctx, corpus, rerank as rr, sear
 from ..operators import linking as li
 from .registry import QA_PAIRS, case, s_index_tokens, s_list, s_match, s_tokens, table
 
-N_ASKED = 8  # conversations
-
-
 def asked(spark, d):
-    return qas(spark, d).filter(F.col("conv_id") < N_ASKED).select(F.col("qa_id").alias("query_id"), F.col("question").alias("query"))
+    return qas(spark, d).select(F.col("qa_id").alias("query_id"), F.col("question").alias("query"))
 
 
 def qas(spark, d):
@@ -26,7 +23,7 @@ def _t(c: str) -> str:
 
 _STOP = s_list(tm.QUERY_STOPWORDS)
 S_BM25 = f"""{QA_PAIRS},
-ask AS (SELECT qa_id AS query_id, question AS query, list_filter({_t('question')}, lambda x: length(x) >= 2 AND NOT list_contains({_STOP}, x)) AS own FROM qa WHERE conv_id < {N_ASKED}),
+ask AS (SELECT qa_id AS query_id, question AS query, list_filter({_t('question')}, lambda x: length(x) >= 2 AND NOT list_contains({_STOP}, x)) AS own FROM qa),
 e0 AS (SELECT query_id, unnest(own) AS term, unnest(range(len(own))) AS pos FROM ask),
 e1 AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS n FROM e0 GROUP BY query_id, term),
 qt AS (SELECT query_id, list(term) AS terms FROM e1 WHERE n <= 24 GROUP BY 1),
@@ -62,10 +59,10 @@ _S_VEC = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
 def _vec(spark, d):
     v = table(spark, d, "embeddings")
-    return v, v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@case("vector_topk", f"SELECT q.vec_id AS query_id, v.vec_id, round((1 + {_S_VEC}) / 2, 6) AS score, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round((1 + {_S_VEC}) / 2, 9) DESC, v.vec_id))::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 5 QUALIFY rank <= 10")
+@case("vector_topk", f"SELECT q.vec_id AS query_id, v.vec_id, round((1 + {_S_VEC}) / 2, 6) AS score, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round((1 + {_S_VEC}) / 2, 9) DESC, v.vec_id))::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10")
 def vector_topk(spark, d):
     v, q = _vec(spark, d)
     return se.vector_top_k(v.select("vec_id", "embedding"), q, 10).withColumn("score", F.round("score", 6))
@@ -73,7 +70,7 @@ def vector_topk(spark, d):
 
 @case(
     "vector_overfetch_filter",
-    f"""WITH a AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round((1 + {_S_VEC}) / 2, 9) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round((1 + {_S_VEC}) / 2, 9) DESC, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id < 5)
+    f"""WITH a AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round((1 + {_S_VEC}) / 2, 9) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round((1 + {_S_VEC}) / 2, 9) DESC, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
     SELECT query_id, vec_id, round(s, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY r))::INT AS rank FROM a WHERE r <= 30 AND label % 2 = 0 QUALIFY rank <= 10""",
 )
 def vector_overfetch_filter(spark, d):
@@ -88,7 +85,7 @@ def vector_overfetch_filter(spark, d):
 
 @case(
     "vector_channels_union",
-    f"""WITH a AS (SELECT q.vec_id AS query_id, v.vec_id, v.label % 3 AS channel, round((1 + {_S_VEC}) / 2, 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id < 5),
+    f"""WITH a AS (SELECT q.vec_id AS query_id, v.vec_id, v.label % 3 AS channel, round((1 + {_S_VEC}) / 2, 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY s DESC, vec_id) AS r FROM a)
     SELECT query_id, channel::INT AS channel, vec_id, r::INT AS rank, quality FROM k LEFT JOIN labels ON doc_id = vec_id WHERE r <= CASE channel WHEN 2 THEN 5 ELSE 10 END""",
 )
@@ -232,7 +229,7 @@ def evidence_dedup(spark, d):
 
 _R_SQL = f"""r AS (SELECT l_orderkey * 10 + l_linenumber AS relation_id, l_partkey AS source_relation_id, l_discount * 10 AS confidence, CASE l_linenumber % 2 WHEN 0 THEN 'TREATED_BY' ELSE 'HAS_SYMPTOM' END AS relation_type, l_tax AS semantic,
     CASE WHEN l_suppkey % 3 = 0 THEN 0.95::DOUBLE ELSE 0.5::DOUBLE END AS seed, p_name AS source_name, p_brand AS target_name, p_type AS evidence, CASE WHEN l_linenumber < 3 THEN 'direct' ELSE 'inverse' END AS direction, p_size < 5 AS generic_seed, p_size > 48 AS type_conflict
-    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 1500),
+    FROM lineitem JOIN part ON p_partkey = l_partkey),
 rt AS (SELECT *, ['blue', 'small', 'tin', 'brand'] AS q, list_distinct({_t('source_name')}) AS st, list_distinct({_t('target_name')}) AS tt, list_distinct({_t('evidence')}) AS et FROM r),
 rf AS (SELECT *, seed >= 0.9 AS hard, greatest({_simil("['blue', 'small', 'tin', 'brand']", _ident('st'))}, {_simil("['blue', 'small', 'tin', 'brand']", _ident('tt'))}) AS mi, greatest({_share('st', 'q')}, {_share('tt', 'q')}) AS no, {_share('et', 'q')} AS er FROM rt),
 rp AS (SELECT *, CASE WHEN relation_type = 'TREATED_BY' THEN 1.0::DOUBLE ELSE 0.15::DOUBLE END AS intent, CASE WHEN hard THEN 1.0::DOUBLE ELSE 0.30::DOUBLE END AS ids,
@@ -242,12 +239,14 @@ rb AS (SELECT * FROM rs QUALIFY row_number() OVER (PARTITION BY source_relation_
 
 
 def _relations(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 1500").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """All lines as relations of their part; the words of a part's texts are worked out once for each part."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size", F.col("p_type").alias("evidence"), F.col("p_name").alias("source_name"), F.col("p_brand").alias("target_name"))
+    rows = table(spark, d, "lineitem").join(rr.relation_tokens(parts), F.col("l_partkey") == F.col("p_partkey"))
     n = F.col("l_linenumber")
     return rr.score_relations(rows.select(
         F.lit(1).alias("query_id"), F.lit("blue small tin brand").alias("query"), (F.col("l_orderkey") * 10 + n).alias("relation_id"), F.col("l_partkey").alias("source_relation_id"), (F.col("l_discount") * 10).alias("confidence"),
         F.when(n % 2 == 0, "TREATED_BY").otherwise("HAS_SYMPTOM").alias("relation_type"), F.array(F.lit("TREATED_BY")).alias("preferred"), F.col("l_tax").alias("semantic"), F.when(F.col("l_suppkey") % 3 == 0, 0.95).otherwise(0.5).alias("seed_score"),
-        F.col("p_type").alias("evidence"), F.col("p_name").alias("source_name"), F.col("p_brand").alias("target_name"), F.when(n < 3, "direct").otherwise("inverse").alias("direction"), (F.col("p_size") < 5).alias("generic_seed"), (F.col("p_size") > 48).alias("type_conflict"),
+        "evidence", "source_name", "target_name", *rr.RELATION_TOKENS, F.when(n < 3, "direct").otherwise("inverse").alias("direction"), (F.col("p_size") < 5).alias("generic_seed"), (F.col("p_size") > 48).alias("type_conflict"),
     ))
 
 
@@ -323,16 +322,16 @@ def claim_support(spark, d):
 
 
 def _verdicts(spark, d):
-    """Claims of answers against their own answer's segments (by place) and their question."""
+    """Claims of answers against their own answer (E1) and its question (E2)."""
     qa = corpus.qa_pairs(table(spark, d, "conversations"))
-    claims = _claims(spark, d).join(qa, "qa_id")
-    pairs = claims.select(
-        F.concat_ws("-", F.col("qa_id").cast("string"), F.col("place").cast("string")).alias("claim_id"), "qa_id", "claim", F.col("question").alias("query"), F.lit("general_medical_advice").alias("primary_intent"),
-        F.explode(F.array(F.struct(F.lit("E1").alias("evidence_id"), F.col("answer").alias("body")), F.struct(F.lit("E2").alias("evidence_id"), F.col("question").alias("body")))).alias("e"),
+    cites = F.explode(F.array(F.lit("E1"), F.lit("E2"))).alias("evidence_id")
+    claims = _claims(spark, d).join(qa.select("qa_id", F.col("question").alias("query")), "qa_id")
+    claims = claims.select(F.concat_ws("-", F.col("qa_id").cast("string"), F.col("place").cast("string")).alias("claim_id"), "qa_id", "claim", "query", F.lit("general_medical_advice").alias("primary_intent"), cites)
+    evidence = qa.select(
+        "qa_id", F.explode(F.array(F.struct(F.lit("E1").alias("evidence_id"), F.col("answer").alias("body")), F.struct(F.lit("E2").alias("evidence_id"), F.col("question").alias("body")))).alias("e"),
         (F.col("qa_id") % 5 / 5.0).alias("answer_relevance"), F.lit(0.8).alias("entity_identity"), F.lit(0.9).alias("vector_similarity"), F.lit(None).cast("double").alias("intent_support"), F.lit(1.0).alias("cited_coverage"),
     )
-    pairs = pairs.select("*", "e.evidence_id", F.explode_outer(cl.segments(F.col("e.body"), tm.token_set(F.col("claim")))).alias("segment")).drop("e")
-    return cl.verify(pairs)
+    return cl.verify(claims, evidence.select("*", "e.evidence_id", F.array("e.body").alias("texts")).drop("e"), ["qa_id", "evidence_id"])
 
 
 @case("claim_verify")
@@ -376,7 +375,8 @@ def reliability_score(spark, d):
 
 @case("answer_questions")
 def answer_questions(spark, d):
-    """The whole pipeline with the offline provider: an answer for each question."""
-    from .answering import answer_questions as run
+    """The whole pipeline with the offline providers, over words and vectors: an answer for each question of the conversations whose id is divisible by 100, against all pairs."""
+    from .answering import answer_questions as run, hashing_encoder
 
-    return run(asked(spark, d), qas(spark, d))["answers"]
+    first = qas(spark, d).filter("conv_id % 100 = 0").select(F.col("qa_id").alias("query_id"), F.col("question").alias("query"))
+    return run(first, qas(spark, d), encoder=hashing_encoder)["answers"]

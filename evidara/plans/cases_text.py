@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as rec, similarity as sim, terms as tm, text as tx
 from ..operators import corpus
-from .registry import QA_PAIRS, case, s_clean, s_dedupe, s_letters, s_list, s_match, s_tokens, table
+from .registry import QA_PAIRS, case, s_clean, s_dedupe, s_letters, s_list, s_match, s_tokens, table, texts
 
 # Arabic samples that the tables do not have.
 SAMPLES = (
@@ -36,17 +36,17 @@ def _samples(spark):
 @case("clean_text", f"SELECT doc_id, {s_clean('text')} AS cleaned, length({s_clean('text')})::BIGINT AS n FROM documents")
 def clean_text(spark, d):
     c = tx.clean(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", c.alias("cleaned")).select("doc_id", "cleaned", F.length("cleaned").cast("long").alias("n"))
+    return texts(spark, d, "documents").select("doc_id", c.alias("cleaned")).select("doc_id", "cleaned", F.length("cleaned").cast("long").alias("n"))
 
 
 @case("normalize_dedupe_key", f"SELECT doc_id, {s_dedupe('text')} AS dedupe_key FROM documents")
 def normalize_dedupe_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.dedupe_key(F.col("text")).alias("dedupe_key"))
+    return texts(spark, d, "documents").select("doc_id", tx.dedupe_key(F.col("text")).alias("dedupe_key"))
 
 
 @case("normalize_matching", f"SELECT doc_id, {s_match('text')} AS norm, length(text)::BIGINT AS n_text, length({s_match('text')})::BIGINT AS n_norm FROM documents")
 def normalize_matching(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", tx.matching_form(F.col("text")).alias("norm"))
+    docs = texts(spark, d, "documents").select("doc_id", "text", tx.matching_form(F.col("text")).alias("norm"))
     return docs.select("doc_id", "norm", F.length("text").cast("long").alias("n_text"), F.length("norm").cast("long").alias("n_norm"))
 
 
@@ -71,7 +71,7 @@ def query_normalization_steps(spark, d):
     SELECT doc_id, len(own)::BIGINT AS n_tokens, len(list_distinct(own))::BIGINT AS n_distinct, md5(array_to_string(list_sort(list_distinct(own)), ' ')) AS set_hash FROM t""",
 )
 def token_stats(spark, d):
-    t = table(spark, d, "documents").select("doc_id", tm.all_tokens(tx.query_form(F.col("text"))).alias("own"))
+    t = texts(spark, d, "documents").select("doc_id", tm.all_tokens(tx.query_form(F.col("text"))).alias("own"))
     t = t.withColumn("kinds", F.array_distinct("own"))
     return t.select("doc_id", F.size("own").cast("long").alias("n_tokens"), F.size("kinds").cast("long").alias("n_distinct"), F.md5(F.array_join(F.array_sort("kinds"), " ").cast("binary")).alias("set_hash"))
 
@@ -135,7 +135,7 @@ _SKIP_ROWS = "rows AS (SELECT doc_id AS row_id, text AS question, lang AS answer
     SELECT coalesce(early, CASE WHEN again THEN 'duplicate' WHEN near THEN 'normalized_duplicate' ELSE 'kept' END) AS reason, count(*)::BIGINT AS n FROM y GROUP BY 1""",
 )
 def skip_waterfall(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("question"), F.col("lang").alias("answer"), F.col("source").alias("category"))
+    rows = texts(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("question"), F.col("lang").alias("answer"), F.col("source").alias("category"))
     known_rows = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("row_id"))
     known = rows.join(known_rows.distinct(), "row_id", "left_semi")
     known_pairs = known.select(tx.dedupe_key(F.col("question")).alias("question_norm"), tx.dedupe_key(F.col("answer")).alias("answer_norm"))
@@ -150,7 +150,7 @@ def skip_waterfall(spark, d):
     SELECT doc_id FROM a QUALIFY row_number() OVER (PARTITION BY {s_dedupe('text')} ORDER BY doc_id) = 1""",
 )
 def dedup_exact_then_normalized(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d, "documents").select("doc_id", "text")
     return corpus.first_of(corpus.first_of(docs, ["text"], ["doc_id"]), [tx.dedupe_key(F.col("text"))], ["doc_id"]).select("doc_id")
 
 
@@ -173,7 +173,7 @@ def dedup_content_hash(spark, d):
     UNION ALL SELECT 'labelled_documents', count(*) FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)""",
 )
 def holdout_overlap_check(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", tx.dedupe_key(F.col("text")).alias("k"))
+    docs = texts(spark, d, "documents").select("doc_id", tx.dedupe_key(F.col("text")).alias("k"))
     held = table(spark, d, "benchmark").select(tx.dedupe_key(F.col("text")).alias("k")).distinct()
     kept = docs.join(held, "k", "left_anti")
     return corpus.overlaps({"documents_in_holdout": (docs, held, ["k"]), "kept_in_holdout": (kept, held, ["k"]), "labelled_documents": (docs, table(spark, d, "labels"), ["doc_id"])})
@@ -185,8 +185,9 @@ def holdout_overlap_check(spark, d):
     SELECT doc_id, count(*)::BIGINT AS n_items, CASE WHEN count(*) = 1 THEN min(item_id) END AS only_item FROM hits GROUP BY doc_id""",
 )
 def benchmark_containment(spark, d):
-    """Which item's text a document holds; resolved only if it is one. The item set is the stated query set against all documents."""
-    hits = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")), F.contains("text", "needle"))
+    """Which item's text a document holds; resolved only if it is one."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
+    hits = corpus.contained(texts(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", items, "item_id", "needle")
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.when(F.count("*") == 1, F.min("item_id")).alias("only_item"))
 
 
@@ -215,7 +216,7 @@ def _s_hints(source: str, key: str) -> str:
 
 
 def _hints(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", tx.matching_form(F.col("text")).alias("norm"))
+    docs = texts(spark, d, "documents").select("doc_id", tx.matching_form(F.col("text")).alias("norm"))
     return corpus.detect_hints(docs, "doc_id", F.col("norm"), HINTS)
 
 
@@ -232,8 +233,10 @@ def hint_detection(spark, d):
     f"WITH {_NORM}, h AS ({_s_hints('n', 'doc_id')}) SELECT coalesce(type, '*') AS type, canonical, count(*)::BIGINT AS n FROM h GROUP BY GROUPING SETS ((type, canonical), (canonical))",
 )
 def hint_top(spark, d):
-    _hints(spark, d).createOrReplaceTempView("_hints_found")
-    return spark.sql("SELECT coalesce(type, '*') AS type, canonical, count(*) AS n FROM _hints_found GROUP BY GROUPING SETS ((type, canonical), (canonical))")
+    """Counts of each term within its type and, as type "*", over all types."""
+    grouped = _hints(spark, d).groupBy("canonical", "type").agg(F.count("*").alias("n"))
+    every = grouped.groupBy(F.lit("*").alias("type"), "canonical").agg(F.sum("n").alias("n"))
+    return grouped.select("type", "canonical", "n").unionByName(every)
 
 
 @case(
