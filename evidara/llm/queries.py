@@ -55,8 +55,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("same"),
         )
     )
-    first = counted.groupBy("same").agg(F.min("doc_id").alias("first"))
-    copies = counted.join(first, "same").filter("doc_id <> first")
+    # the first of each text by partial minima, told apart by id: the copies of a common text never meet in a task
+    first = counted.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    copies = counted.filter("doc_id IS NOT NULL").join(first.select("doc_id"), "doc_id", "left_anti")
     batches = {
         "1-insert": counted.select(F.lit(1).alias("seq"), F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("a").alias("n_tokens")),
         "2-revise": counted.filter("a <> b").select(F.lit(2).alias("seq"), F.lit("revise").alias("op"), "doc_id", "source", "lang", F.lit("words-2").alias("tokenizer"), F.col("b").alias("n_tokens")),

@@ -123,13 +123,43 @@ def test_ledger_batches_commit_once(spark, tmp_path):
     assert total() == {("a", "en", "v1"): (2, 17), (None, None, "v1"): (1, 0)}
     assert ledger.apply("b2", batch((3, "revise", 1, "a", "en", "v2", 12), (3, "delete", 2, "a", "en", "v1", 0), (3, "delete", 77, "a", "en", "v1", 0), (3, "insert", 4, "b", "de", "v1", 4)))
     assert total() == {("a", "en", "v2"): (1, 12), ("b", "de", "v1"): (1, 4), (None, None, "v1"): (1, 0)}
-    # a batch that broke off before its marker is written anew
+    # a batch that broke off before its log entry leaves files that nothing names
     third = batch((4, "delete", 4, "b", "de", "v1", 0))
-    third.limit(0).write.parquet(str(tmp_path / "ledger" / "b3" / "rows"))
-    assert ledger.batches() == ["b1", "b2"]
+    ledger._write("b3", ledger._head(), third)
+    assert ledger.batches() == ["b1", "b2"] and total()["b", "de", "v1"] == (1, 4)
     assert ledger.apply("b3", third) and ledger.apply("b4", third.limit(0))
     assert total() == {("a", "en", "v2"): (1, 12), (None, None, "v1"): (1, 0)}
     assert {r["doc_id"] for r in ledger.live().collect()} == {1, 3}
+    # a document that comes and goes within a batch
+    assert ledger.apply("b5", batch((5, "insert", 9, "z", "de", "v1", 4), (6, "delete", 9, "z", "de", "v1", 0)))
+    assert total() == {("a", "en", "v2"): (1, 12), (None, None, "v1"): (1, 0)} and ledger.live().count() == 2
+
+
+def test_two_writers_of_a_ledger(spark, tmp_path):
+    kind = "seq long, op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
+    rows = lambda *ids: spark.createDataFrame([(1, "insert", i, "a", "en", "v", 1) for i in ids], kind)
+    one, two = (token_ledger.TokenLedger(spark, str(tmp_path / "ledger"), buckets=4) for _ in range(2))
+    assert one.apply("first", rows(*range(40)))
+    head = two._head()
+    late = two._write("late", head, rows(1, 100))  # worked out on the state before the next batch
+    assert one.apply("second", rows(100, 101))
+    with pytest.raises(token_ledger.ConcurrentCommit):
+        two._append(late)
+    assert two.apply("late", rows(1, 100)) and not one.apply("late", rows(1, 100))
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "v", 42, 42)]
+    # a batch reads and writes the buckets of its documents only
+    now = one._head()
+    before = dict(now["state"])
+    assert one.apply("few", rows(1))
+    assert sum(before[b] != f for b, f in one._head()["state"].items()) == 1
+
+
+def test_ledger_query_on_odd_documents(spark, odd, none, tmp_path):
+    for name, docs in (("odd", odd.dropDuplicates(["doc_id"])), ("none", none)):
+        docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / name / "documents.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path / name}/documents.parquet/*.parquet'")
+        compare(op6_token_counts(spark, str(tmp_path / name)), con, token_ledger.SQL)
 
 
 def test_counts_by_an_encoder(spark):
