@@ -1,12 +1,12 @@
 """Approximate nearest neighbours: a graph by NN-descent, searched greedily.
 
-Equal vectors are one node (its smallest ids are kept, as many as an answer can hold). Each node starts with random neighbours. A round joins
-every node's neighbours and reverse neighbours with each other: edges go to their node's range of nodes, which scores the pairs of neighbours of
-each node and proposes those that would better a list; proposals go to their own node's range, which merges them into its lists. Rounds end
+Equal vectors are one node (its smallest ids are kept, as many as an answer can hold). Each node starts with random neighbours. A round is two Spark joins by range of nodes: the first meets
+each node's neighbours with its reverse neighbours, scores the pairs among them and proposes those that would better a list; the second meets the proposals for a node with its list. Rounds end
 when few lists change. Vectors and lists lie in files of the shared folder by range of nodes, which workers memory-map.
 A query walks the graph from its own node: the best node not yet expanded comes next, until the beam holds none.
 
-Reverse neighbours, and pairs proposed for one node by one neighbour, are limited (REVERSE, PROPOSE), as in the published algorithm; the index holds every row.
+Reverse neighbours, and pairs proposed for one node by one neighbour, are limited (REVERSE, PROPOSE), as in the published algorithm; the index holds every row. A node that many lists name had so many
+reverse edges in the round before: its edges are thinned to about HUB by chance before they are shuffled, so that what reaches it does not grow with the table.
 
 Defined cases: null ids and vectors null, empty, zero, or with null or non-finite components take no part; one row per vec_id (the smallest of
 those that repeat it); vectors of different lengths do not meet; an empty table gives an empty result; other columns are not read.
@@ -31,6 +31,7 @@ EVERY = 20
 NEIGHBOURS = 40
 REVERSE = 24
 PROPOSE = 8
+HUB = 4 * REVERSE
 ROUNDS = 12
 SETTLED = 0.002
 BEAM = 320
@@ -83,6 +84,10 @@ class Store:
         both = self._rows(f"list-{i}", nodes, "<i8", 2 * self.k)
         return both[:, : self.k], np.ascontiguousarray(both[:, self.k :]).view("<f8")
 
+    def degrees(self, i: int, nodes: np.ndarray) -> np.ndarray:
+        """About how many reverse edges were sent to each node in round i, had none been thinned."""
+        return self._rows(f"degree-{i}", nodes, "<f4", 1)[:, 0]
+
     def put_lists(self, i: int, r: int, nbr: np.ndarray, score: np.ndarray) -> None:
         put_bytes(self.uri, f"list-{i}-{r}", np.column_stack([nbr, np.ascontiguousarray(score, "<f8").view("<i8")]).astype("<i8").tobytes())
 
@@ -201,35 +206,44 @@ def descend(spark: SparkSession, store: Store, rounds: int = ROUNDS, settled: fl
 
     _ranges(spark, store).mapInArrow(start, "n long").count()
 
-    def edges(i: int):
+    def chance(node: np.ndarray, other: np.ndarray, i: int) -> np.ndarray:
+        return (mix((node ^ (other << 24) ^ (i << 56)).astype(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+    def reverse(i: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.column("id").to_pylist():
                     own = np.arange(r * WIDTH, r * WIDTH + store.size(r))
                     nbr, _ = store.lists(i, own)
                     node, other = np.repeat(own, k)[(on := nbr.ravel() >= 0)], nbr.ravel()[on]
+                    if i:
+                        kept = chance(node, other, i) * store.degrees(i - 1, other) < HUB
+                        node, other = node[kept], other[kept]
                     # of the reverse edges of one node from this range, REVERSE are enough
                     order = np.lexsort((mix((node ^ (other << 20) ^ i).astype(np.uint64)), other))
                     to, by = other[order], node[order]
                     rank = np.arange(len(to)) - np.searchsorted(to, to)
-                    back = rank < REVERSE
-                    a, b = np.concatenate([node, to[back]]), np.concatenate([other, by[back]])
-                    way = np.concatenate([np.zeros(len(node), np.int8), np.ones(int(back.sum()), np.int8)])
-                    yield _batch(["range", "node", "nbr", "way"], a // WIDTH, a, b, way)
+                    to, by = to[rank < REVERSE], by[rank < REVERSE]
+                    yield _batch(["range", "node", "nbr"], to // WIDTH, to, by)
 
         return run
 
     def join(i: int):
-        def run(t: pa.Table) -> pa.Table:
-            r = t.column("range")[0].as_py()
-            node, nbr, way = (t.column(c).to_numpy() for c in ("node", "nbr", "way"))
-            node = node - r * WIDTH
-            order = np.lexsort((mix((nbr ^ (node << 32) ^ i).astype(np.uint64)), way, node))
-            node, nbr, way = node[order], nbr[order], way[order]
-            rank = np.arange(len(node)) - np.searchsorted(node, node)
-            on = rank < k + REVERSE
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            r = left.column("range")[0].as_py()
+            own = np.arange(r * WIDTH, r * WIDTH + store.size(r))
             near = np.full((store.size(r), k + REVERSE), -1, np.int64)
-            near[node[on], rank[on]] = nbr[on]
+            near[:, :k] = store.lists(i, own)[0]
+            node, nbr = right.column("node").to_numpy() - r * WIDTH, right.column("nbr").to_numpy()
+            sent = np.bincount(node, minlength=store.size(r)).astype(np.float64)
+            if i:
+                sent /= np.minimum(1.0, HUB / np.maximum(store.degrees(i - 1, own), 1.0))
+            put_bytes(store.uri, f"degree-{i}-{r}", sent.astype("<f4").tobytes())
+            order = np.lexsort((mix((nbr ^ (node << 32) ^ i).astype(np.uint64)), node))
+            node, nbr = node[order], nbr[order]
+            rank = np.arange(len(node)) - np.searchsorted(node, node)
+            on = rank < REVERSE
+            near[node[on], k + rank[on]] = nbr[on]
             near.sort(axis=1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             got = list(propose(store, i, near))
@@ -239,24 +253,23 @@ def descend(spark: SparkSession, store: Store, rounds: int = ROUNDS, settled: fl
         return run
 
     def merge(i: int):
-        def run(t: pa.Table) -> pa.Table:
-            r = t.column("range")[0].as_py()
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            r = left.column("range")[0].as_py()
             own = np.arange(r * WIDTH, r * WIDTH + store.size(r))
             nbr, score = store.lists(i, own)
             on = nbr >= 0
-            new = t.column("node").to_numpy() >= 0
-            node = np.concatenate([np.repeat(own - r * WIDTH, k)[on.ravel()], t.column("node").to_numpy()[new] - r * WIDTH])
-            lists, held = merge_lists(node, np.concatenate([nbr[on], t.column("nbr").to_numpy()[new]]), np.concatenate([score[on], t.column("score").to_numpy()[new]]), store.size(r), k)
+            node = np.concatenate([np.repeat(own - r * WIDTH, k)[on.ravel()], right.column("node").to_numpy() - r * WIDTH])
+            lists, held = merge_lists(node, np.concatenate([nbr[on], right.column("nbr").to_numpy()]), np.concatenate([score[on], right.column("score").to_numpy()]), store.size(r), k)
             store.put_lists(i + 1, r, lists, held)
             return pa.table({"changed": [int((lists != nbr).sum())]})
 
         return run
 
     for i in range(rounds):
-        pairs = _ranges(spark, store).mapInArrow(edges(i), "range long, node long, nbr long, way byte").groupBy("range").applyInArrow(join(i), "range long, node long, nbr long, score double")
-        # a row for each range, so that ranges without proposals are written too
-        every = _ranges(spark, store).select(F.col("id").alias("range"), F.lit(-1).cast("long").alias("node"), F.lit(-1).cast("long").alias("nbr"), F.lit(0.0).alias("score"))
-        changed = pairs.unionByName(every).groupBy("range").applyInArrow(merge(i), "changed long").agg(F.sum("changed")).first()[0]
+        own = _ranges(spark, store).select(F.col("id").alias("range")).groupBy("range")
+        back = _ranges(spark, store).mapInArrow(reverse(i), "range long, node long, nbr long")
+        pairs = own.cogroup(back.groupBy("range")).applyInArrow(join(i), "range long, node long, nbr long, score double")
+        changed = own.cogroup(pairs.groupBy("range")).applyInArrow(merge(i), "changed long").agg(F.sum("changed")).first()[0]
         release(spark)
         if changed <= settled * n * k:
             return i + 1
