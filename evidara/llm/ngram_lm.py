@@ -11,17 +11,20 @@ The number of shards follows the number of input partitions, so a shard's size d
 p(w|u) = max(c(u,w) - D, 0) / c(u) + g(u) p(w); p(w) interpolates continuation counts with 1 / (V + 1), V + 1 being the distinct tokens and one for all unknown words.
 A context that training has not seen leaves p(w).
 
+Word ids have 32 bits: more than 2**32 - 2 distinct words are an error.
+
 Defined cases: a null text is an empty one (just the end); rows without doc_id are scored, never trained on; rows that repeat are counted each;
 without training rows every token has probability 1; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bytescan import scan, xxh64
@@ -31,6 +34,8 @@ from .fitting import fold
 FOLDS, HELD = 7, 2
 #: Distinct keys a task gathers before it hands them on.
 FLUSH = 6_000_000
+#: Ids in a range, at most.
+ID_RANGE = 1 << 16
 END = np.uint64(0xEF46DB3751D8E999)  # XXH64 of nothing, seed 0; words are never empty
 _U32 = np.uint64(32)
 
@@ -140,6 +145,19 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
+def _by_shard(rows: DataFrame, shards: int, merge: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """merge() of the rows of each shard, a shard to a task: by hash several would meet in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            for s in pc.unique(t.column("shard")):
+                yield from merge(t.filter(pc.equal(t.column("shard"), s))).to_batches()
+
+    return rows.repartitionById(shards, "shard").mapInArrow(run, schema)
+
+
 def _joined(table: pa.Table, column: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in table.column(column)), dtype)
 
@@ -167,7 +185,7 @@ def _count_words(train: DataFrame, model: Model) -> None:
 
     schema = pa.schema([("shard", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64()), ("texts", pa.int64()), ("at", pa.list_(pa.int64())), ("count", pa.list_(pa.int64()))])
     counted = train.select("text").mapInArrow(part, "shard int, keys binary, counts binary, texts long")
-    rows = counted.groupBy("shard").applyInArrow(merge, "shard int, types long, tokens long, texts long, at array<long>, count array<long>").collect()
+    rows = _by_shard(counted, model.shards, merge, "shard int, types long, tokens long, texts long, at array<long>, count array<long>").collect()  # a row for each shard
     by = {r["shard"]: r for r in rows}
     for s in range(model.shards):
         model.first.append(model.types)
@@ -176,7 +194,8 @@ def _count_words(train: DataFrame, model: Model) -> None:
     often = [(model.first[r["shard"]] + i, n) for r in rows for i, n in zip(r["at"], r["count"])]
     # the begin of a text is context number types
     model.hot = np.array(sorted({i for i, n in often if n * 4 * model.shards > model.tokens} | {model.types}), np.int64)
-    model.width = -(-(model.types + 1) // min(model.shards, 256))
+    # beyond some 16 million words ranges have a fixed size, and their number grows instead
+    model.width = min(-(-(model.types + 1) // min(model.shards, 256)), ID_RANGE)
     if model.types >= (1 << 32) - 2:
         raise ValueError("more than 2**32 distinct words")
 
@@ -258,7 +277,7 @@ def _count_pairs(train: DataFrame, model: Model) -> None:
         return pa.table(_batch(out, ["range", "kind", "ids", "counts"], out_kinds).to_pydict(), schema=pa.schema(list(zip(["range", "kind", "ids", "counts"], out_kinds))))
 
     counted = train.select("text").mapInArrow(part, "shard int, u binary, w binary, counts binary")
-    sums = cut(counted.groupBy("shard").applyInArrow(merge, "range int, kind int, ids binary, counts binary"))
+    sums = cut(_by_shard(counted, model.shards, merge, "range int, kind int, ids binary, counts binary"))
     tally = sum((np.frombuffer(r["ids"], "<i8") for r in sums.filter("range = -1").select("ids").collect()), np.zeros(5, np.int64))
     model.pairs, model.pair_discount = int(tally[0]), discounts(tally[1:])
     ends = pa.schema([("types", pa.int64()), ("n", pa.list_(pa.int64()))])
