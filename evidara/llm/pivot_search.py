@@ -5,9 +5,9 @@ inner product is the smallest distance to the query (whose further component is
 its distance from it, sorted, in blocks of one pivot: annuli. By the triangle inequality a vector of a block is no nearer to a query than the query's
 own distance from the pivot lies outside the block's [low, high], nor than half of how much farther this pivot is than the query's nearest one.
 
-Queries go in blocks of a bounded number (a driver loop over a stated query set, each against all index blocks): a first pass looks, for each query, at the annulus of its
-own pivot nearest to it in each task, which gives a k-th best score; a second pass expands the annuli outward, in order of their bounds, and stops each query at the first whose bound exceeds its k-th best distance.
-Bounds are widened by a rounding allowance and ties are looked at, so the result is exact.
+The stated query set lies in files of the shared folder, in blocks of a bounded number. Two jobs pass over the index, each once: its tasks hold their annuli and take one block of queries after the other. The first looks, for
+each query, at the annulus of its own pivot nearest to it in each task, which gives a k-th best score; the second expands the annuli outward, in order of their bounds, and stops each query at the first whose bound exceeds its k-th
+best distance. Only scores that reach the k-th best of the first pass leave a task. Bounds are widened by a rounding allowance and ties are looked at, so the result is exact.
 
 Defined cases: null ids and vectors null, empty or with null or non-finite components take no part; zero vectors do; one row per vec_id (the smallest of those that
 repeat it); vectors of different lengths do not meet; an empty table gives an empty result. Scores must stay below 2**53 (numbers beyond use 64-bit integers).
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from .common import cut, drop_shared_dir, new_shared_dir
+from .common import cut, drop_shared_dir, map_file, new_shared_dir, put_bytes
 from .vectors import dimensions, matrix, valid_vectors
 
 SCALE = 256
@@ -30,7 +31,7 @@ TOP = 5
 EVERY = 50
 PIVOTS = 64
 BLOCK = 512
-#: Queries in one pass: their vectors, thresholds and best lists are all that is sent to tasks and collected from them.
+#: Queries in a block, about: their vectors, thresholds and best lists are what a task holds beside its part of the index.
 QUERY_BLOCK = 2048
 _INDEX = "cell int, low double, high double, ids binary, vectors binary"
 _FOUND = "query_id long, vec_id long, score long"
@@ -117,38 +118,69 @@ class _Best:
         self.scores[rows] = np.where(self.full[rows], np.take_along_axis(all_scores, order, 1), np.iinfo(np.int64).min)
 
 
-def _search(index: DataFrame, geometry: Geometry, ids: np.ndarray, x: np.ndarray, k: int, kth: np.ndarray | None) -> DataFrame:
-    """One pass for a block of queries: its own annulus in each task (kth None), or all annuli within reach of the kth score (a double; -inf: none yet)."""
-    dim = x.shape[1]
-    norm = (x.astype(np.float64) ** 2).sum(1)
+def _file_rows(uri: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows of width numbers of a block's file."""
+    data = map_file(uri, name)
+    n = len(data) // (8 * (1 + width))
+    return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n * width, 8 * n).reshape(n, width)
+
+
+def _write_blocks(rows: DataFrame, uri: str, kind: str, blocks: int, width: int) -> None:
+    """rows (query_id, x: array<long> of width numbers) as files kind-0, kind-1, ...: ids in order, then the numbers."""
+    own = rows.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "x")
+    none = rows.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("x"))
+
+    def write(t: pa.Table) -> pa.Table:
+        block = t.column("block")[0].as_py()
+        t = t.filter(pc.is_valid(t.column("query_id"))).sort_by("query_id")
+        put_bytes(uri, f"{kind}-{block}", t.column("query_id").to_numpy().astype("<i8").tobytes(), matrix(t.column("x"), width).astype("<i8").tobytes() if t.num_rows else b"")
+        return pa.table({"n": [t.num_rows]})
+
+    own.unionByName(none).groupBy("block").applyInArrow(write, "n long").count()
+
+
+def _search(index: DataFrame, geometry: Geometry, uri: str, blocks: int, dim: int, k: int, second: bool, tally: tuple | None = None) -> DataFrame:
+    """One pass over the index: for each query its own annulus in each task, or (second) all annuli within reach of its k-th score so far. tally: accumulators of compared and of all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = geometry.distances(x, True)
-        home = far.argmin(1)
-        nearest = far[np.arange(len(far)), home]
-        best, rest = _Best(len(ids), k), []
-        for batch in batches:
-            cell, low, high = (batch.column(c).to_numpy() for c in ("cell", "low", "high"))
-            gap = np.maximum(np.maximum(low - far[:, cell], far[:, cell] - high), 0)  # queries x blocks
-            if kth is None:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        part = pa.Table.from_batches(rows)
+        cell, low, high = (part.column(c).to_numpy() for c in ("cell", "low", "high"))
+        held = [(np.frombuffer(i.as_py(), np.int64), np.frombuffer(v.as_py(), np.int64).reshape(-1, dim)) for i, v in zip(part.column("ids"), part.column("vectors"))]
+        for block in range(blocks):
+            ids, x = _file_rows(uri, f"queries-{block}", dim)
+            if not len(ids):
+                continue
+            norm = (x.astype(np.float64) ** 2).sum(1)
+            kth = np.full(len(ids), -np.inf)
+            far = geometry.distances(x, True)
+            home = far.argmin(1)
+            best = _Best(len(ids), k)
+            gap = np.maximum(np.maximum(low - far[:, cell], far[:, cell] - high), 0)  # queries x annuli
+            if second:
+                known, score = _file_rows(uri, f"kth-{block}", 1)
+                kth[np.searchsorted(ids, known)] = score[:, 0]
+                gap = np.maximum(gap, (far[:, cell] - far[np.arange(len(far)), home][:, None]) / 2)
+                use = gap <= geometry.reach(norm, kth)[:, None]
+            else:
                 gap = np.where(cell[None, :] == home[:, None], gap, np.inf)
-                first = gap.argmin(1)
                 use = np.zeros(gap.shape, bool)
-                use[np.arange(len(ids)), first] = np.isfinite(gap.min(1))
-            else:
-                gap = np.maximum(gap, (far[:, cell] - nearest[:, None]) / 2)
-                use = gap <= geometry.reach(norm, kth)[:, None]
+                use[np.arange(len(ids)), gap.argmin(1)] = np.isfinite(gap.min(1))
             for j in np.argsort(gap.min(0), kind="stable"):
-                rows = np.flatnonzero(use[:, j])
-                if kth is not None and len(rows):
-                    mine = best.scores[rows, -1].astype(np.float64)
-                    mine[~best.full[rows, -1]] = -np.inf
-                    rows = rows[gap[rows, j] <= geometry.reach(norm[rows], np.maximum(mine, kth[rows]))]
-                if len(rows):
-                    own = np.frombuffer(batch.column("ids")[j].as_py(), np.int64)
-                    best.add(rows, own, _products(x[rows], np.frombuffer(batch.column("vectors")[j].as_py(), np.int64).reshape(-1, dim)), ids[rows])
-        q, c = np.nonzero(best.full)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.ids[q, c]), pa.array(best.scores[q, c])], ["query_id", "vec_id", "score"])
+                on = np.flatnonzero(use[:, j])
+                if second and len(on):
+                    mine = best.scores[on, -1].astype(np.float64)
+                    mine[~best.full[on, -1]] = -np.inf
+                    on = on[gap[on, j] <= geometry.reach(norm[on], np.maximum(mine, kth[on]))]
+                if tally and second:
+                    tally[0].add(len(on) * len(held[j][0]))
+                    tally[1].add(len(ids) * len(held[j][0]))
+                if len(on):
+                    best.add(on, held[j][0], _products(x[on], held[j][1]), ids[on])
+            q, c = np.nonzero(best.full & (best.scores >= kth[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.ids[q, c]), pa.array(best.scores[q, c])], ["query_id", "vec_id", "score"])
 
     return index.mapInArrow(run, _FOUND)
 
@@ -158,37 +190,30 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact_top_k(table: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for every query (vec_id divisible by every): its k highest inner products, ties to the smaller vec_id."""
+def exact_top_k(table: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK, report: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for every query (vec_id divisible by every): its k highest inner products, ties to the smaller vec_id. report gets how many pairs were compared, and of how many."""
     spark = table.sparkSession
     whole = cut(valid_vectors(table, True).select("vec_id", F.transform("embedding", lambda v: F.floor(v * scale)).alias("x")))
-    root = new_shared_dir(spark, "pivot-results")
-    made = False
+    schema = T.StructType().add("query_id", "long").add("rank", "integer").add("vec_id", "long").add("score", "long")
+    results = None
     for dim in dimensions(whole.withColumnRenamed("x", "embedding")):
         vectors = whole.filter(F.size("x") == dim)
-        built = build_index(vectors, dim, pivots, block)
-        index, geometry = built
-        queries = vectors.filter(F.col("vec_id") % every == 0)
-        n_blocks = -(-queries.count() // query_block)
-        for b in range(n_blocks):
-            rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).collect()  # about query_block rows
-            if not rows:
-                continue
-            ids = np.array([r["vec_id"] for r in rows], np.int64)
-            x = np.array([r["x"] for r in rows], np.int64).reshape(len(rows), dim)
-            seeds = _ranked(_search(index, geometry, ids, x, k, None), k).filter(F.col("rank") == k).select("query_id", "score").collect()
-            at = {int(q): i for i, q in enumerate(ids)}
-            kth = np.full(len(ids), -np.inf)
-            for r in seeds:
-                kth[at[r["query_id"]]] = r["score"]
-            _ranked(_search(index, geometry, ids, x, k, kth), k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(root)
-            made = True
-    schema = T.StructType().add("query_id", "long").add("rank", "integer").add("vec_id", "long").add("score", "long")
-    if not made:
-        return spark.createDataFrame([], schema)
-    out = cut(spark.read.schema(schema).parquet(root))
-    drop_shared_dir(spark, root)
-    return out
+        queries = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x")
+        blocks = -(-queries.count() // query_block)
+        if not blocks:
+            continue
+        uri = new_shared_dir(spark, "pivot-queries")
+        index, geometry = build_index(vectors, dim, pivots, block)
+        _write_blocks(queries, uri, "queries", blocks, dim)
+        first = _ranked(_search(index, geometry, uri, blocks, dim, k, False), k).filter(F.col("rank") == k)
+        _write_blocks(first.select("query_id", F.array("score").alias("x")), uri, "kth", blocks, 1)
+        tally = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)) if report is not None else None
+        part = cut(_ranked(_search(index, geometry, uri, blocks, dim, k, True, tally), k).select("query_id", "rank", "vec_id", "score"))
+        if tally:
+            report.update({"compared": report.get("compared", 0) + tally[0].value, "pairs": report.get("pairs", 0) + tally[1].value})
+        drop_shared_dir(spark, uri)
+        results = part if results is None else results.unionByName(part)
+    return results if results is not None else spark.createDataFrame([], schema)
 
 
 #: What op10_pivot_search returns, for DuckDB.

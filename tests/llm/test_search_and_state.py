@@ -76,6 +76,38 @@ def test_nn_descent(spark):
     assert {r["query_id"] for r in few} == {40} and {r["vec_id"] for r in few} == {41, 42}
 
 
+def test_recall_with_a_narrow_beam(spark):
+    """2500 vectors around a hub, a beam of 48: the graph has to lead there."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2500, 10))
+    x[0] = 0.001
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    hits, n = 0, 0
+    rows = neighbours.nearest(df, k=10, every=50, neighbours=24, beam=48).collect()
+    for q in range(0, len(x), 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(np.argsort(-s)[:10].tolist())
+        hits += len(best & {r["vec_id"] for r in rows if r["query_id"] == q})
+        n += 10
+    assert hits / n >= 0.9
+
+
+def test_pivot_index_skips_and_tells_so(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(20, 6)) * 20
+    x = centre[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 6)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    z = np.floor(256 * x).astype(np.int64)
+    wanted = brute(x, range(len(x)), range(0, len(x), 50), 5, lambda q, i: int(z[q] @ z[i]))
+    report = {}
+    got = {}
+    for r in sorted(pivot_search.exact_top_k(df, block=64, query_block=25, report=report).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == wanted
+    assert report["pairs"] == 60 * 3000 and report["compared"] < 0.5 * report["pairs"]
+
+
 def test_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.01"
     data = duckdb.sql(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet' ORDER BY 1").fetchnumpy()
