@@ -234,6 +234,20 @@ def test_segmentations_against_all_paths():
     assert math.isclose(np.mean([sum(math.exp(s[1] - s[3]) for s in g) for g in got]), 1, abs_tol=0.02)
 
 
+def test_masses_of_long_and_odd_parts():
+    """Arcs of one state sum to one, whichever way a part's masses are summed, and agree with those of a part alone."""
+    path = tokenizer_path(PIECE_MODEL)
+    model = ps.lattice(path, ps.ALPHA)
+    texts = ["▁the", "▁" + "x" * 400, "▁" + "\U0001F600" * 50, "▁" + "é" * 60, "▁internationalisation", "日本語" * 17, "a"]
+    both = ps.Parts(model, texts)
+    total = np.add.reduceat(np.exp(both.logp), both.ptr[:-1])
+    assert np.allclose(total, 1, atol=1e-9) and (both.logp <= 0).all()
+    for text, first in zip(texts, both.first):
+        alone = ps.Parts(model, [text])
+        a, b = both.ptr[first], both.ptr[first + len(text)]
+        assert np.allclose(alone.logp, both.logp[a:b], atol=1e-8) and alone.piece.tolist() == both.piece[a:b].tolist()
+
+
 def test_segmentations_of_a_table(odd, none):
     path = tokenizer_path(PIECE_MODEL)
     df = ps.sample_segmentations(odd, path)
