@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cases_evaluation, cases_graph, cases_retrieval, cases_text  # noqa: F401  registers its queries
+from .plans import cases_evaluation, cases_graph, cases_retrieval, cases_sources, cases_text  # noqa: F401  registers its queries
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "qa_search"

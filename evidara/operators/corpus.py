@@ -245,3 +245,8 @@ def distinct_mentions(mentions: DataFrame, keys: list[str], order: str = "ordina
     rest = [c for c in mentions.columns if c not in keys]
     first = mentions.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_m"))
     return first.select(*keys, "_m.*").select(*mentions.columns)
+
+
+def translated(rows: DataFrame, key: str, names: DataFrame, name: str, column: str) -> DataFrame:
+    """rows with column: what a dictionary (key, name) has for their key, empty where it has nothing."""
+    return rows.join(names.select(F.col(key).alias("_key"), F.col(name).alias(column)), F.col(key) == F.col("_key"), "left").withColumn(column, F.coalesce(column, F.lit(""))).drop("_key")
