@@ -112,6 +112,14 @@ def test_packing(odd, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_packing_repeats_and_pads_little(spark):
+    path, docs = tokenizer_path(PACK_TOKENIZER), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    once, again = (sorted(tuple(r) for r in packing.pack_documents(docs, path).collect()) for _ in range(2))
+    assert once == again
+    tokens, sequences = sum(r[2] for r in once), 1 + max(r[5] for r in once)
+    assert tokens / (2048 * sequences) > 0.99
+
+
 @pytest.mark.parametrize("lengths", [[10] * 999, [1000, 1000, 3], [rnd.randrange(1, 2049) for _ in range(5000)], [2048] * 3 + [2047, 1, 1], []])
 def test_pack_plan_places_every_rank_once(lengths):
     plan, n = packing.plan_packs(Counter(lengths))

@@ -85,6 +85,15 @@ def test_words_outside_the_lexicon_are_learnt_from_labels(spark):
     assert held.loc[held["toxic"] == 0, "predicted"].mean() < 0.05
 
 
+def test_held_out_toxicity_by_language(spark):
+    """The words of a language need no lexicon: labels carry over to rows that training has not seen."""
+    sf = "/root/testdata/sf0.1"
+    found = op5_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    toxic, clean = found[found["toxic"] == 1], found[found["toxic"] == 0]
+    assert toxic["predicted"].mean() >= 0.85 and clean["predicted"].mean() <= 0.03
+    assert (toxic.groupby("lang")["predicted"].mean() >= 0.6).all() and len(toxic["lang"].unique()) == 4
+
+
 def test_label_model_finds_the_accurate_voters():
     rng = np.random.default_rng(1)
     y = rng.random(20000) < 0.1
@@ -109,3 +118,89 @@ def test_isotonic_is_monotone():
     grid = iso.apply(np.linspace(-1, 2, 200))
     assert (np.diff(grid) >= 0).all()
     assert abs(iso.apply(np.array([0.8]))[0] - 0.64) < 0.1
+
+
+def plain_isotonic(x, y, low, high, bins):
+    """Monotone means over the bins of a grid by the max-min formula; linear between the centres of equal values."""
+    b = np.clip(((x - low) / (high - low) * bins).astype(int), 0, bins - 1)
+    on = sorted(set(b.tolist()))
+    n, ones, raw = (np.array([f(b == i) for i in on]) for f in (np.sum, lambda m: y[m].sum(), lambda m: x[m].sum()))
+    c, s = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(ones)])
+    fit = [max(min((s[j + 1] - s[a]) / (c[j + 1] - c[a]) for j in range(i, len(on))) for a in range(i + 1)) for i in range(len(on))]
+    edges = [0, *(i for i in range(1, len(on)) if not np.isclose(fit[i], fit[i - 1], atol=1e-12)), len(on)]
+    share = ones.sum() / n.sum()
+    centres, values = zip(*(((raw[a:z].sum() / n[a:z].sum()), (ones[a:z].sum() + 0.5 * share) / (n[a:z].sum() + 0.5)) for a, z in zip(edges, edges[1:])))
+    return lambda v: np.clip(np.interp(v, centres, np.maximum.accumulate(values)), 0, 1)
+
+
+def test_quality_against_a_plain_fit(spark):
+    """The same model by dense matrices in one place."""
+    import pyarrow as pa
+
+    from evidara.llm import textstats
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    ids = sorted(docs)
+    x = np.asarray(textstats.statistics(pa.array([docs[i] for i in ids])), float)
+    learns = np.array([i in labels and zlib.crc32(str(i).encode()) % 5 != 0 for i in ids])
+    y = np.array([labels.get(i, 0) for i in ids], float)
+    mean, sd = x[learns].mean(0), x[learns].std(0)
+    z = np.clip((x - mean) / np.where(sd > 1e-9, sd, 1.0), -quality.CLIP, quality.CLIP)
+    rng, n = np.random.default_rng(quality.SEED), quality.FEATURES
+    w = rng.normal(size=(x.shape[1], n)) / quality.WIDTH
+    f = np.column_stack([np.sqrt(2 / n) * np.cos(z @ w + rng.uniform(0, 2 * np.pi, n)), np.ones(len(x))])
+    own = f[learns]
+    beta = np.linalg.solve(own.T @ own + np.diag([quality.RIDGE] * n + [0.0]) + 1e-9 * np.eye(n + 1), own.T @ y[learns])
+    raw = f @ beta
+    wanted = plain_isotonic(raw[learns], y[learns], -0.5, 1.5, fitting.Isotonic.BINS)(raw)
+    got = {r["doc_id"]: r["score"] for r in op8_quality(spark, sf).collect()}
+    assert np.allclose([got[i] for i in ids], wanted, atol=1e-6)
+
+
+def test_toxicity_against_a_plain_fit(spark):
+    """The label model by single rows, and the classifier's objective against gradient descent on a dense matrix."""
+    from evidara.llm.common import cut
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    table = cut(toxicity.signal_table(docs).join(fitting.labels_of(labels, "toxic"), "doc_id", "left"))
+    inner = fitting.fold(F.concat(F.lit("inner "), F.col("doc_id").cast("string")), toxicity.INNER).alias("inner")
+    train = table.filter(fitting.fold(F.col("doc_id"), 4) != 2).select("*", inner)
+    rows = train.orderBy("doc_id").collect()
+    mask = np.array([r["mask"] for r in rows])
+    known = np.array([r["label"] is not None for r in rows])
+    y = np.array([r["label"] or 0.0 for r in rows])
+    by_row = toxicity.LabelModel().fit(mask, (~known).astype(float), known * y, known * (1 - y))
+    kinds = sorted(set(mask.tolist()))
+    count = lambda on: np.array([float((on & (mask == m)).sum()) for m in kinds])
+    model = toxicity.LabelModel().fit(np.array(kinds), count(~known), count(known & (y == 1)), count(known & (y == 0)))
+    assert np.allclose(model.posterior(mask), by_row.posterior(mask), atol=1e-9)
+    theta = toxicity.fit_linear(train, model)
+    x = np.zeros((len(rows), toxicity.SIZE + toxicity.BUCKETS))
+    x[:, : len(toxicity.VOTERS)] = toxicity.bits(mask)
+    for k, r in enumerate(rows):
+        for t, c in zip(r["terms"], r["counts"]):
+            x[k, len(toxicity.VOTERS) + t] = np.log1p(c)
+        for b, c in zip(np.frombuffer(bytes(r["buckets"]), "<u2"), bytes(r["times"])):
+            x[k, toxicity.SIZE + b] = 10 * np.log1p(c) / np.sqrt(max(r["words"], 1))
+        x[k, toxicity.SIZE - 2 : toxicity.SIZE] = min(100 * r["density"], 5), 1
+    target = np.where(known, y, by_row.posterior(mask))
+    penalty = np.concatenate([np.full(toxicity.SIZE - 1, toxicity.RIDGE), [1e-6], np.full(toxicity.BUCKETS, toxicity.BUCKET_RIDGE)])
+    g = 1
+    weight = np.where(known, 1.0, toxicity.UNLABELLED) * (np.array([r["inner"] for r in rows]) != g)
+
+    def objective(t):
+        z = x @ t
+        return weight @ (np.logaddexp(0, z) - target * z) + 0.5 * penalty @ t**2, x.T @ (weight * (1 / (1 + np.exp(-z)) - target)) + penalty * t
+
+    plain, velocity = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    step = 1.0 / (0.25 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + penalty.max())
+    for k in range(900):  # accelerated descent
+        value, slope = objective(plain + k / (k + 3) * velocity)
+        after = plain + k / (k + 3) * velocity - step * slope
+        plain, velocity = after, after - plain
+    least, found = objective(plain)[0], objective(theta[g])[0]
+    assert found <= least * 1.02 + 0.05
+    assert np.mean((x @ plain > 0) == (x @ theta[g] > 0)) > 0.98
