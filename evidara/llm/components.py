@@ -16,6 +16,8 @@ from .common import cut, release
 
 #: Edges that a task contracts at once: 16 bytes each, some ten times that while it does.
 CHUNK = 1_000_000
+#: Parts into which the edges of one centre are dealt.
+SALTS = 32
 
 
 def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +71,11 @@ def components(edges: DataFrame, rounds: int = 60, chunk: int = CHUNK) -> DataFr
     state = _state(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # only centres, nodes with a larger neighbour, have edges to move: they are few, so each is there once for each part of its edges
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("top")).filter("top > u")
+        least = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        part = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt")
+        large = both.filter("v > u").select("u", "v", part).join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(own.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
