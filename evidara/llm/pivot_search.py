@@ -5,9 +5,9 @@ inner product is the smallest distance to the query (whose further component is
 its distance from it, sorted, in blocks of one pivot: annuli. By the triangle inequality a vector of a block is no nearer to a query than the query's
 own distance from the pivot lies outside the block's [low, high], nor than half of how much farther this pivot is than the query's nearest one.
 
-The stated query set lies in files of the shared folder, in blocks of a bounded number. Two jobs pass over the index, each once: its tasks hold their annuli and take one block of queries after the other. The first looks, for
-each query, at the annulus of its own pivot nearest to it in each task, which gives a k-th best score; the second expands the annuli outward, in order of their bounds, and stops each query at the first whose bound exceeds its k-th
-best distance. Only scores that reach the k-th best of the first pass leave a task. Bounds are widened by a rounding allowance and ties are looked at, so the result is exact.
+Queries are rows of the table, so each lies in an annulus itself: a first job scores it against that one, which gives a k-th best score to begin with. The query set lies in files of the shared folder, in blocks of a bounded
+number; the second job passes over the index once: its tasks hold their annuli and take one block of queries after the other, expand the annuli outward, in order of their bounds, and stop each query at the first whose bound exceeds
+its k-th best distance. Only what may be among the k best leaves a task. Bounds are widened by a rounding allowance and ties are looked at, so the result is exact.
 
 Defined cases: null ids and vectors null, empty or with null or non-finite components take no part; zero vectors do; one row per vec_id (the smallest of those that
 repeat it); vectors of different lengths do not meet; an empty table gives an empty result. Scores must stay below 2**53 (numbers beyond use 64-bit integers).
@@ -139,8 +139,25 @@ def _write_blocks(rows: DataFrame, uri: str, kind: str, blocks: int, width: int)
     own.unionByName(none).groupBy("block").applyInArrow(write, "n long").count()
 
 
-def _search(index: DataFrame, geometry: Geometry, uri: str, blocks: int, dim: int, k: int, second: bool, tally: tuple | None = None) -> DataFrame:
-    """One pass over the index: for each query its own annulus in each task, or (second) all annuli within reach of its k-th score so far. tally: accumulators of compared and of all pairs."""
+def _seeds(index: DataFrame, dim: int, k: int, every: int) -> DataFrame:
+    """query_id, x: the k-th best score of each query among its own annulus' rows, and its vec_id; none where there are fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, vectors in zip(batch.column("ids"), batch.column("vectors")):
+                ids, x = np.frombuffer(own.as_py(), np.int64), np.frombuffer(vectors.as_py(), np.int64).reshape(-1, dim)
+                asked = np.flatnonzero(ids % every == 0)
+                if len(ids) > k and len(asked):
+                    best = _Best(len(asked), k)
+                    best.add(np.arange(len(asked)), ids, _products(x[asked], x), ids[asked])
+                    last = [[int(s), int(i)] for s, i in zip(best.scores[:, -1], best.ids[:, -1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[asked]), pa.array(last, pa.list_(pa.int64()))], ["query_id", "x"])
+
+    return index.mapInArrow(run, "query_id long, x array<long>")
+
+
+def _search(index: DataFrame, geometry: Geometry, uri: str, blocks: int, dim: int, k: int, tally: tuple | None = None) -> DataFrame:
+    """What may be among each query's k best, by one pass over the index. tally: accumulators of compared and of all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -154,32 +171,28 @@ def _search(index: DataFrame, geometry: Geometry, uri: str, blocks: int, dim: in
             if not len(ids):
                 continue
             norm = (x.astype(np.float64) ** 2).sum(1)
-            kth = np.full(len(ids), -np.inf)
+            kth, sure, kth_id = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).min), np.full(len(ids), np.iinfo(np.int64).max)
+            known, seed = _file_rows(uri, f"kth-{block}", 2)
+            at = np.searchsorted(ids, known)
+            kth[at], sure[at], kth_id[at] = seed[:, 0], seed[:, 0], seed[:, 1]
             far = geometry.distances(x, True)
-            home = far.argmin(1)
             best = _Best(len(ids), k)
             gap = np.maximum(np.maximum(low - far[:, cell], far[:, cell] - high), 0)  # queries x annuli
-            if second:
-                known, score = _file_rows(uri, f"kth-{block}", 1)
-                kth[np.searchsorted(ids, known)] = score[:, 0]
-                gap = np.maximum(gap, (far[:, cell] - far[np.arange(len(far)), home][:, None]) / 2)
-                use = gap <= geometry.reach(norm, kth)[:, None]
-            else:
-                gap = np.where(cell[None, :] == home[:, None], gap, np.inf)
-                use = np.zeros(gap.shape, bool)
-                use[np.arange(len(ids)), gap.argmin(1)] = np.isfinite(gap.min(1))
+            gap = np.maximum(gap, (far[:, cell] - far.min(1)[:, None]) / 2)
+            use = gap <= geometry.reach(norm, kth)[:, None]
             for j in np.argsort(gap.min(0), kind="stable"):
                 on = np.flatnonzero(use[:, j])
-                if second and len(on):
+                if len(on):
                     mine = best.scores[on, -1].astype(np.float64)
                     mine[~best.full[on, -1]] = -np.inf
                     on = on[gap[on, j] <= geometry.reach(norm[on], np.maximum(mine, kth[on]))]
-                if tally and second:
+                if tally:
                     tally[0].add(len(on) * len(held[j][0]))
                     tally[1].add(len(ids) * len(held[j][0]))
                 if len(on):
                     best.add(on, held[j][0], _products(x[on], held[j][1]), ids[on])
-            q, c = np.nonzero(best.full & (best.scores >= kth[:, None]))
+            # a row behind the k-th known (score down, then vec_id up) is none of the k best
+            q, c = np.nonzero(best.full & ((best.scores > sure[:, None]) | ((best.scores == sure[:, None]) & (best.ids <= kth_id[:, None]))))
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.ids[q, c]), pa.array(best.scores[q, c])], ["query_id", "vec_id", "score"])
 
     return index.mapInArrow(run, _FOUND)
@@ -205,10 +218,9 @@ def exact_top_k(table: DataFrame, k: int = TOP, every: int = EVERY, scale: int =
         uri = new_shared_dir(spark, "pivot-queries")
         index, geometry = build_index(vectors, dim, pivots, block)
         _write_blocks(queries, uri, "queries", blocks, dim)
-        first = _ranked(_search(index, geometry, uri, blocks, dim, k, False), k).filter(F.col("rank") == k)
-        _write_blocks(first.select("query_id", F.array("score").alias("x")), uri, "kth", blocks, 1)
+        _write_blocks(_seeds(index, dim, k, every), uri, "kth", blocks, 2)
         tally = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)) if report is not None else None
-        part = cut(_ranked(_search(index, geometry, uri, blocks, dim, k, True, tally), k).select("query_id", "rank", "vec_id", "score"))
+        part = cut(_ranked(_search(index, geometry, uri, blocks, dim, k, tally), k).select("query_id", "rank", "vec_id", "score"))
         if tally:
             report.update({"compared": report.get("compared", 0) + tally[0].value, "pairs": report.get("pairs", 0) + tally[1].value})
         drop_shared_dir(spark, uri)
