@@ -127,6 +127,22 @@ class SharedReader:
         return file.read(size)
 
 
+def read_file(uri: str, name: str) -> bytes | None:
+    """One file of a shared folder, None if there is none of that name."""
+    root = local_path(uri)
+    try:
+        if root is not None:
+            with open(f"{root}/{name}", "rb") as f:
+                return f.read()
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_stream(f"{path}/{name}") as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
 def map_file(uri: str, name: str):
     """Memory-map one file of a shared folder; other stores' files are fetched once to an unlinked local file."""
     import mmap

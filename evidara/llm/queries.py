@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, neighbours, ngram_lm, packing, piece_sampling, pivot_search, quality, simhash, token_ledger, toxicity
+from . import chat, neighbours, ngram_lm, packing, piece_sampling, pivot_search, quality, simhash, token_ledger, toxicity, variants
 from .common import cut, drop_shared_dir, new_shared_dir, table
 
 #: The vocabulary file's name in the folder of public tokenizers.
@@ -88,6 +88,10 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(variants.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_ngram_lm": op2_ngram_lm,
@@ -99,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_pivot_search": op10_pivot_search,
+    "op11_variants": op11_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op6_token_counts": token_ledger.SQL, "op10_pivot_search": pivot_search.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op6_token_counts": token_ledger.SQL, "op10_pivot_search": pivot_search.SQL, "op11_variants": variants.SQL}
