@@ -14,6 +14,7 @@ import xxhash
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PLAIN = np.where(_SPACE, 0x20, np.arange(256)).astype(np.uint8)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[_SPACE] = 0x20
@@ -30,7 +31,7 @@ _P1, _P2, _P3, _P4, _P5 = (
 
 @dataclass
 class Words:
-    """buf: folded bytes with one space between words; word i of all is buf[starts[i]:ends[i]], of text doc[i]."""
+    """buf: bytes (A-Z as a-z, unless they are kept) with one space between words; word i of all is buf[starts[i]:ends[i]], of text doc[i]."""
 
     buf: np.ndarray
     starts: np.ndarray
@@ -50,7 +51,7 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return everything[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def scan(texts: pa.Array) -> Words:
+def scan(texts: pa.Array, fold: bool = True) -> Words:
     raw, offsets = raw_bytes(texts)
     n = len(offsets) - 1
     if not len(raw):
@@ -71,7 +72,7 @@ def scan(texts: pa.Array) -> Words:
     closes = ~space & (after | fresh[1:])
     at = np.flatnonzero(begins)
     doc = np.searchsorted(offsets, at, side="right") - 1
-    return Words(_FOLD[raw[keep]], place[at], place[np.flatnonzero(closes)] + 1, doc, np.bincount(doc, minlength=n))
+    return Words((_FOLD if fold else _PLAIN)[raw[keep]], place[at], place[np.flatnonzero(closes)] + 1, doc, np.bincount(doc, minlength=n))
 
 
 def _rotate(x: np.ndarray, by: int) -> np.ndarray:

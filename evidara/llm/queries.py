@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, neighbours, ngram_lm, packing, piece_sampling, pivot_search, quality, simhash, token_ledger, toxicity, turn_repair, variants
+from . import chat, neighbours, ngram_lm, outliers, packing, piece_sampling, pivot_search, quality, simhash, token_ledger, toxicity, turn_repair, variants
 from .common import cut, drop_shared_dir, new_shared_dir, table
 
 #: The vocabulary file's name in the folder of public tokenizers.
@@ -92,6 +92,10 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_groups(variants.word_counts(table(spark, sf_dir, "documents")))
 
 
+def op12_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents")).select("doc_id", *outliers.COUNTS, "base_failed", "kept", "distance")
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_pivot_search": op10_pivot_search,
     "op11_variants": op11_variants,
+    "op12_outliers": op12_outliers,
     "op13_turn_repair": op13_turn_repair,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op6_token_counts": token_ledger.SQL, "op10_pivot_search": pivot_search.SQL, "op11_variants": variants.SQL, "op13_turn_repair": turn_repair.SQL}
