@@ -153,7 +153,7 @@ def _filter_bits(n_words: int) -> int:
 
 def _write_filter(words: DataFrame, root: str, bits: int) -> None:
     """words: h. Each segment of the filter is gathered by one task and written as a file."""
-    size = SEGMENT * 8
+    size = min(SEGMENT * 8, bits)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +168,7 @@ def _write_filter(words: DataFrame, root: str, bits: int) -> None:
         for batch in batches:
             for seg, places in zip(batch.column("segment").to_pylist(), batch.column("places").to_pylist()):
                 at = np.frombuffer(places, "<u4")
-                np.bitwise_or.at(kept.setdefault(seg, np.zeros(SEGMENT, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
+                np.bitwise_or.at(kept.setdefault(seg, np.zeros(size // 8, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
         for seg, data in kept.items():
             put_bytes(root, f"segment-{seg}", data.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([len(kept)], pa.int64())], ["n"])
@@ -181,10 +181,10 @@ def _write_filter(words: DataFrame, root: str, bits: int) -> None:
 def _filter(root: str, bits: int) -> np.ndarray:
     """The whole filter in a worker's memory; segments that no word falls into were never written."""
     out = np.zeros(bits // 8, np.uint8)
-    for seg in range(len(out) // SEGMENT):
-        data = read_file(root, f"segment-{seg}")
+    for begin in range(0, len(out), SEGMENT):
+        data = read_file(root, f"segment-{begin // SEGMENT}")
         if data is not None:
-            out[seg * SEGMENT : (seg + 1) * SEGMENT] = np.frombuffer(data, np.uint8)
+            out[begin : begin + SEGMENT] = np.frombuffer(data, np.uint8)
     return out
 
 
