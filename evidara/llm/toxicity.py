@@ -65,6 +65,7 @@ _FOLD[65:91] += 32
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOG = np.log1p(np.arange(256))
+_ESCAPE = 255
 
 
 def _key(lanes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -191,7 +192,7 @@ def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def signal_table(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id[, carry], mask (the votes as bits), density, terms and counts of the hits; buckets (16 bits each), their counts (8 bits, 255 at most) and the number of words."""
+    """doc_id[, carry], mask (the votes as bits), density, terms and counts of the hits; buckets (16 bits each), their counts (8 bits; 255 stands for the next of large, the counts from 255 on) and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
@@ -201,11 +202,12 @@ def signal_table(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             mask = (votes * (1 << np.arange(len(VOTERS)))).sum(1).astype(np.int32)
             home, bucket, times, words = buckets(part.column("text"))
             at = np.searchsorted(home, np.arange(part.num_rows + 1)).tolist()
-            packed = [[x[a:b].tobytes() for a, b in zip(at, at[1:])] for x in (bucket.astype("<u2"), np.minimum(times, 255).astype(np.uint8))]
+            packed = [[x[a:b].tobytes() for a, b in zip(at, at[1:])] for x in (bucket.astype("<u2"), np.minimum(times, _ESCAPE).astype(np.uint8))]
+            packed.append([(x := times[a:b])[x >= _ESCAPE].astype("<u4").tobytes() for a, b in zip(at, at[1:])])
             columns = [part.column("doc_id"), pa.array(mask), pa.array(density), *lists, *(pa.array(x, pa.binary()) for x in packed), pa.array(words), *(part.column(c) for c in carry)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "density", "terms", "counts", "buckets", "times", "words", *carry])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "density", "terms", "counts", "buckets", "times", "large", "words", *carry])
 
-    columns = "doc_id long, mask int, density double, terms array<int>, counts array<int>, buckets binary, times binary, words long"
+    columns = "doc_id long, mask int, density double, terms array<int>, counts array<int>, buckets binary, times binary, large binary, words long"
     read = docs.select(F.col("doc_id").cast("long"), "text", *carry)
     return read.mapInArrow(run, with_fields(columns, read, carry))
 
@@ -262,8 +264,10 @@ def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     packed = batch.column("buckets").to_pylist()
     row = np.repeat(np.arange(batch.num_rows), [len(x) // 2 for x in packed])
     times = np.frombuffer(b"".join(batch.column("times").to_pylist()), np.uint8)
+    logs = _LOG[times]
+    logs[times == _ESCAPE] = np.log1p(np.frombuffer(b"".join(batch.column("large").to_pylist()), "<u4"))
     words = np.maximum(batch.column("words").to_numpy(), 1)
-    return row, np.frombuffer(b"".join(packed), "<u2").astype(np.int64), 10 * _LOG[times] / np.sqrt(words)[row]
+    return row, np.frombuffer(b"".join(packed), "<u2").astype(np.int64), 10 * logs / np.sqrt(words)[row]
 
 
 def raw_scores(batch: pa.RecordBatch, theta: np.ndarray) -> np.ndarray:

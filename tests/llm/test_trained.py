@@ -204,3 +204,13 @@ def test_toxicity_against_a_plain_fit(spark):
     least, found = objective(plain)[0], objective(theta[g])[0]
     assert found <= least * 1.02 + 0.05
     assert np.mean((x @ plain > 0) == (x @ theta[g] > 0)) > 0.98
+
+
+def test_counts_beyond_a_byte_count_in_full(spark):
+    """A word's share of a long text goes in by its whole count."""
+    rows = [(1, "word " * 300 + "other"), (2, "word " * 254 + "other"), (3, "word " * 70000), (4, "")]
+    table = toxicity.signal_table(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).toArrow().combine_chunks().to_batches()[0]
+    row, _, value = toxicity._hashed(table)
+    ids = table.column("doc_id").to_pylist()
+    for i, (n, words) in {1: (300, 301), 2: (254, 255), 3: (70000, 70000)}.items():
+        assert max(value[row == ids.index(i)]) == pytest.approx(10 * np.log1p(n) / np.sqrt(words))
