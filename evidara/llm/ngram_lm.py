@@ -19,6 +19,7 @@ without training rows every token has probability 1; other columns are not read.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +35,10 @@ from .fitting import fold
 FOLDS, HELD = 7, 2
 #: Distinct keys a task gathers before it hands them on.
 FLUSH = 6_000_000
+#: Tokens a task counts before it hands on what it has: its counts have 32 bits. Sums have 64.
+FLUSH_TOKENS = 1 << 31
+#: Word shards that a worker keeps mapped.
+MAPPED = 8192
 #: Ids in a range, at most.
 ID_RANGE = 1 << 16
 END = np.uint64(0xEF46DB3751D8E999)  # XXH64 of nothing, seed 0; words are never empty
@@ -75,16 +80,17 @@ class Gatherer:
     def __init__(self):
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.held, self.merged = 0, 0
+        self.held, self.merged, self.tokens = 0, 0, 0
 
     def add(self, keys: np.ndarray) -> bool:
         k, c = np.unique(keys, return_counts=True)
+        self.tokens += len(keys)
         self.keys.append(k)
         self.counts.append(c.astype(np.int64))
         self.held += len(k)
         if self.held > FLUSH and self.held > 2 * self.merged:
             self._merge()
-        return self.merged > FLUSH
+        return self.merged > FLUSH or self.tokens > FLUSH_TOKENS
 
     def _merge(self) -> None:
         k, c = summed(self.keys, self.counts)
@@ -201,16 +207,21 @@ def _count_words(train: DataFrame, model: Model) -> None:
 
 
 class Words:
-    """The mapped arrays of the words."""
+    """The arrays of the words; a shard is mapped when it is asked for, MAPPED at a time."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.keys, self.counts = [], []
-        for s in range(model.shards):
-            size = (model.first[s + 1] if s + 1 < model.shards else model.types) - model.first[s]
-            data = map_file(model.uri, f"words-{s}") if size else b""
-            self.keys.append(np.frombuffer(data, "<u8", size))
-            self.counts.append(np.frombuffer(data, "<i8", size, 8 * size) if size else np.zeros(0, np.int64))
+        self.model, self.held = model, OrderedDict()
+
+    def shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted keys of a shard and their counts."""
+        if s not in self.held:
+            m = self.model
+            size = (m.first[s + 1] if s + 1 < m.shards else m.types) - m.first[s]
+            data = map_file(m.uri, f"words-{s}") if size else b""
+            self.held[s] = np.frombuffer(data, "<u8", size), np.frombuffer(data, "<i8", size, 8 * size) if size else np.zeros(0, np.int64)
+            if len(self.held) > MAPPED:
+                self.held.popitem(last=False)
+        return self.held[s]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1 if unknown) and count of each token."""
@@ -218,11 +229,12 @@ class Words:
         ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
         edges = np.searchsorted(_shard_of(distinct, self.model.bits), np.arange(self.model.shards + 1))
         for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if a < b and len(self.keys[s]):
-                at = np.minimum(np.searchsorted(self.keys[s], distinct[a:b]), len(self.keys[s]) - 1)
-                same = self.keys[s][at] == distinct[a:b]
+            keys, held = self.shard(s) if a < b else ((), ())
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, distinct[a:b]), len(keys) - 1)
+                same = keys[at] == distinct[a:b]
                 ids[a:b] = np.where(same, self.model.first[s] + at, -1)
-                counts[a:b] = np.where(same, self.counts[s][at], 0)
+                counts[a:b] = np.where(same, held[at], 0)
         return ids[back], counts[back]
 
 
@@ -264,7 +276,7 @@ def _count_pairs(train: DataFrame, model: Model) -> None:
         k, c = summed([(_joined(t, "u", "<u4").astype(np.uint64) << _U32) | _joined(t, "w", "<u4").astype(np.uint64)], [_joined(t, "counts", "<u4").astype(np.int64)])
         mixed = mix(k)
         order = np.argsort(mixed)
-        put_bytes(model.uri, f"pairs-{shard}", mixed[order].astype("<u8").tobytes(), c[order].astype("<u4").tobytes())
+        put_bytes(model.uri, f"pairs-{shard}", mixed[order].astype("<u8").tobytes(), c[order].astype("<i8").tobytes())
         tally = np.array([len(k), *(np.count_nonzero(c == i) for i in (1, 2, 3, 4))], "<i8")
         out = [(-1, 0, tally.tobytes(), b"")]
         u, w = (k >> _U32).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -314,8 +326,8 @@ class Scorer:
     def _pairs(self, s: int) -> tuple[np.ndarray, np.ndarray]:
         if s not in self.pairs:
             data = map_file(self.model.uri, f"pairs-{s}")
-            size = len(data) // 12
-            self.pairs[s] = np.frombuffer(data, "<u8", size), np.frombuffer(data, "<u4", size, 8 * size) if size else np.zeros(0, "<u4")
+            size = len(data) // 16
+            self.pairs[s] = np.frombuffer(data, "<u8", size), np.frombuffer(data, "<i8", size, 8 * size) if size else np.zeros(0, "<i8")
         return self.pairs[s]
 
     def _range(self, r: int) -> tuple[np.ndarray, np.ndarray]:

@@ -273,3 +273,33 @@ def test_segmentations_of_a_table(odd, none):
     again = {(r["doc_id"], r["sample"], r["ids_crc32"]) for r in ps.sample_segmentations(odd.repartition(1), path, with_ids=False).collect()}
     assert again == {(r["doc_id"], r["sample"], r["ids_crc32"]) for r in rows}
     assert ps.sample_segmentations(none, path).count() == 0
+
+
+def test_counts_have_room(monkeypatch):
+    """A task hands on its counts before they outgrow 32 bits; sums and stored pairs have 64."""
+    monkeypatch.setattr(ngram_lm, "FLUSH_TOKENS", 10)
+    got = ngram_lm.Gatherer()
+    assert not got.add(np.array([5] * 10, np.uint64)) and got.add(np.array([5, 6], np.uint64))
+    keys, counts = got.take()
+    assert (keys.tolist(), counts.tolist(), got.tokens) == ([5, 6], [11, 1], 0)
+    parts = [np.array([3_000_000_000], "<u4").astype(np.int64)] * 3
+    assert ngram_lm.summed([np.array([7], np.uint64)] * 3, parts)[1].tolist() == [9_000_000_000]
+
+
+def test_pair_counts_beyond_32_bits(tmp_path):
+    model = ngram_lm.Model(f"file://{tmp_path}", 0, first=[0], types=3, tokens=10**10, hot=np.array([3]))
+    pair = np.array([(1 << 32) | 2], np.uint64)
+    from evidara.llm.common import put_bytes
+
+    put_bytes(model.uri, "pairs-0", ngram_lm.mix(pair).astype("<u8").tobytes(), np.array([6 * 10**9], "<i8").tobytes())
+    assert ngram_lm.Scorer(model)._pair_counts(np.array([1, 1]), np.array([2, 0])).tolist() == [6 * 10**9, 0]
+
+
+def test_few_word_shards_stay_mapped(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, sentence(i, 20)) for i in range(50)], "doc_id long, text string")
+    model = ngram_lm.train_model(docs.select("text"), shards=16)
+    monkeypatch.setattr(ngram_lm, "MAPPED", 2)
+    hashes, _ = ngram_lm.token_hashes(pa.array([sentence(i, 20) for i in range(50)] + ["never seen"]))
+    words = ngram_lm.Words(model)
+    ids, counts = words.ids(hashes)
+    assert len(words.held) <= 2 and (ids[:-3] >= 0).all() and ids[-3:].tolist() == [-1, -1, ids[-1]] and counts.max() > 1
