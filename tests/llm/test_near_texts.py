@@ -101,3 +101,30 @@ def test_components(spark, chunk):
     nodes, least = comp.least_reachable(*np.array([e for e in edges if e[0] != e[1]]).T)
     assert got == dict(zip(nodes.tolist(), least.tolist()))
     assert comp.components(df.limit(0), chunk=chunk).count() == 0
+
+
+def test_small_sets_lose_no_link(spark):
+    """Texts of 8 and 9 words (sets of 4 within 5 shingles) and somewhat longer ones, at a similarity of just 0.8 and just below."""
+    rnd = random.Random(9)
+    texts = []
+    for k in range(900):
+        n = rnd.choice([4, 4, 8, 12, 16, 24, 28, 32])
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(n + 4)]
+        texts += [" ".join(own), " ".join([*own, *(f"v{rnd.randrange(10**6)}" for _ in range(n // 4 + (k % 9 == 0)))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted = brute(dict(enumerate(texts)))
+    assert sum(i != c for i, c in wanted.items()) == 800
+    for tile in (200, near_texts.TILE):
+        assert {r["doc_id"]: r["component_id"] for r in near_texts.groups(df, tile=tile).collect()} == wanted
+
+
+def test_signatures_bound_the_difference():
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(0, 40))) for _ in range(60)]
+    sets, sizes = near_texts.shingle_sets(pa.array(texts), 2)
+    signs = near_texts.signatures(sets, sizes)
+    own = [set(x.tolist()) for x in np.split(sets, np.cumsum(sizes)[:-1])]
+    for a, x in zip(own, signs):
+        for b, y in zip(own, signs):
+            apart = int(np.bitwise_count(x ^ y).sum())
+            assert apart <= len(a ^ b) and (apart - len(a ^ b)) % 2 == 0
