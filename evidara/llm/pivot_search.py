@@ -10,7 +10,8 @@ number; the second job passes over the index once: its tasks hold their annuli a
 its k-th best distance. Only what may be among the k best leaves a task. Bounds are widened by a rounding allowance and ties are looked at, so the result is exact.
 
 Defined cases: null ids and vectors null, empty or with null or non-finite components take no part; zero vectors do; one row per vec_id (the smallest of those that
-repeat it); vectors of different lengths do not meet; an empty table gives an empty result. Scores must stay below 2**53 (numbers beyond use 64-bit integers).
+repeat it); vectors of different lengths do not meet; an empty table gives an empty result. Vectors whose components are so large that a sum of products might reach 2**53 are wide: pairs with one are
+compared apart, without bounds, in whole numbers of any size, and rank by them; a score beyond 64 bits is given as the nearest 64-bit number, and a component whose scaled value is no double as the nearest double.
 """
 
 from __future__ import annotations
@@ -34,15 +35,26 @@ BLOCK = 512
 #: Queries in a block, about: their vectors, thresholds and best lists are what a task holds beside its part of the index.
 QUERY_BLOCK = 2048
 _INDEX = "cell int, low double, high double, ids binary, vectors binary"
+_LONG = (-(1 << 63), (1 << 63) - 1)
 _FOUND = "query_id long, vec_id long, score long"
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if bound < 2.0**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    """Exact integer inner products of vectors that are not wide."""
+    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+
+
+def _wide_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole doubles of any size, as Python's integers."""
+    whole = lambda x: np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+    return whole(a) @ whole(b).T
+
+
+def _order_key(score: int) -> bytes:
+    """Bytes that sort as the numbers do."""
+    size = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    body = len(size).to_bytes(2, "big") + size
+    return b"\x01" + body if score >= 0 else b"\x00" + bytes(255 - x for x in body)
 
 
 class Geometry:
@@ -66,7 +78,7 @@ class Geometry:
 
 def build_index(vectors: DataFrame, dim: int, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, Geometry] | None:
     """The index blocks of vec_id, x (whole components), and the geometry."""
-    longest = vectors.agg(F.max(F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v * v))).first()[0]
+    longest = vectors.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0]
     if longest is None:
         return None
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("x").limit(pivots).collect()  # a bounded sample; every row is indexed
@@ -89,7 +101,7 @@ def build_index(vectors: DataFrame, dim: int, pivots: int = PIVOTS, block: int =
             rows = [(int(cell[a]), float(r[a]), float(r[b - 1]), ids[a:b].tobytes(), x[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary()))], ["cell", "low", "high", "ids", "vectors"])
 
-    keyed = vectors.mapInArrow(key, "vec_id long, x array<long>, cell int, r double")
+    keyed = vectors.mapInArrow(key, "vec_id long, x array<double>, cell int, r double")
     return cut(keyed.repartitionByRange("cell", "r", "vec_id").sortWithinPartitions("cell", "r").mapInArrow(blocks, _INDEX)), geometry
 
 
@@ -118,22 +130,22 @@ class _Best:
         self.scores[rows] = np.where(self.full[rows], np.take_along_axis(all_scores, order, 1), np.iinfo(np.int64).min)
 
 
-def _file_rows(uri: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _file_rows(uri: str, name: str, width: int, dtype: str = "<i8") -> tuple[np.ndarray, np.ndarray]:
     """Ids and rows of width numbers of a block's file."""
     data = map_file(uri, name)
     n = len(data) // (8 * (1 + width))
-    return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n * width, 8 * n).reshape(n, width)
+    return np.frombuffer(data, "<i8", n), np.frombuffer(data, dtype, n * width, 8 * n).reshape(n, width)
 
 
-def _write_blocks(rows: DataFrame, uri: str, kind: str, blocks: int, width: int) -> None:
-    """rows (query_id, x: array<long> of width numbers) as files kind-0, kind-1, ...: ids in order, then the numbers."""
+def _write_blocks(rows: DataFrame, uri: str, kind: str, blocks: int, width: int, dtype: str = "<i8") -> None:
+    """rows (query_id, x: array of width numbers) as files kind-0, kind-1, ...: ids in order, then the numbers as dtype."""
     own = rows.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "x")
-    none = rows.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("x"))
+    none = rows.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast(own.schema["x"].dataType).alias("x"))
 
     def write(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         t = t.filter(pc.is_valid(t.column("query_id"))).sort_by("query_id")
-        put_bytes(uri, f"{kind}-{block}", t.column("query_id").to_numpy().astype("<i8").tobytes(), matrix(t.column("x"), width).astype("<i8").tobytes() if t.num_rows else b"")
+        put_bytes(uri, f"{kind}-{block}", t.column("query_id").to_numpy().astype("<i8").tobytes(), t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype).tobytes() if t.num_rows else b"")
         return pa.table({"n": [t.num_rows]})
 
     own.unionByName(none).groupBy("block").applyInArrow(write, "n long").count()
@@ -198,29 +210,78 @@ def _search(index: DataFrame, geometry: Geometry, uri: str, blocks: int, dim: in
     return index.mapInArrow(run, _FOUND)
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def _wide_pairs(candidates: DataFrame, queries: DataFrame, dim: int, k: int, query_block: int) -> DataFrame:
+    """query_id, vec_id, score, key: what may be among the k best of each query by pairs of candidates and queries, compared one and all."""
+    spark, uri = candidates.sparkSession, new_shared_dir(candidates.sparkSession, "wide-queries")
+    blocks = -(-queries.count() // query_block)
+    _write_blocks(queries, uri, "queries", blocks, dim, "<f8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                own, x = part.column("vec_id").to_pylist(), matrix(part.column("x"), dim)
+                for block in range(blocks):
+                    ids, q = _file_rows(uri, f"queries-{block}", dim, "<f8")
+                    rows = []
+                    for i, scores in zip(ids.tolist(), _wide_products(q, x)):
+                        best = sorted((-s, j) for s, j in zip(scores.tolist(), own) if i != j)[:k]
+                        rows += [(i, j, max(min(-s, _LONG[1]), _LONG[0]), _order_key(-s)) for s, j in best]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["query_id", "vec_id", "score", "key"])
+
+    out = cut(candidates.mapInArrow(run, f"{_FOUND}, key binary"))
+    drop_shared_dir(spark, uri)
+    return out
+
+
+def _with_keys(found: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_order_key, batch.column("score").to_pylist()), pa.binary())], [*batch.schema.names, "key"])
+
+    return found.mapInArrow(run, f"{_FOUND}, key binary")
+
+
+def _ranked(found: DataFrame, k: int, by: str = "score") -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def exact_top_k(table: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK, report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for every query (vec_id divisible by every): its k highest inner products, ties to the smaller vec_id. report gets how many pairs were compared, and of how many."""
     spark = table.sparkSession
-    whole = cut(valid_vectors(table, True).select("vec_id", F.transform("embedding", lambda v: F.floor(v * scale)).alias("x")))
+    most = float(np.finfo(np.float64).max)
+    component = lambda v: F.when(F.abs(v * scale) < 2.0**53, F.floor(v * scale).cast("double")).otherwise(F.greatest(F.least(v * scale, F.lit(most)), F.lit(-most)))
+    whole = cut(valid_vectors(table, True).select("vec_id", F.transform("embedding", component).alias("x")))
     schema = T.StructType().add("query_id", "long").add("rank", "integer").add("vec_id", "long").add("score", "long")
     results = None
     for dim in dimensions(whole.withColumnRenamed("x", "embedding")):
-        vectors = whole.filter(F.size("x") == dim)
-        queries = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x")
+        largest = float(np.floor(np.sqrt(2.0**52 / dim)))
+        asked = lambda df: df.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x")
+        same, plain = whole.filter(F.size("x") == dim), F.forall("x", lambda v: F.abs(v) <= largest)
+        if asked(same).isEmpty():
+            continue
+        wide, vectors = same.filter(~plain), same.filter(plain)
+        extra = None
+        if not wide.isEmpty():
+            extra = _wide_pairs(wide, asked(same), dim, k, query_block)
+            if not asked(wide).isEmpty():
+                extra = extra.unionByName(_wide_pairs(vectors, asked(wide), dim, k, query_block))
+        queries = asked(vectors)
         blocks = -(-queries.count() // query_block)
         if not blocks:
+            part = _ranked(extra, k, "key").select("query_id", "rank", "vec_id", "score")
+            results = part if results is None else results.unionByName(part)
             continue
         uri = new_shared_dir(spark, "pivot-queries")
         index, geometry = build_index(vectors, dim, pivots, block)
         _write_blocks(queries, uri, "queries", blocks, dim)
         _write_blocks(_seeds(index, dim, k, every), uri, "kth", blocks, 2)
         tally = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)) if report is not None else None
-        part = cut(_ranked(_search(index, geometry, uri, blocks, dim, k, tally), k).select("query_id", "rank", "vec_id", "score"))
+        found = _search(index, geometry, uri, blocks, dim, k, tally)
+        found = _ranked(found, k) if extra is None else _ranked(_with_keys(found).unionByName(extra), k, "key")
+        part = cut(found.select("query_id", "rank", "vec_id", "score"))
         if tally:
             report.update({"compared": report.get("compared", 0) + tally[0].value, "pairs": report.get("pairs", 0) + tally[1].value})
         drop_shared_dir(spark, uri)

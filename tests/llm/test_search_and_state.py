@@ -200,3 +200,23 @@ def test_counts_by_an_encoder(spark):
 
     df = spark.createDataFrame([("a b",), (None,), ("",)], "text string")
     assert sorted(r["n_tokens"] for r in token_ledger.count_by_encoder(df, load).collect()) == [0, 0, 2]
+
+
+def test_pivot_search_of_large_components(spark):
+    """Components beyond what products in doubles or 64 bits can hold take part, and rank exactly."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 4)).tolist()
+    x[3], x[50], x[61], x[100] = [2e7, 0.5, -1.0, 2.0], [1e300, 3.0, 1e299, -1e300], [-2e7, 1e12, 0.0, 5.0], [1e308, -1e308, 1.0, 0.25]
+    x[70], x[71] = [1.0, 2e7, 0.0, 0.0], [1.0, 2e7, 0.0, 1.0]
+    whole = [[math.floor(256 * v) if abs(256 * v) < 2.0**53 else int(max(min(256 * v, 1.7976931348623157e308), -1.7976931348623157e308)) for v in row] for row in x]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").repartition(3)
+    wanted = brute(whole, range(150), (0, 50, 100), 5, lambda q, i: sum(a * b for a, b in zip(whole[q], whole[i])))
+    got = {q: [] for q in wanted}
+    for r in sorted(pivot_search.exact_top_k(df, pivots=5, block=16, query_block=2).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {q: [(i, max(min(s, 2**63 - 1), -(2**63))) for i, s in rows] for q, rows in wanted.items()}
+
+
+def test_order_keys():
+    numbers = [-(10**700), -(2**64), -256, -255, -1, 0, 1, 255, 256, 2**64, 10**700]
+    assert sorted(numbers, key=pivot_search._order_key) == numbers
