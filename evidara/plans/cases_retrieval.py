@@ -43,10 +43,10 @@ found AS (SELECT query_id, qa_id, position::INT AS position, bm25, score, (row_n
 
 @case("bm25_topk", f"WITH {S_BM25} SELECT query_id, qa_id, round(bm25, 6) AS bm25, position::INT AS position FROM short")
 def bm25_topk(spark, d):
-    index, stats = se.postings(qas(spark, d), "qa_id")
+    index, stats = se.blocked(qas(spark, d), "qa_id")
     terms = asked(spark, d).select("query_id", tm.search_terms(F.col("query")).alias("t"))
     terms = terms.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("t", tx.index_tokens)))).alias("term"))
-    return se.bm25(index, stats, terms, "qa_id", se.SHORTLIST).withColumn("bm25", F.round("bm25", 6))
+    return se.block_max(se.materialise(index), stats, terms, "qa_id", se.SHORTLIST).withColumn("bm25", F.round("bm25", 6))
 
 
 @case("qa_search", f"WITH {S_BM25} SELECT query_id, qa_id, position, round(bm25, 6) AS bm25, round(score, 6) AS score, rank FROM found")

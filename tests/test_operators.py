@@ -313,3 +313,31 @@ def test_optional_metrics():
     assert mt.text_similarity("a b", "b c", same) == {"status": "computed", "precision": 0.5, "recall": 0.5, "f1": 0.5}
 
 
+
+
+def test_block_max_equals_bm25(spark):
+    """The blocked search gives the rows of the plain one at any k and block size, and reads fewer postings for fewer results."""
+    import random
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rnd.choices(words[i // 20 * 6 : i // 20 * 6 + 8] + ["the"], k=rnd.randrange(0, 12))), rnd.choice([None, "", "the cause", "w3 w3"]), rnd.choice(["a", None])) for i in range(200)]
+    docs += [(200, docs[7][1], docs[7][2], docs[7][3]), (201, None, None, None)]
+    df = spark.createDataFrame(docs, "qa_id long, question string, answer string, category string").repartition(3)
+    asked = [(f"q{i}", t) for i in range(25) for t in {*rnd.sample(words, 3), *(["the"] if i % 2 else [])}] + [("none", "unheard"), ("common", "the")]
+    queries = spark.createDataFrame(asked, "query_id string, term string")
+    rows, stats = se.postings(df, "qa_id")
+    columns = ["query_id", "qa_id", "bm25", "position"]
+    shares = {}
+    for size in (5, 64):
+        blocks, same = se.blocked(df, "qa_id", size=size)
+        for k in (1, 10, 300):
+            shares[size, k] = {}
+            plain = {tuple(r) for r in se.bm25(rows, stats, queries, "qa_id", k).select(columns).collect()}
+            found = {tuple(r) for r in se.block_max(blocks, same, queries, "qa_id", k, shares[size, k], size).select(columns).collect()}
+            assert found == plain
+    assert shares[5, 1]["read"] < shares[5, 10]["read"] <= shares[5, 300]["read"] == shares[5, 300]["of"] and shares[5, 1]["read"] < 0.6 * shares[5, 1]["of"]
+    assert blocks.filter("n > 64").isEmpty()  # no block holds a common term's whole list
+    assert se.block_max(blocks, same, queries.limit(0), "qa_id", 3).collect() == []
+    none, empty = se.blocked(df.limit(0), "qa_id")
+    assert se.block_max(none, empty, queries, "qa_id", 3).collect() == []
