@@ -274,8 +274,8 @@ def extraction_report(spark, d):
     "query_analysis",
     """WITH q AS (SELECT c_custkey AS query_id, c_custkey % 8 AS m, c_name FROM customer)
     SELECT query_id, CASE WHEN m IN (1, 2, 3, 4) THEN 'fallback' ELSE 'model' END AS analysis_status, CASE WHEN m IN (1, 2, 3, 4) THEN 'unclear_intent' WHEN m = 5 THEN 'non_medical' ELSE 'general_medical_advice' END AS primary_intent,
-        CASE m WHEN 1 THEN 'Query analysis failed: not a JSON object' WHEN 2 THEN 'Query analysis failed: Invalid complexity: huge' WHEN 3 THEN 'Query analysis failed: confidence must be between 0 and 1.' WHEN 4 THEN 'Query analysis failed: Missing required fields: warnings'
-            WHEN 6 THEN 'Skipped phrase 1: surface_form not found in corrected_query.' ELSE '' END AS warnings, (m IN (0, 7))::INT AS n_phrases FROM q""",
+        CASE m WHEN 1 THEN 'reply.refused:reply.no_object' WHEN 2 THEN 'reply.refused:complexity.unknown:huge' WHEN 3 THEN 'reply.refused:confidence.range' WHEN 4 THEN 'reply.refused:warnings.absent'
+            WHEN 6 THEN 'phrase[1].surface_form.not_there' ELSE '' END AS warnings, (m IN (0, 7))::INT AS n_phrases FROM q""",
 )
 def query_analysis(spark, d):
     """A reply for each customer's name as a query, by its key modulo eight one that passes or one of the faults."""
@@ -283,7 +283,7 @@ def query_analysis(spark, d):
     phrase = F.struct(F.when(m == 6, "elsewhere").otherwise(name).alias("surface_form"), F.lower(F.when(m == 6, "elsewhere").otherwise(name)).alias("normalized_form"), F.lit("Test").alias("entity_type"), F.lit("corrected_query").alias("source"), F.lit(0.5).alias("confidence"))
     fields = [
         name.alias("corrected_query"), name.alias("reformulated_query"), F.when(m == 5, "non_medical").otherwise("simple_medical").alias("query_class"), F.when(m == 2, "huge").otherwise("low").alias("complexity"), F.lit("general_medical_advice").alias("primary_intent"),
-        F.array().cast("array<string>").alias("secondary_intents"), F.array(phrase).alias("medical_phrases"), F.when(m == 3, 7.0).otherwise(0.5).alias("confidence"),
+        F.array().cast("array<string>").alias("secondary_intents"), F.when(m == 5, F.array().cast("array<struct<surface_form: string, normalized_form: string, entity_type: string, source: string, confidence: double>>")).otherwise(F.array(phrase)).alias("medical_phrases"), F.when(m == 3, 7.0).otherwise(0.5).alias("confidence"),
     ]
     whole, part = F.to_json(F.struct(*fields, F.array().cast("array<string>").alias("warnings"))), F.to_json(F.struct(*fields))
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), name.alias("original_query"), tx.query_form(name).alias("normalized_query"), F.when(m == 1, "none").when(m == 4, part).otherwise(whole).alias("reply"))

@@ -253,20 +253,27 @@ def test_query_analysis(spark):
         (1, "علاج الصداع", make(medical_phrases=[phrase(), phrase(surface_form="السكر"), phrase(entity_type="Body"), phrase(confidence="x"), phrase(confidence=3), "no object"])),
         (2, "اشعر بالم", make(corrected_query="اشعر بالم", reformulated_query="سبب الالم")),
         (3, "علاج", make(query_class="odd")), (4, "ما اعراض البرد", "no json"), (5, "طقس", json.dumps({k: v for k, v in base.items() if k != "warnings"})), (6, "x", make(confidence=2)),
-        (7, "شيء", make(corrected_query="شيء", reformulated_query="شيء", query_class="non_medical", primary_intent="treatment_request", medical_phrases=[phrase()])),
+        (7, "شيء", make(corrected_query="شيء", reformulated_query="شيء", query_class="non_medical", primary_intent="treatment_request")), (8, "شيء", make(query_class="non_medical", medical_phrases=[phrase()])),
+        (9, "x", json.dumps({"query_class": " ", "confidence": "y", "secondary_intents": ["no", "comparison"], "medical_phrases": 3})),
     ]
     df = spark.createDataFrame([(i, q, q, r) for i, q, r in replies], "query_id int, original_query string, normalized_query string, reply string")
     analysis, phrases = an.validate(df)
     got = {r["query_id"]: r for r in analysis.collect()}
     assert (got[1]["primary_intent"], got[1]["confidence"], got[1]["preferred_relation_types"], got[1]["analysis_status"]) == ("treatment_request", 0.9, ["TREATED_BY", "TREATS"], "model")
-    assert got[1]["warnings"][0] == "w" and sum(w.startswith("Skipped phrase") for w in got[1]["warnings"]) == 5 and any(w.startswith("Adjusted phrase 1") for w in got[1]["warnings"])
+    assert got[1]["warnings"][0] == "w" and got[1]["warnings"][1:] == [
+        "phrase[1].normalized_form.replaced", "phrase[2].surface_form.not_there", "phrase[3].entity_type.unknown:Body", "phrase[4].confidence.no_number", "phrase[5].confidence.range", "phrase[6].no_object",
+    ]
     assert [(r["query_id"], r["norm"], r["entity_type"]) for r in phrases.collect()] == [(1, "الصداع", "Symptom")]
-    assert got[2]["reformulated_query"].startswith("ما التوجيه") and any("Blocked" in w for w in got[2]["warnings"])
-    assert got[3]["analysis_status"] == "fallback" and "Invalid query_class: odd" in got[3]["warnings"][0] and got[3]["primary_intent"] == "treatment_request"
-    assert got[4]["primary_intent"] == "symptom_request" and "not a JSON object" in got[4]["warnings"][0]
-    assert got[5]["primary_intent"] == "non_medical" and got[5]["query_class"] == "non_medical" and "Missing required fields: warnings" in got[5]["warnings"][0]
-    assert "between 0 and 1" in got[6]["warnings"][0] and got[6]["primary_intent"] == "unclear_intent"
+    assert got[2]["reformulated_query"].startswith("ما التوجيه") and "reformulated_query.new_intent" in got[2]["warnings"]
+    assert got[3]["analysis_status"] == "fallback" and got[3]["warnings"][0] == "reply.refused:query_class.unknown:odd" and got[3]["primary_intent"] == "treatment_request"
+    assert got[4]["primary_intent"] == "symptom_request" and got[4]["warnings"][:2] == ["reply.refused:reply.no_object", "intent.by_rules"]
+    assert got[5]["primary_intent"] == "non_medical" and got[5]["query_class"] == "non_medical" and got[5]["warnings"][0] == "reply.refused:warnings.absent"
+    assert got[6]["warnings"][0] == "reply.refused:confidence.range" and got[6]["primary_intent"] == "unclear_intent"
     assert (got[7]["primary_intent"], got[7]["secondary_intents"]) == ("non_medical", [])
+    assert got[7]["analysis_status"] == "model" and got[8]["analysis_status"] == "fallback" and got[8]["warnings"][0] == "reply.refused:medical_phrases.unexpected"
+    assert got[9]["warnings"][0] == (
+        "reply.refused:corrected_query.absent,reformulated_query.absent,complexity.absent,primary_intent.absent,warnings.absent,query_class.unknown:,medical_phrases.no_list,secondary_intents.unknown:no,confidence.no_number"
+    )
 
 
 def test_authoritative_texts_and_ties(spark):
