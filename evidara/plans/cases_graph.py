@@ -73,14 +73,14 @@ def latest_record_per_key(spark, d):
 
 @case(
     "resume_pending",
-    """WITH q AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS n FROM (SELECT DISTINCT user_id FROM events)), done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id < 300)
+    """WITH q AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS n FROM (SELECT DISTINCT user_id FROM events)), done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id % 3 <> 0)
     SELECT user_id FROM q WHERE n BETWEEN 11 AND 100 AND user_id NOT IN (SELECT user_id FROM done)""",
 )
 def resume_pending(spark, d):
     """The slice of the work list that has no completed record yet: tasks keep its first 100 keys, and only those are numbered."""
     events = table(spark, d, "events")
     queue = events.select("user_id").distinct().orderBy("user_id").limit(100).withColumn("n", F.row_number().over(Window.orderBy("user_id")))
-    done = events.filter("event_type = 'purchase' AND event_id < 300").select("user_id").distinct()
+    done = events.filter("event_type = 'purchase' AND user_id % 3 <> 0").select("user_id").distinct()
     return queue.filter("n BETWEEN 11 AND 100").join(done, "user_id", "left_anti").select("user_id")
 
 
@@ -297,7 +297,7 @@ _NAMES = (
 
 @case(
     "entity_rules",
-    f"""WITH n AS (SELECT * FROM (VALUES {", ".join(str(x) for x in _NAMES)}) v(id, kind, name))
+    f"""WITH n AS (SELECT p_partkey AS id, coalesce(v.kind, 'Treatment') AS kind, coalesce(v.name, p_name) AS name FROM part LEFT JOIN (VALUES {", ".join(str(x) for x in _NAMES)}) v(k, kind, name) ON v.k = p_partkey % 13)
     SELECT id, CASE WHEN name = 'اسبرين' THEN 'الأسبرين' WHEN kind = 'Treatment' AND name LIKE 'مضاد ه%' THEN 'مضاد الهيستامين' ELSE name END AS canonical,
         CASE WHEN name = 'حمى' OR name = 'صداع' THEN 'Symptom' WHEN contains(name, 'تهاب') AND NOT regexp_matches(name, 'علاج|دواء|مضاد|مرهم') THEN 'DiseaseCondition' ELSE kind END AS entity_type,
         CASE WHEN kind = 'Treatment' AND name IN ('رياضة', 'الرياضة', 'جرعة') THEN 'low' WHEN kind = 'Treatment' AND NOT contains(name, ' ') THEN 'medium' ELSE 'high' END AS quality,
@@ -306,7 +306,10 @@ _NAMES = (
 def entity_rules(spark, d):
     from ..operators import entity_rules as er
 
-    rows = spark.createDataFrame(list(_NAMES), "id int, kind string, name string").withColumn("aliases", F.array().cast("array<string>"))
+    # a part goes by one of the names, by its key, or by its own
+    k = (F.col("p_partkey") % 13).cast("int")
+    own = lambda n, other: F.coalesce(F.get(F.array(F.lit(None).cast("string"), *(F.lit(x[n]) for x in _NAMES)), k), other)
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), own(1, F.lit("Treatment")).alias("kind"), own(2, F.col("p_name")).alias("name"), F.array().cast("array<string>").alias("aliases"))
     k, n, a = F.col("kind"), F.col("name"), F.col("aliases")
     return rows.select("id", er.canonical(k, n, a).alias("canonical"), er.corrected_type(k, n, a).alias("entity_type"), er.quality(k, n, a).alias("quality"), er.rejection(n).alias("rejection"))
 

@@ -271,29 +271,39 @@ def relation_rerank(spark, d):
 _ASKS = ((1, "ما علاج الصداع منذ يومين", "simple_medical", "low", 1), (2, "هل الدواء بسبب الحساسيه", "complex_medical", "high", 2), (3, "حاله الطقس اليوم", "non_medical", "low", 0), (4, "ما اعراض فقر الدم عند طفلي", "simple_medical", "medium", 2), (5, "تجنب المرض", "simple_medical", "medium", 1), (6, "شيء اخر", "unclear", "low", 0))
 
 
-def _intents(spark):
-    q = spark.createDataFrame(list(_ASKS), "query_id int, norm string, query_class string, complexity string, n_phrases int")
+def _intents(spark, d):
+    """A query for each customer, by its key one of the phrasings."""
+    k = (F.col("c_custkey") % len(_ASKS) + 1).cast("int")
+    part = lambda n: F.element_at(F.array(*(F.lit(a[n]) for a in _ASKS)), k)
+    q = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.concat(part(1), F.lit(" "), F.col("c_custkey")).alias("norm"), part(2).alias("query_class"), part(3).alias("complexity"), part(4).alias("n_phrases"))
     q = q.withColumn("i", li.intent(F.col("norm"), F.col("query_class")))
     none = F.array().cast("array<string>")
     return q.withColumns({"primary_intent": F.coalesce("i.primary", F.lit("unclear_intent")), "secondary_intents": F.coalesce("i.secondary", none), "confidence": F.coalesce("i.confidence", F.lit(0.0))})
 
 
-@case(
-    "intent_rules",
-    f"""WITH q AS (SELECT * FROM (VALUES {", ".join(str(a) for a in _ASKS)}) v(query_id, norm, query_class, complexity, n_phrases))
-    SELECT query_id, CASE WHEN regexp_matches(norm, 'طقس|جو اليوم') OR query_class = 'non_medical' THEN 'non_medical' WHEN regexp_matches(norm, 'وقايه|اقي|احمي|تجنب') THEN 'prevention_request' WHEN regexp_matches(norm, 'دواء|الدوا') AND regexp_matches(norm, 'بسبب|من الدواء|من الدوا|اثر|تداخل') THEN 'medication_safety'
-    WHEN regexp_matches(norm, 'تحاليل|تحليل|فحص|اشعه|اختبار') THEN 'test_request' WHEN regexp_matches(norm, 'تشخيص|يشخص') THEN 'diagnosis_request' WHEN regexp_matches(norm, 'اعراض|عرض') THEN 'symptom_request' WHEN regexp_matches(norm, 'علاج|اعالج') THEN 'treatment_request' WHEN contains(norm, 'سبب') THEN 'cause_request' ELSE 'unclear_intent' END AS primary_intent FROM q""",
-)
+S_INTENTS = f"""q AS (SELECT c_custkey AS query_id, v.norm || ' ' || c_custkey AS norm, query_class, complexity, n_phrases FROM customer JOIN (VALUES {", ".join(str(a) for a in _ASKS)}) v(k, norm, query_class, complexity, n_phrases) ON v.k = c_custkey % {len(_ASKS)} + 1),
+    intents AS (SELECT *, CASE WHEN regexp_matches(norm, 'طقس|جو اليوم') OR query_class = 'non_medical' THEN 'non_medical' WHEN regexp_matches(norm, 'وقايه|اقي|احمي|تجنب') THEN 'prevention_request' WHEN regexp_matches(norm, 'دواء|الدوا') AND regexp_matches(norm, 'بسبب|من الدواء|من الدوا|اثر|تداخل') THEN 'medication_safety'
+    WHEN regexp_matches(norm, 'تحاليل|تحليل|فحص|اشعه|اختبار') THEN 'test_request' WHEN regexp_matches(norm, 'تشخيص|يشخص') THEN 'diagnosis_request' WHEN regexp_matches(norm, 'اعراض|عرض') THEN 'symptom_request' WHEN regexp_matches(norm, 'علاج|اعالج') THEN 'treatment_request' WHEN contains(norm, 'سبب') THEN 'cause_request' ELSE 'unclear_intent' END AS primary_intent FROM q)"""
+
+
+@case("intent_rules", f"WITH {S_INTENTS} SELECT query_id, primary_intent FROM intents")
 def intent_rules(spark, d):
-    return _intents(spark).select("query_id", "primary_intent")
+    return _intents(spark, d).select("query_id", "primary_intent")
+
+
+_PAD = "' ' || norm || ' '"
 
 
 @case(
     "retrieval_plan",
-    """SELECT * FROM (VALUES (1, true, true, 1, 'TREATED_BY TREATS'), (2, true, true, 2, ''), (3, false, false, 0, ''), (4, true, true, 2, 'HAS_SYMPTOM SYMPTOM_OF'), (5, true, true, 2, ''), (6, true, false, 0, '')) v(query_id, use_vector_search, use_graph_search, hop_depth, preferred)""",
+    f"""WITH {S_INTENTS},
+    s AS (SELECT *, query_class <> 'non_medical' AND primary_intent <> 'non_medical' AS inside, query_class = 'complex_medical' OR complexity = 'high' OR {" OR ".join(f"contains({_PAD}, '{w}')" for w in li.COMPARISON_TERMS)}
+        OR (n_phrases >= 2 AND ({" OR ".join(f"contains(norm, '{w}')" for w in (*li.AGE_TERMS, *li.DURATION_TERMS))})) AS deep FROM intents)
+    SELECT query_id, inside AS use_vector_search, inside AND n_phrases > 0 AS use_graph_search, CASE WHEN NOT (inside AND n_phrases > 0) THEN 0 WHEN deep OR complexity = 'medium' THEN 2 ELSE 1 END AS hop_depth,
+        CASE WHEN NOT inside THEN '' {" ".join(f"WHEN primary_intent = '{i}' THEN '{' '.join(r)}'" for i, r in li.RELATIONS_BY_INTENT.items())} ELSE '' END AS preferred FROM s""",
 )
 def retrieval_plan(spark, d):
-    rows = _intents(spark).withColumn("primary_entity_ids", F.when(F.col("n_phrases") > 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")))
+    rows = _intents(spark, d).withColumn("primary_entity_ids", F.when(F.col("n_phrases") > 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")))
     return li.retrieval_plan(rows).select("query_id", "use_vector_search", "use_graph_search", "hop_depth", F.array_join("preferred_relation_types", " ").alias("preferred"))
 
 

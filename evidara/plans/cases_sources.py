@@ -12,7 +12,7 @@ from ..sources import files
 from ..sources.stages import materialise, shared_folder
 from ..streaming import response_log as log
 from .cases_retrieval import S_BM25, asked, qas
-from .registry import QA_PAIRS, case, s_match, table, texts
+from .registry import QA_PAIRS, case, s_list, s_match, table, texts
 
 
 def _folder(spark, name: str) -> str:
@@ -117,13 +117,13 @@ def alias_lists(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(rec.aliases(raw, F.col("p_name")), ",").alias("names"))
 
 
-@case("repaired_texts", "SELECT conv_id, turn, text FROM conversations")
+@case("repaired_texts", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN text || ' Ø 日' WHEN turn % 3 = 1 THEN text || ' سعال' ELSE text END AS text, turn % 3 = 1 AS misread FROM conversations")
 def repaired_texts(spark, d):
-    """Texts read in the wrong encoding come back as they were, where they show its marks."""
-    marks = ("ØÙ", "Ã\x98")
-    rows = texts(spark, d, "conversations").select("conv_id", "turn", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("wrong"), "text")
-    shown = rows.withColumn("text", F.when(F.col("wrong").rlike(f"[{marks[0]}]"), F.col("wrong")).otherwise(F.col("text")))
-    return tx.mojibake(shown.select("conv_id", "turn", "text"), "text")
+    """Every third turn ends with an Arabic word and is read in the wrong encoding, which it shows by its marks, and comes back as it was; every other third shows a mark but was read rightly."""
+    turn = F.col("turn") % 3
+    rows = texts(spark, d, "conversations").select("conv_id", "turn", F.when(turn == 2, F.concat("text", F.lit(" Ø 日"))).when(turn == 1, F.concat("text", F.lit(" سعال"))).otherwise(F.col("text")).alias("text"))
+    wrong = rows.withColumn("text", F.when(turn == 1, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text")))
+    return tx.mojibake(wrong.withColumn("misread", F.coalesce(F.col("text").rlike("[ØÙ]"), F.lit(False)) & (turn == 1)), "text")
 
 
 @case("hourly_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -292,9 +292,22 @@ def query_analysis(spark, d):
     return analysis.join(n, "query_id", "left").select("query_id", "analysis_status", "primary_intent", F.array_join("warnings", "|").alias("warnings"), F.coalesce("n_phrases", F.lit(0)).alias("n_phrases"))
 
 
-@case("intent_predicates", "SELECT id, opened, added, generic FROM (VALUES (1, true, false, false), (2, false, true, false), (3, true, true, false), (4, false, false, true), (5, false, false, true)) v(id, opened, added, generic)")
+_SAID = ((1, "ما هذا", "شرح", "سعال"), (2, "اشعر بالم", "علاج الالم", "سعال"), (3, "تعبان؟", "تحليل دم", "سعال"), (4, "علاج", "علاج", "الالتهاب"), (5, "وجع", "وجع", "دواء"))
+_GENERAL = s_list(sorted({*tm.GENERIC_PHRASES, *an._plain(tm.GENERIC_PHRASES)}))
+
+
+@case(
+    "intent_predicates",
+    f"""WITH v AS (SELECT o_orderkey AS id, v.q || ' ' || o_orderkey AS q, v.r, CASE WHEN o_orderkey % 10 < 5 THEN v.name ELSE v.name || ' ' || o_orderkey END AS name FROM orders JOIN (VALUES {", ".join(str(x) for x in _SAID)}) v(k, q, r, name) ON v.k = o_orderkey % 5 + 1),
+    f AS (SELECT *, {s_match('q')} AS qn, {s_match('r')} AS rn, {s_match('name')} AS t FROM v)
+    SELECT id, len(list_intersect(string_split_regex(trim(regexp_replace(q, '[؟?]', ' ? ', 'g')), '\\s+'), {s_list(an.QUESTION_MARKERS)})) > 0 AS opened, {" OR ".join(f"(contains(rn, '{w}') AND NOT contains(qn, '{w}'))" for w in an._plain(an.INTENT_TERMS))} AS added,
+        list_contains({_GENERAL}, t) OR (starts_with(t, 'ال') AND list_contains({_GENERAL}, t[3:])) AS generic FROM f""",
+)
 def intent_predicates(spark, d):
-    rows = spark.createDataFrame([(1, "ما هذا", "شرح", "سعال"), (2, "اشعر بالم", "علاج الالم", "سعال"), (3, "تعبان؟", "تحليل دم", "سعال"), (4, "علاج", "علاج", "الالتهاب"), (5, "وجع", "وجع", "دواء")], "id int, q string, r string, name string")
+    """What is said of each order, by its key: whether it asks, brings in an intent, names something too general."""
+    part = lambda n: F.element_at(F.array(*(F.lit(x[n]) for x in _SAID)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    key = F.concat(F.lit(" "), F.col("o_orderkey"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(part(1), key).alias("q"), part(2).alias("r"), F.when(F.col("o_orderkey") % 10 < 5, part(3)).otherwise(F.concat(part(3), key)).alias("name"))
     form = lambda c: tx.query_form(F.col(c))
     return rows.select("id", an.asks_openly(F.col("q")).alias("opened"), an.new_intent(form("q"), form("r")).alias("added"), an.low_specificity(form("name"), form("name")).alias("generic"))
 

@@ -17,6 +17,8 @@ SAMPLES = (
     (5, ""),
     (6, "من هو الطبيب"),
 )
+#: Every document behind one of the samples, by its key.
+_SAMPLED = f"(SELECT d.doc_id AS id, v.text || ' ' || d.text AS text FROM documents d JOIN (VALUES {', '.join(f"({i}, '{t}')" for i, t in SAMPLES)}) AS v(id, text) ON v.id = d.doc_id % {len(SAMPLES)} + 1)"
 _VALUES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SAMPLES) + ") AS v(id, text)"
 
 #: Terms to look for in documents: canonical name, type, variants.
@@ -33,6 +35,11 @@ def _samples(spark):
     return spark.createDataFrame(list(SAMPLES), "id int, text string")
 
 
+def _sampled(spark, d):
+    sample = F.element_at(F.array(*(F.lit(t) for _, t in SAMPLES)), (F.col("doc_id") % len(SAMPLES) + 1).cast("int"))
+    return texts(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(sample, F.lit(" "), "text").alias("text"))
+
+
 @case("clean_text", f"SELECT doc_id, {s_clean('text')} AS cleaned, length({s_clean('text')})::BIGINT AS n FROM documents")
 def clean_text(spark, d):
     c = tx.clean(F.col("text"))
@@ -52,16 +59,16 @@ def normalize_matching(spark, d):
 
 @case(
     "arabic_normalize_literals",
-    f"SELECT id, {s_clean('text')} AS cleaned, {s_dedupe('text')} AS dedupe_key, {s_match('text')} AS matching, {s_letters('text')} AS letters FROM {_VALUES}",
+    f"SELECT id, {s_clean('text')} AS cleaned, {s_dedupe('text')} AS dedupe_key, {s_match('text')} AS matching, {s_letters('text')} AS letters FROM {_SAMPLED}",
 )
 def arabic_normalize_literals(spark, d):
     c = F.col("text")
-    return _samples(spark).select("id", tx.clean(c).alias("cleaned"), tx.dedupe_key(c).alias("dedupe_key"), tx.matching_form(c).alias("matching"), tx.letter_form(c).alias("letters"))
+    return _sampled(spark, d).select("id", tx.clean(c).alias("cleaned"), tx.dedupe_key(c).alias("dedupe_key"), tx.matching_form(c).alias("matching"), tx.letter_form(c).alias("letters"))
 
 
 @case("query_normalization_steps")
 def query_normalization_steps(spark, d):
-    fixed = tx.with_nfkc(_samples(spark), "text")
+    fixed = tx.with_nfkc(_sampled(spark, d), "text")
     return fixed.select("id", tx.query_form(F.col("text")).alias("norm"), F.array_join(tx.normalization_steps(F.col("text")), ",").alias("steps"))
 
 
@@ -100,7 +107,7 @@ _CONJ = "CASE WHEN (starts_with(t, 'و') OR starts_with(t, 'ف')) AND length(t)
 
 @case(
     "term_sets",
-    f"""WITH n AS (SELECT id, text, {s_tokens(s_match('text'))} AS own FROM {_VALUES}),
+    f"""WITH n AS (SELECT id, text, {s_tokens(s_match('text'))} AS own FROM {_SAMPLED}),
     c AS (SELECT *, list_distinct(list_transform(list_filter(own, lambda t: length(t) > 1), lambda t: {_STRIP})) AS content FROM n),
     i AS (SELECT *, list_filter(content, lambda t: NOT list_contains({s_list(tm.IDENTITY_STOPWORDS)}, t) AND length(t) > 2 AND NOT regexp_matches(t, '\\p{{Nd}}')) AS identity FROM c),
     a1 AS (SELECT id, unnest(own) AS t FROM n),
@@ -114,7 +121,7 @@ _CONJ = "CASE WHEN (starts_with(t, 'و') OR starts_with(t, 'ف')) AND length(t)
     FROM i LEFT JOIN a ON a.id = i.id""",
 )
 def term_sets(spark, d):
-    t = _samples(spark).withColumn("own", tm.token_set(F.col("text")))
+    t = _sampled(spark, d).withColumn("own", tm.token_set(F.col("text")))
     joined = lambda c: F.array_join(F.array_sort(c), " ")
     own = F.col("own")
     return t.select("id", joined(tm.content_terms(own)).alias("content"), joined(tm.identity_tokens(own)).alias("identity"), joined(tm.anatomy_terms(own)).alias("anatomy"), joined(tm.constraint_terms(F.col("text"), own)).alias("constraints"))
