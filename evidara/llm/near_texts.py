@@ -172,7 +172,7 @@ def compare(a: np.ndarray, b: np.ndarray | None, reader: SharedReader, similarit
             if min(na[i:j].min(), nb.min()) > SMALL if small else min(na[i:j].max(), nb.max()) <= SMALL:
                 continue
             if small:
-                u, v = np.nonzero(np.bitwise_count(sign_a[i:j, None] ^ sign_b[None, :]) <= int(SMALL * (1 + 1 / similarity) * share + 1e-9))
+                u, v = np.nonzero(np.bitwise_count(sign_a[i:j, None] ^ sign_b[None, :]) <= int(min(SMALL, na[i:j].max()) * (1 + 1 / similarity) * share + 1e-9))
             else:
                 u, v = np.nonzero(np.bitwise_count(lane_a[i:j, None] ^ lane_b[None, :]) <= lane_radius)
             u += i
