@@ -100,15 +100,6 @@ def mean_latency(events: DataFrame, stage: str, value: str) -> DataFrame:
     return sums.crossJoin(total).select(stage, F.round(F.col("s") / F.col("n"), 6).alias("mean_latency"))  # total is one row
 
 
-def mean_best(predicted: DataFrame, gold: DataFrame, similarity) -> DataFrame:
-    """precision, recall, f1: the best similarity of each predicted item (i, a) and of each gold one (j, b), averaged both ways. predicted is the stated query set, gold all rows."""
-    s = gold.crossJoin(predicted).select("i", "j", similarity(F.col("a"), F.col("b")).alias("s"))
-    p = s.groupBy("i").agg(F.max("s").alias("m")).agg(F.avg("m").alias("p"))
-    q = s.groupBy("j").agg(F.max("s").alias("m")).agg(F.avg("m").alias("q"))
-    f1 = F.when(F.col("p") + F.col("q") > 0, 2 * F.col("p") * F.col("q") / (F.col("p") + F.col("q"))).otherwise(0.0)
-    return p.crossJoin(q).select(F.round("p", 6).alias("precision"), F.round("q", 6).alias("recall"), F.round(f1, 6).alias("f1"))  # one row each
-
-
 def metric_status(name: str, reference: bool) -> dict[str, str]:
     """What an optional judge metric of another package can say here: unavailable with its reasons, or not run; it is never approximated."""
     import importlib.util

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import dot
-from ..operators import metrics as mt
+from ..operators import blocks, metrics as mt
 from .registry import case, table
 
 _S_SAMPLES = "s AS (SELECT d.doc_id, round(least(1.0, length(text) / 5000.0), 3)::DOUBLE AS score, quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
@@ -106,4 +106,4 @@ def matrix_mean_best(spark, d):
     """Predicted are the vectors whose id is divisible by 100, gold are all others."""
     v = table(spark, d, "embeddings")
     predicted = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
-    return mt.mean_best(predicted, v.filter("vec_id % 100 <> 0").select(F.col("vec_id").alias("j"), F.col("embedding").alias("b")), dot)
+    return blocks.mean_best(predicted, v.filter("vec_id % 100 <> 0").select(F.col("vec_id").alias("j"), F.col("embedding").alias("b")))

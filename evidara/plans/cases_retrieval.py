@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import records as rec, similarity as sim, terms as tm, text as tx
-from ..operators import claims as cl, context as ctx, corpus, rerank as rr, search as se
+from ..operators import claims as cl, context as ctx, corpus, rerank as rr, search as se, vector_index as vi
 from ..operators import linking as li
+from ..sources.stages import shared_folder
 from .registry import QA_PAIRS, case, s_index_tokens, s_list, s_match, s_tokens, table
 
 def asked(spark, d):
@@ -96,6 +99,28 @@ def vector_channels_union(spark, d):
     return both.join(table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), "quality"), "vec_id", "left").select("query_id", "channel", "vec_id", "rank", "quality")
 
 
+def _stored_index(spark, d):
+    """An index of all vectors: built from the rows of one parity of label, those of the other appended."""
+    path, v = f"{shared_folder(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}", table(spark, d, "embeddings")
+    first = F.coalesce(F.col("label") % 2 == 0, F.lit(True))
+    vi.build(v.filter(first), path, "v1", 64)
+    return path, vi.append(v.filter(~first), path, "v1")
+
+
+@case("vector_index_topk")
+def vector_index_topk(spark, d):
+    """The ten nearest rows found by the stored index; tests hold its recall against vector_topk."""
+    path, _ = _stored_index(spark, d)
+    return vi.search(spark, path, "v1", _vec(spark, d)[1], 10).withColumn("score", F.round("score", 6))
+
+
+@case("vector_index_exact", f"SELECT q.vec_id AS query_id, v.vec_id, round((1 + {_S_VEC}) / 2, 6) AS score, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round((1 + {_S_VEC}) / 2, 9) DESC, v.vec_id))::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 25")
+def vector_index_exact(spark, d):
+    """The exact way over the stored index' rows: every row is there once, with its own vector."""
+    path, _ = _stored_index(spark, d)
+    return vi.search(spark, path, "v1", _vec(spark, d)[1], 25, exact=True).withColumn("score", F.round("score", 6))
+
+
 @case(
     "embedding_validation",
     "SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE embedding IS NULL)::BIGINT AS missing, count(*) FILTER (WHERE len(embedding) <> 64)::BIGINT AS bad_dimension, count(*) FILTER (WHERE abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1e-3)::BIGINT AS not_unit, count(*) FILTER (WHERE label IS NULL)::BIGINT AS no_label FROM embeddings",
