@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..sources.files import read_metadata, write_metadata
-from ..sources.stages import materialise
-from .blocks import HELD, QUERY_BLOCK, best_of, exact_top_k, kinds, matrix, usable
+from ..sources.stages import materialise, with_places
+from .blocks import HELD, QUERY_BLOCK, exact_top_k, kinds, largest, matrix, usable
 
 #: Cells grow with the square root of the rows up to a bound; the cells and codes are fitted on a sample of some rows for each cell, every row is indexed.
 MAX_CELLS, ROWS_PER_CELL, LEAST_SAMPLE = 4096, 64, 16384
@@ -103,7 +103,7 @@ def _write_part(rows: DataFrame, model: Model, path: str, key: str) -> tuple[str
     coded = materialise(rows.mapInArrow(partial(_encode, model), f"{kinds(rows, rows.columns)}, cell int, code binary"))
     sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / SEGMENT).alias("_n"))
     placed = coded.join(sizes, "cell").withColumn("segment", F.pmod(F.xxhash64(key, "embedding"), F.col("_n"))).drop("_n")
-    placed.repartitionByRange("cell", "segment").sortWithinPartitions("cell", "segment").write.mode("errorifexists").parquet(f"{path}/{part}")
+    placed.repartitionByRange("cell", "segment", key).sortWithinPartitions("cell", "segment").write.mode("errorifexists").parquet(f"{path}/{part}")
     written, wanted = rows.sparkSession.read.parquet(f"{path}/{part}").count(), coded.count()
     if written != wanted:
         raise OSError(f"part {part} holds {written} rows, not {wanted}")
@@ -114,7 +114,7 @@ def build(vectors: DataFrame, path: str, version: str, dimension: int, key: str
     """Index vectors (key, embedding) under path and return the metadata, put in place by one rename when all rows are written and the recall is measured.
 
     Vectors that are null, of another dimension, or hold null or non-finite components are left out and counted. Sampled are rows by a hash of key and vector, min(rows, max(16384, 64 for each cell)) in expectation, 262,144 at most for 4096 cells;
-    of these some 128 are searched exactly to choose the cells a query reads and the shortlist. Exact copies of a row are each indexed.
+    128 rows at most, drawn by another hash, are searched exactly to choose the cells a query reads and the shortlist. Exact copies of a row are each indexed.
     """
     spark = vectors.sparkSession
     marked = vectors.select(key, "embedding").withColumn("_ok", usable("embedding", dimension))
@@ -127,7 +127,7 @@ def build(vectors: DataFrame, path: str, version: str, dimension: int, key: str
     model = fit(sample, cells, dimension)
     part, written = _write_part(rows, model, path, key)
     spark.createDataFrame([("cells", list(model.cells.shape), model.cells.tobytes()), ("codes", list(model.codes.shape), model.codes.tobytes())], "name string, shape array<int>, data binary").write.mode("errorifexists").parquet(f"{path}/model-{part}")
-    probes, shortlist, measured = _measure(spark.read.parquet(f"{path}/{part}"), sample, model, key, target)
+    probes, shortlist, measured = _measure(spark.read.parquet(f"{path}/{part}"), written, model, key, target)
     metadata = {
         "index_version": version, "dimension": dimension, "key": key, "cells": len(model.cells), "model": f"model-{part}", "parts": [part], "indexed_rows": written, "left_out": total - n,
         "probes": probes, "shortlist": shortlist, "sample_recall": measured,
@@ -154,10 +154,12 @@ def _codes(column) -> np.ndarray:
     return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(len(array), -1)
 
 
-def _measure(rows: DataFrame, sample: DataFrame, model: Model, key: str, target: float) -> tuple[int, int, float]:
+def _measure(rows: DataFrame, n: int, model: Model, key: str, target: float) -> tuple[int, int, float]:
     """The cells to read and the shortlist that each keep this share of the nearest rows of some sample rows, and the share both keep."""
-    asked = sample.orderBy("_h").limit(PROBED).select(F.monotonically_increasing_id().alias("query_id"), F.col("embedding").alias("query_vector"), F.col(key).alias("_own"))
-    asked = materialise(asked)
+    # drawn from all rows by a hash of its own: the first rows of the fitted sample are first centres, and nearer to their cells than others
+    hashed = rows.select(key, "embedding", F.xxhash64(key, "embedding", F.lit("probe")).alias("_h"))
+    drawn = hashed.filter(F.pmod("_h", F.lit(1 << 30)) < int(min(1.0, 8 * PROBED / max(1, n)) * (1 << 30))).orderBy("_h").limit(PROBED)
+    asked = materialise(drawn.select(F.monotonically_increasing_id().alias("query_id"), F.col("embedding").alias("query_vector"), F.col(key).alias("_own")))
     found = exact_top_k(rows.select(F.col(key).alias("vec_id"), "cell", "code", "embedding"), asked.select("query_id", "query_vector"), PROBED_K + 1, cosine_scale=False)
     others = found.join(asked.select("query_id", "_own"), "query_id").filter(~F.col("vec_id").eqNullSafe(F.col("_own")))
     near = others.filter(F.col("rank") <= PROBED_K + 1).select("query_id", "cell", "code").collect()  # PROBED * (PROBED_K + 1) rows at most
@@ -216,12 +218,22 @@ def _probe(model: Model, n: int, batches):
 
 
 def _shortlist(model: Model, k: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    """The best rows of a segment for each query that reads its cell, by approximate score."""
+    """The best rows of a region for each query, by approximate score, of the cells that the query reads."""
     right = right.sort_by("vec_id")
-    row, query, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     if left.num_rows and right.num_rows:
-        x = model.decode(right.column("at").to_numpy(), _codes(right.column("code")))
-        row, query, score = best_of(x, matrix(left.column("query_vector")), k)
+        q, at = matrix(left.column("query_vector")), right.column("at").to_numpy()
+        x = model.decode(at, _codes(right.column("code")))
+        own = left.column("cells").combine_chunks()
+        reads = np.zeros((len(q), len(model.cells)), bool)
+        reads[np.repeat(np.arange(len(q)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = True
+        step = max(1, HELD // len(x))
+        for begin in range(0, len(q), step):
+            scores = np.where(reads[begin : begin + step][:, at].T, np.round(x @ q[begin : begin + step].T, 9), -np.inf)
+            row, query = largest(scores, k)
+            on = np.isfinite(scores[row, query])
+            found.append((row[on], query[on] + begin, scores[row[on], query[on]]))
+    row, query, score = (np.concatenate(part) for part in zip(*found))
     return pa.table({"query_id": left.column("query_id").take(pa.array(query)), "vec_id": right.column("vec_id").take(pa.array(row)), "approx": score})
 
 
@@ -240,20 +252,24 @@ def search(spark: SparkSession, path: str, version: str, queries: DataFrame, k:
     kept = max(4 * k, shortlist or metadata["shortlist"])
     slices = max(1, -(-asked.count() // QUERY_BLOCK))
     codes = rows.select(F.col(key).alias("vec_id"), F.col("cell").alias("at"), "segment", "code")
+    # segments are joined up to regions of about SEGMENT rows, so a query gets one shortlist from many small cells
     segments = codes.groupBy("at", "segment").agg(F.count("*").alias("held"))
-    pairs = asked.mapInArrow(partial(_probe, model, n), f"{kinds(asked, asked.columns)}, cell int").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
-    left = materialise(pairs.join(segments, pairs["cell"] == segments["at"]).drop("at"))
-    met = left.select(F.col("cell").alias("at"), "segment", F.col("slice").alias("part")).distinct()
-    right = codes.join(met, ["at", "segment"])
+    regions = materialise(with_places(segments, ["at", "segment"], sums={"upto": "held"}).select("at", "segment", "held", F.expr(f"(upto - 1) div {SEGMENT}").alias("region")))
+    pairs = asked.mapInArrow(partial(_probe, model, n), f"{kinds(asked, asked.columns)}, cell int").select("query_id", "cell")
+    read = pairs.join(regions, F.col("cell") == F.col("at")).groupBy("query_id", "region").agg(F.collect_set("cell").alias("cells"), F.sum("held").alias("held"))
+    read = materialise(read.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices))))
+    left = read.join(asked, "query_id").select("query_id", "query_vector", "cells", F.col("region").alias("of"), "slice")
+    met = read.select("region", F.col("slice").alias("part")).distinct()
+    right = codes.join(regions.drop("held"), ["at", "segment"]).drop("segment").join(met, "region")
     schema = f"{kinds(asked, ['query_id'])}, vec_id {codes.schema['vec_id'].dataType.simpleString()}, approx double"
-    near = left.groupBy("cell", "segment", "slice").cogroup(right.groupBy("at", "segment", "part")).applyInArrow(partial(_shortlist, model, kept), schema)
+    near = left.groupBy("of", "slice").cogroup(right.groupBy("region", "part")).applyInArrow(partial(_shortlist, model, kept), schema)
     first = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
     chosen = near.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= kept).select("query_id", "vec_id").distinct()
     product = F.aggregate(F.zip_with("query_vector", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
     scored = chosen.join(stored, "vec_id").join(asked, "query_id").select("query_id", "vec_id", F.round((1 + product) / 2, 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    full = left.groupBy("query_id").agg(F.sum("held").alias("held")).filter(F.col("held") >= min(k, metadata["indexed_rows"])).select("query_id")
+    full = read.groupBy("query_id").agg(F.sum("held").alias("held")).filter(F.col("held") >= min(k, metadata["indexed_rows"])).select("query_id")
     short = materialise(asked.join(full, "query_id", "left_anti"))
     if short.isEmpty():
         return found
