@@ -111,3 +111,12 @@ def test_payload_validation(spark):
     rows = [(1, f"```json\n{ok}\n```", ["E1"]), (2, "nothing", ["E1"]), (3, other, ["E1"]), (4, json.dumps({"error": "late"}), ["E1"])]
     got = answering.validated_claims(spark.createDataFrame(rows, "query_id int, reply string, allowed array<string>")).collect()
     assert {(r["query_id"], r["claim"], r["error"]) for r in got} == {(1, "rest lowers fever", None), (2, None, "not JSON"), (3, None, "too many claims"), (4, None, "late")}
+
+
+def test_dictionary_keeps_the_last_value_of_the_file(spark, tmp_path):
+    for part in range(3):  # later files come later
+        lines = [f"k{i},v{part}-{i}" for i in range(40)] + [f"k0,last{part}"]
+        (tmp_path / f"part-{part}.csv").write_text("a,b\n" + "\n".join(lines) + "\n")
+        (tmp_path / f"one-{part}.csv").write_text("a,b\n" + "\n".join(lines * 2) + "\nk1,\n")
+        got = {r["a"]: r["b"] for r in files.read_dictionary(spark, str(tmp_path / f"one-{part}.csv"), "a", "b").repartition(5).collect()}
+        assert got["k0"] == f"last{part}" and got["k1"] == f"v{part}-1" and len(got) == 40
