@@ -30,7 +30,10 @@ def seed_scores(primary: DataFrame, hits: DataFrame, phrases: DataFrame, fuzzy:
     open_ = hits.join(primary.select("query_id").distinct(), "query_id", "left_anti").filter((F.col("score") >= SEED_THRESHOLD) & ~tm.is_generic(F.col("title")))
     pairs = open_.join(phrases.select("query_id", "norm", F.col("entity_type").alias("wanted")), "query_id")
     own, other = tm.identity_tokens(tm.token_set(F.col("norm"))), tm.identity_tokens(tm.token_set(F.col("title")))
-    best = pairs.withColumn("identity", sim.identity_similarity(own, other, fuzzy)).groupBy("query_id", "entity_id", "score", "ordinal", "entity_type").agg(F.max("identity").alias("identity"), F.collect_set("wanted").alias("wanted"))
+    pairs, near = pairs.withColumns({"_own": own, "_other": other}), None
+    if fuzzy:
+        pairs, near = sim.with_near_terms(pairs, "norm", "_own", ["_other"], sim.IDENTITY_FLOOR, "_near"), F.col("_near")
+    best = pairs.withColumn("identity", sim.identity_similarity(F.col("_own"), F.col("_other"), near)).groupBy("query_id", "entity_id", "score", "ordinal", "entity_type").agg(F.max("identity").alias("identity"), F.collect_set("wanted").alias("wanted"))
     fits = (F.col("identity") >= SEED_IDENTITY) & (F.array_contains("wanted", F.col("entity_type")) | (F.col("entity_type") == "") | (F.col("identity") >= TYPE_OVERRIDE))
     ranked = best.filter(fits).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal"))).filter(F.col("_n") <= SEEDS)
     return hard.unionByName(ranked.select("query_id", "entity_id", F.least(F.lit(0.70), 0.75 * F.col("score")).alias("seed_score")))

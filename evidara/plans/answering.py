@@ -198,7 +198,7 @@ def _walk(planned: DataFrame, phrases: DataFrame, graph: Graph, hits: DataFrame,
     named = phrases.select("query_id", "norm", "entity_type")
     own = planned.join(phrases.select("query_id").distinct(), "query_id", "left_anti").filter("use_vector_search").select("query_id", tx.query_form(F.col("reformulated_query")).alias("norm"), F.lit("").alias("entity_type"))
     kinds = graph.entities.select("entity_id", F.col("entity_type").alias("seed_type"), F.col("canonical").alias("seed_name"))
-    seeds = materialise(rt.seed_scores(primary, hits, named.unionByName(own)).join(kinds, "entity_id", "left"))
+    seeds = materialise(rt.seed_scores(primary, hits, named.unionByName(own), fuzzy=True).join(kinds, "entity_id", "left"))
     depth = planned.select("query_id", F.when(F.col("hop_depth") > 0, F.col("hop_depth")).when(F.col("complexity") == "high", 2).otherwise(1).alias("hops"), "preferred_relation_types", "low_specificity_entity_ids")
     each = seeds.join(depth, "query_id")
     walked = [gr.hop_edges(graph.edges, each.filter(F.col("hops") == n).select("entity_id").distinct(), n).join(each.filter(F.col("hops") == n), F.col("seed_entity_id") == F.col("entity_id")) for n in (1, 2)]
@@ -221,7 +221,7 @@ def _walk(planned: DataFrame, phrases: DataFrame, graph: Graph, hits: DataFrame,
         "evidence": F.concat_ws(" ", "evidence", "_texts"), "generic_seed": F.array_contains("low_specificity_entity_ids", F.col("entity_id")) | tm.is_generic(F.coalesce("seed_name", F.lit(""))),
         "type_conflict": F.coalesce((F.size("_types") > 0) & (F.col("seed_type") != "") & ~F.array_contains("_types", F.col("seed_type")), F.lit(False)),
     }).drop("_source", "_target", "_of_qa", "_texts", "_types", "low_specificity_entity_ids", "entity_id")
-    scored = rr.score_relations(rows).withColumn("evidence", F.col("own_evidence")).drop("own_evidence")
+    scored = rr.score_relations(materialise(rows), fuzzy=True).withColumn("evidence", F.col("own_evidence")).drop("own_evidence")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "relation_id"))
     scored = materialise(scored.withColumn("place", place).filter(F.col("place") <= r.relation_top_k))
     items = scored.select("query_id", "relation_id", "qa_id", "evidence", "hybrid_score", "place")
@@ -277,7 +277,7 @@ def rerank(planned: DataFrame, evidence: DataFrame, relations: DataFrame | None,
     """Reranked evidence of each query, with its authoritative texts and the gate that stops it."""
     queries = planned.select("query_id", "original_query", F.col("reformulated_query").alias("query"), "primary_intent")
     rows = evidence.join(queries, "query_id").withColumns({"relation_support": F.when(F.size("relation_ids") > 0, 1.0).otherwise(0.0), "qa_support": F.lit(0.0)})
-    ranked = rr.rerank_evidence(rows, settings.retrieval.context_top_k)
+    ranked = rr.rerank_evidence(rows, settings.retrieval.context_top_k, fuzzy=True)
     judged = ev.authoritative(ranked.withColumns({"origin_label": F.col("origin"), "field": F.lit("")}).drop("origin"))
     return ctx.gate_reasons(judged.withColumn("source_reliability", rec.source_prior(F.col("source_quality"))))
 

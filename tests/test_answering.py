@@ -5,11 +5,12 @@ import json
 import math
 import re
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from evidara.operators import context as ctx
+from evidara.operators import context as ctx, rerank as rr, retrieval as rt
 from evidara.plans import answering as aw
 from evidara.sources.config import Corpus, Settings
 
@@ -195,6 +196,32 @@ def test_graph_analysis_and_fallback(spark):
     assert aw.context_only(questions, qas, encoder=aw.hashing_encoder).count() > 0
 
 
+def test_misspelt_names_count(spark):
+    """A near-equal spelling stands for the name in seeds, relations and evidence, as in plain Python; other words do not."""
+    near = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    asked = [(1, "paracetamoll tablets"), (2, "paracetamol tablets"), (3, "ibuprofen tablets")]
+    rows = [(q, t, t, "", f"e{q}", "dose of paracetamol", "take paracetamol daily", "", "", 0.5, 0.0, 0.0, 0.0) for q, t in asked]
+    df = spark.createDataFrame(rows, "query_id int, original_query string, query string, primary_intent string, evidence_id string, question string, text string, answer string, source_quality string, score double, relation_support double, qa_support double, vector_similarity double")
+    got = {r["query_id"]: r for r in rr.rerank_evidence(df, fuzzy=True).collect()}
+    held = "dose of paracetamol take paracetamol daily"
+    for q, t in asked:
+        hits = [c for c in concepts(t) if any(c == x or near(c, x) >= 0.92 for x in concepts(held))]
+        assert got[q]["matched_concepts"] == hits and got[q]["coverage"] == round(len(hits) / len(concepts(t)), 6)
+    assert got[1]["text_identity"] == near("paracetamoll", "paracetamol") and got[2]["text_identity"] == 0.5 and got[3]["text_identity"] == 0.0
+    assert "paracetamoll" in got[1]["matched_concepts"] and got[1]["final_score"] > got[3]["final_score"]
+    exact = {r["query_id"]: r for r in rr.rerank_evidence(df).collect()}
+    assert exact[1]["matched_concepts"] == [] and exact[2]["final_score"] == got[2]["final_score"]
+    hits = spark.createDataFrame([(q, f"x{q}", "paracetamol", "Treatment", 0.95, 0) for q, _ in asked], "query_id int, entity_id string, title string, entity_type string, score double, ordinal int")
+    named = spark.createDataFrame([(1, "paracetamoll", "Treatment"), (2, "paracetamol", "Treatment"), (3, "ibuprofen", "Treatment")], "query_id int, norm string, entity_type string")
+    none = spark.createDataFrame([], "query_id int, entity_id string")
+    assert {r["query_id"] for r in rt.seed_scores(none, hits, named, fuzzy=True).collect()} == {1, 2}
+    assert {r["query_id"] for r in rt.seed_scores(none, hits, named).collect()} == {2}
+    relation = [(q, t, f"r{q}", f"r{q}", 0.9, "TREATED_BY", ["TREATED_BY"], 0.5, 0.7, "", "fever", "paracetamol", "direct", False, False) for q, t in asked]
+    df = spark.createDataFrame(relation, "query_id int, query string, relation_id string, source_relation_id string, confidence double, relation_type string, preferred array<string>, semantic double, seed_score double, evidence string, source_name string, target_name string, direction string, generic_seed boolean, type_conflict boolean")
+    got = {r["query_id"]: r["medical_identity"] for r in rr.score_relations(df, fuzzy=True).collect()}
+    assert got == {1: near("paracetamoll", "paracetamol"), 2: 1.0, 3: 0.0}
+
+
 def test_encoder_gives_unit_vectors():
     v = aw.hashing_encoder(["a b c", "", "a b c"])
     assert np.allclose(np.linalg.norm(v, axis=1), [1, 0, 1]) and np.allclose(v[0], v[2])

@@ -1,6 +1,8 @@
 import difflib
+import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidara.functions import records as rec, similarity as sim, terms as tm, text as tx
@@ -64,6 +66,67 @@ def test_fuzzy_pairs_lose_none(spark):
     assert got == {(a, b) for a in words for b in words if difflib.SequenceMatcher(None, a, b).ratio() >= 0.78}
 
 
+def _plain_pairs(left, right, floor):
+    return {(a, b, difflib.SequenceMatcher(None, a, b).ratio()) for a in left for b in right if difflib.SequenceMatcher(None, a, b).ratio() >= floor}
+
+
+def _mutated(words, rng, letters):
+    out = set(words)
+    for w in words:
+        for _ in range(3):
+            c = list(w)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(c) + 1)
+                kind = rng.random()
+                if kind < 0.4:
+                    c.insert(at, rng.choice(letters))
+                elif c and kind < 0.7:
+                    c.pop(min(at, len(c) - 1))
+                elif c:
+                    c[min(at, len(c) - 1)] = rng.choice(letters)
+            out.add("".join(c))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("floor", [0.4, 0.78, 0.9, 1.0])
+def test_near_pairs_equal_brute_force(spark, floor):
+    """Random words of few letters, with repeats, an astral letter and lengths from 0 to 24: no pair is lost at any floor."""
+    rng = random.Random(5)
+    letters = "abcé\U0001d4d0ش"
+    words = _mutated(["".join(rng.choice(letters) for _ in range(rng.randint(0, 24))) for _ in range(40)], rng, letters)
+    left, right = words[::2], words[1::3] + words[:40:2]
+    df = lambda ws: spark.createDataFrame([(w,) for w in [*ws, None, ws[0]]], "t string")
+    got = [tuple(r) for r in sim.fuzzy_pairs(df(left), df(right), floor).collect()]
+    assert len(got) == len(set(got)) and set(got) == _plain_pairs(left, set(right), floor)
+
+
+def test_few_candidates_are_compared(spark):
+    """Of the pairs of a vocabulary whose lengths allow the floor, under one in twenty are compared, and none is lost."""
+    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("t")).filter("length(t) > 2").distinct()
+    words = _mutated([r["t"] for r in text.orderBy("t").limit(250).collect()], random.Random(3), "abcdefghijklmnopqrstuvwxyz")
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    for floor in (sim.IDENTITY_FLOOR, sim.NEAR):
+        possible = sum(1 for a in words for b in words if a != b and a and b and 2 * min(len(a), len(b)) >= floor * (len(a) + len(b)))
+        assert sim.near_candidates(df, df, floor).count() < 0.05 * possible
+        got = {tuple(r) for r in sim.fuzzy_pairs(df, df, floor).collect()}
+        assert got == _plain_pairs(words, words, floor) and len(got) > len(words)
+
+
+def test_near_identity(spark):
+    rows = [("a", ["metformin", "therapy"], ["metformine", "x"]), ("a", ["metformin", "therapy"], ["therapist"]), ("b", ["asthma"], ["asthma", "asthmaa"]), ("b", ["asthma"], []), ("c", [], ["metformin"]), ("d", ["migraine"], None), (None, ["colitis"], ["colitiss"])]
+    df = sim.with_near_terms(spark.createDataFrame(rows, "k string, l array<string>, r array<string>"), "k", "l", ["r"], sim.IDENTITY_FLOOR, "near")
+    got = df.select("k", "l", "r", sim.identity_similarity(F.col("l"), F.col("r"), F.col("near")).alias("v"), sim.near_matches(F.col("l"), F.col("r"), F.col("near")).alias("hits")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        left, right = set(r["l"]), set(r["r"] or [])
+        best = max((difflib.SequenceMatcher(None, a, b).ratio() for a in left for b in right), default=0.0)
+        wanted = 0.0 if not left or not right else len(left & right) / min(len(left), len(right)) if left & right else best if best >= sim.IDENTITY_FLOOR else 0.0
+        if r["k"] is not None and r["r"] is not None:
+            assert r["v"] == wanted, r
+            assert r["hits"] == [a for a in r["l"] if any(difflib.SequenceMatcher(None, a, b).ratio() >= sim.IDENTITY_FLOOR for b in right)]
+    assert {r["v"] for r in got} > {0.0, 1.0}
+
+
 def test_records(spark):
     assert one(spark, rec.json_object(F.col("t")), t='x ```json {"a": {"b": 1}} ``` y') == '{"a": {"b": 1}}'
     assert one(spark, rec.json_object(F.col("t")), t="none") is None
