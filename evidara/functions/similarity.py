@@ -8,6 +8,8 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..sources.stages import materialise
+
 NEAR = 0.92
 IDENTITY_FLOOR = 0.90
 
@@ -93,7 +95,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
 
 def with_near_terms(df: DataFrame, key: str, wanted: str, found: list[str], floor: float, near: str) -> DataFrame:
     """df with the column near (array of own, term, ratio): for a row's key, whose terms stand in the array column wanted (the same for all rows of a key), the terms of df's array columns found
-    that nearly are one of them. Each pair of distinct terms is compared once, however many rows hold them; a row carries only the near terms of its key."""
+    that nearly are one of them. df is written once, since it is read three times. Each pair of distinct terms is compared once, however many rows hold them; a row carries only the near terms of its key."""
+    df = materialise(df)
     held = F.flatten(F.array(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in found)))
     own = df.select(F.col(key).alias("_key"), F.explode(wanted).alias("own")).distinct()
     close = fuzzy_pairs(own.select("own"), df.select(F.explode(F.array_distinct(held)).alias("term")), floor).filter("left <> right")
@@ -102,18 +105,19 @@ def with_near_terms(df: DataFrame, key: str, wanted: str, found: list[str], floo
     return df.join(lists, F.col(key) == F.col("_key"), "left").drop("_key").withColumn(near, F.coalesce(near, empty))
 
 
-def near_matches(wanted: Column, found: Column, near: Column) -> Column:
-    """Of two sets, the terms of the first that the second has, exactly or, by with_near_terms(), nearly."""
-    return F.filter(wanted, lambda t: F.array_contains(found, t) | F.exists(near, lambda x: (x["own"] == t) & F.array_contains(found, x["term"])))
+def near_matches(wanted: Column, found: Column, near: Column, floor: float = NEAR) -> Column:
+    """Of two sets, the terms of the first that the second has, exactly or, by with_near_terms() at floor or less, nearly."""
+    return F.filter(wanted, lambda t: F.array_contains(found, t) | F.exists(near, lambda x: (x["own"] == t) & (x["ratio"] >= floor) & F.array_contains(found, x["term"])))
 
 
-def best_ratio(found: Column, near: Column) -> Column:
-    """The best ratio of with_near_terms() that one of the terms reaches, else 0."""
-    return F.coalesce(F.array_max(F.transform(F.filter(near, lambda x: F.array_contains(found, x["term"])), lambda x: x["ratio"])), F.lit(0.0))
+def best_ratio(wanted: Column, found: Column, near: Column) -> Column:
+    """The best ratio by with_near_terms() between terms of two sets if it reaches the identity floor, else 0."""
+    held = F.filter(near, lambda x: (x["ratio"] >= IDENTITY_FLOOR) & F.array_contains(wanted, x["own"]) & F.array_contains(found, x["term"]))
+    return F.coalesce(F.array_max(F.transform(held, lambda x: x["ratio"])), F.lit(0.0))
 
 
 def identity_similarity(left: Column, right: Column, near: Column | None = None) -> Column:
     """Shared identity tokens over the smaller set; without any, the best near-exact ratio if near (with_near_terms() at IDENTITY_FLOOR) is given, else 0."""
     both = F.size(F.array_intersect(left, right))
-    rest = best_ratio(right, near) if near is not None else F.lit(0.0)
+    rest = best_ratio(left, right, near) if near is not None else F.lit(0.0)
     return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).when(both > 0, both / F.least(F.size(left), F.size(right))).otherwise(rest)

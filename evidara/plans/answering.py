@@ -221,7 +221,7 @@ def _walk(planned: DataFrame, phrases: DataFrame, graph: Graph, hits: DataFrame,
         "evidence": F.concat_ws(" ", "evidence", "_texts"), "generic_seed": F.array_contains("low_specificity_entity_ids", F.col("entity_id")) | tm.is_generic(F.coalesce("seed_name", F.lit(""))),
         "type_conflict": F.coalesce((F.size("_types") > 0) & (F.col("seed_type") != "") & ~F.array_contains("_types", F.col("seed_type")), F.lit(False)),
     }).drop("_source", "_target", "_of_qa", "_texts", "_types", "low_specificity_entity_ids", "entity_id")
-    scored = rr.score_relations(materialise(rows), fuzzy=True).withColumn("evidence", F.col("own_evidence")).drop("own_evidence")
+    scored = rr.score_relations(rows, fuzzy=True).withColumn("evidence", F.col("own_evidence")).drop("own_evidence")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "relation_id"))
     scored = materialise(scored.withColumn("place", place).filter(F.col("place") <= r.relation_top_k))
     items = scored.select("query_id", "relation_id", "qa_id", "evidence", "hybrid_score", "place")
