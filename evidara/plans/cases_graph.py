@@ -6,12 +6,15 @@ its suppliers Tests; an order is the qa. A relation's confidence is ((qa * 31 +
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import records as rec, text as tx
-from ..operators import corpus, graph as gr
-from .registry import case, s_match, table
+from ..operators import adjacency as ad, corpus, graph as gr
+from ..sources.stages import shared_folder
+from .registry import ORACLE_SQL, case, s_match, table
 
 S_MENTIONS = """m0 AS (
     SELECT o_orderkey AS qa_id, 'customer:' || o_custkey AS entity_id, 'DiseaseCondition' AS entity_type, o_custkey AS k, 0 AS kind FROM orders
@@ -250,6 +253,26 @@ def graph_hop2(spark, d):
     return found.select("seed_entity_id", "relation_id", "graph_relation_type")
 
 
+def _stored(spark, d) -> str:
+    path = f"{shared_folder(spark).rstrip('/')}/adjacency-{uuid.uuid4().hex}"
+    direct = edges(spark, d).filter("edge_direction = 'direct'")
+    ad.write_adjacency(direct.select("relation_id", "edge_id", "source_entity_id", "target_entity_id", "graph_relation_type"), path)
+    return path
+
+
+@case("stored_hop1", ORACLE_SQL["graph_hop1"])
+def stored_hop1(spark, d):
+    """graph_hop1 over the stored adjacency."""
+    return ad.stored_walk(spark, _stored(spark, d), _seeds(spark, d, "customer", "part"), 1).select("seed_entity_id", "edge_id", "graph_relation_type")
+
+
+@case("stored_hop2", ORACLE_SQL["graph_hop2"])
+def stored_hop2(spark, d):
+    """graph_hop2 over the stored adjacency."""
+    found = ad.stored_walk(spark, _stored(spark, d), _seeds(spark, d, "customer"), 2, ["TREATED_BY", "HAS_SYMPTOM"])
+    return found.select("seed_entity_id", "relation_id", "graph_relation_type")
+
+
 @case(
     "relation_evidence_top3",
     f"""WITH {S_RELATIONS}, k AS (SELECT qa_id, mention_id, row_number() OVER (PARTITION BY qa_id ORDER BY mention_id) AS mention_rank FROM m)
