@@ -348,3 +348,23 @@ def test_block_max_equals_bm25(spark):
     assert se.block_max(blocks, same, queries.limit(0), "qa_id", 3).collect() == []
     none, empty = se.blocked(df.limit(0), "qa_id")
     assert se.block_max(none, empty, queries, "qa_id", 3).collect() == []
+
+
+def test_block_max_over_several_tiles_and_slices(spark, monkeypatch):
+    """Queries in slices against tiles of documents give the plain search's rows, ties to smaller keys among copies too."""
+    import random
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(1000 - i, " ".join(rnd.choices(words, k=rnd.randrange(1, 9))), "w1 w2", "a") for i in range(90)] + [(i, "w1 w2 w3", "w1 w2", "a") for i in range(40)]
+    df = spark.createDataFrame(docs, "qa_id long, question string, answer string, category string")
+    queries = spark.createDataFrame([(i, w) for i in range(30) for w in rnd.sample(words, 4)], "query_id long, term string")
+    monkeypatch.setattr(se, "TILE_DOCS", 32)
+    monkeypatch.setattr(se, "LEAST_QUERIES", 10)
+    rows, stats = se.postings(df, "qa_id")
+    blocks, same = se.blocked(df, "qa_id", size=8)
+    for k in (3, 50):
+        plain = {tuple(r) for r in se.bm25(rows, stats, queries, "qa_id", k).collect()}
+        report = {}
+        assert {tuple(r) for r in se.block_max(blocks, same, queries, "qa_id", k, report, 8).collect()} == plain
+        assert 0 < report["read"] <= report["of"]
