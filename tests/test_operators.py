@@ -368,3 +368,11 @@ def test_block_max_over_several_tiles_and_slices(spark, monkeypatch):
         report = {}
         assert {tuple(r) for r in se.block_max(blocks, same, queries, "qa_id", k, report, 8).collect()} == plain
         assert 0 < report["read"] <= report["of"]
+
+
+def test_merge_entities_takes_name_and_type_of_one_first_mention(spark):
+    """Mentions of one ordinal: the file's first names the entity, whatever order tasks see them in."""
+    schema = "entity_id string, ordinal long, canonical_name string, entity_type string, quality string, actionable boolean, alias string, chunk_id long, qa_id long, model string, confidence double, record long"
+    rows = [("e", 5, f"name{i:02d}", f"type{i:02d}", "high", True, "a", 1, 1, "m", 0.5, i) for i in range(40)]
+    got = gr.merge_entities(spark.createDataFrame(rows[::-1], schema).repartition(8), ("record",)).first()
+    assert (got["canonical_name"], got["entity_type"]) == ("name00", "type00")
