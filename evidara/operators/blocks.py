@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stages import materialise
+
 #: Rows and queries of a block, about; scores held at once in a task.
 ROW_BLOCK, QUERY_BLOCK, HELD = 65536, 2048, 1 << 22
 
@@ -115,3 +117,83 @@ def mean_best(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     sums = maxima.agg(p.alias("p"), r.alias("q"))
     f1 = F.when(F.col("p") + F.col("q") > 0, 2 * F.col("p") * F.col("q") / (F.col("p") + F.col("q"))).otherwise(0.0)
     return sums.select(F.round("p", 6).alias("precision"), F.round("q", 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+def _scores(left: pa.Table, right: pa.Table, dimension: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Scores of all rows for some queries at a time; minus infinity for null, infinity for no number, as both stand in an order by falling score."""
+    parts = []
+    for table, name in ((right, "embedding"), (left, "query_vector")):
+        column = table.column(name).combine_chunks()
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        whole = np.zeros((len(column), dimension))
+        whole[there] = matrix(column.drop_null()).reshape(-1, dimension)
+        parts.append((whole, there))
+    (rows, row_there), (queries, query_there) = parts
+    step = max(1, HELD // max(1, len(rows)))
+    for at in range(0, len(queries), step):
+        some = slice(at, at + step)
+        with np.errstate(invalid="ignore"):
+            scores = np.nan_to_num(np.round(rows @ queries[some].T, 9), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        scores[~row_there] = -np.inf
+        scores[:, ~query_there[some]] = -np.inf
+        yield some, scores
+
+
+def _ranked(k: int, dimension: int, left: pa.Table, right: pa.Table) -> pa.Table:
+    right = right.sort_by("vec_id")
+    ids, asked = right.column("vec_id").to_numpy(), left.column("query_id").to_numpy()
+    codes = pa.chunked_array([*right.column("label").chunks, *left.column("label").chunks], right.column("label").type).combine_chunks().dictionary_encode().indices
+    codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False)
+    kinds, wanted = codes[: len(ids)], np.where(codes[len(ids) :] < 0, -2, codes[len(ids) :])
+    spare = int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 0
+    out = {c: [] for c in ("query_id", "vec_id", "score", "gain", "n")}
+
+    def give(query, vec, score, gain, n):
+        for c, v in zip(out, (query, vec, score, gain, n)):
+            out[c].append(v)
+
+    for some, scores in _scores(left, right, dimension) if len(ids) else ():
+        own = asked[some]
+        row, column = largest(scores, k + spare)
+        other = ids[row] != own[column]
+        row, column = row[other], column[other]
+        give(own[column], ids[row], scores[row, column], (kinds[row] == wanted[some][column]).astype(np.int32), np.full(len(row), -1))
+        relevant = (kinds[:, None] == wanted[some]) & (ids[:, None] != own)
+        n = relevant.sum(0)
+        best = np.where(relevant, scores, -np.inf)
+        at = np.where(best.max(0) > -np.inf, best.argmax(0), relevant.argmax(0))
+        give(own, ids[at], scores[at, np.arange(len(own))], np.ones(len(own), np.int32), n)
+    types = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64, "gain": np.int32, "n": np.int64}
+    return pa.table({c: np.concatenate(v).astype(types[c]) if v else np.zeros(0, types[c]) for c, v in out.items()})
+
+
+def _above(dimension: int, left: pa.Table, right: pa.Table) -> pa.Table:
+    ids, asked = right.column("vec_id").to_numpy(), left.column("query_id").to_numpy()
+    score, first = left.column("at_score").to_numpy(), left.column("at_id").to_numpy()
+    found = np.zeros(len(asked), np.int64)
+    for some, scores in _scores(left, right, dimension) if len(ids) else ():
+        before = (scores > score[some]) | ((scores == score[some]) & (ids[:, None] < first[some]))
+        found[some] = (before & (ids[:, None] != asked[some]) & (ids[:, None] != first[some])).sum(0)
+    return pa.table({"query_id": asked.astype(np.int64), "above": found})
+
+
+def ranked_labels(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The two tables of metrics.ranking_metrics() for queries (query_id, query_vector, label) against all vectors (vec_id, embedding, label) but those of the query's id, relevant if labels are equal.
+
+    Scores are inner products to nine places; a vector that is null, holds nulls or differs in dimension from the queries' longest has none and stands last. A block gives a query's k best, its number of relevant
+    rows and the first of them; only for queries without a relevant row among their k best a second pass counts the rows before the first.
+    """
+    dimension = queries.agg(F.max(F.size("query_vector"))).first()[0] or 0
+    whole = lambda c: F.when((F.size(c) == dimension) & F.forall(c, lambda x: x.isNotNull()), F.col(c))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole("embedding").alias("embedding"), "label")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), whole("query_vector").alias("query_vector"), "label")
+    found = materialise(paired(rows, asked, partial(_ranked, k, dimension), "query_id long, vec_id long, score double, gain int, n long"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = materialise(found.filter("n < 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "gain"))
+    seen = found.filter("n >= 0").groupBy("query_id").agg(F.sum("n").alias("n_relevant"), F.max(F.when(F.col("n") > 0, F.struct("score", -F.col("vec_id")))).alias("at"))
+    seen = seen.join(top.filter("gain > 0").groupBy("query_id").agg(F.min("rank").alias("near")), "query_id", "left")
+    far = seen.filter("near IS NULL AND n_relevant > 0").select("query_id", F.col("at.score").alias("at_score"), (-F.col("at.col2")).alias("at_id"))
+    above = paired(rows.drop("label"), asked.drop("label").join(far, "query_id"), partial(_above, dimension), "query_id long, above long").groupBy("query_id").agg(F.sum("above").alias("above"))
+    relevant = seen.join(above, "query_id", "left")
+    first = F.when(F.col("n_relevant") > 0, F.coalesce("near", F.col("above") + 1))
+    return top, relevant.select("query_id", "n_relevant", first.alias("first"), F.array_repeat(F.lit(1), F.least(F.lit(k), F.col("n_relevant")).cast("int")).alias("ideal"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.similarity import dot
 from ..operators import blocks, metrics as mt
 from .registry import case, table
 
@@ -57,9 +56,8 @@ def claim_rates(spark, d):
 def recall_mrr_ndcg(spark, d):
     """Queries are the vectors whose id is divisible by 100, against all others."""
     v = table(spark, d, "embeddings")
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    pairs = v.crossJoin(q).filter("vec_id <> query_id").select("query_id", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("gain"), F.round(dot(F.col("qv"), F.col("embedding")), 9).alias("score"))
-    return mt.ranking_metrics(*mt.rank_scored(pairs, 10, "vec_id"), 10)
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    return mt.ranking_metrics(*blocks.ranked_labels(v, q, 10), 10)
 
 
 @case("auroc", f"WITH {_S_SAMPLES} SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END::DOUBLE), 6) AS auroc FROM s p, s n WHERE p.label = 1 AND n.label = 0")

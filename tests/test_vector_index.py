@@ -83,3 +83,28 @@ def test_recall_on_the_given_vectors(spark):
     found, want = (_rows(catalogue.QUERIES[n](spark, d)) for n in ("vector_index_topk", "vector_topk"))
     hits = sum(len({v for _, v in found[q]} & {v for _, v in want[q]}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_ranked_labels_equal_the_plain_ranking(spark, monkeypatch, tmp_path):
+    """Copies, nulls, a query without relevant rows and one whose first relevant row stands last; the registered query has no product of rows in its plan."""
+    from pyspark.sql import functions as F
+
+    from evidara.functions.similarity import dot
+    from evidara.operators import metrics as mt
+
+    x = _vectors(120)
+    x[40:80] = x[40]
+    label = ["a" if i % 3 else "b" for i in range(120)]
+    label[0], label[30] = "none", "far"
+    rows = [(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, label))] + [(200, None, "a"), (201, [None] * 8, "far"), (202, x[5].tolist(), None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    q = v.filter("vec_id % 30 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    pairs = v.crossJoin(q.withColumnRenamed("label", "ql")).filter("vec_id <> query_id")
+    scored = pairs.select("query_id", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("gain"), F.round(dot(F.col("query_vector"), F.col("embedding")), 9).alias("score"))
+    wanted = sorted(map(tuple, mt.ranking_metrics(*mt.rank_scored(scored, 5, "vec_id"), 5).collect()))
+    monkeypatch.setattr(blocks, "HELD", 200)
+    monkeypatch.setattr(blocks.paired, "__defaults__", (25, 2))
+    assert sorted(map(tuple, mt.ranking_metrics(*blocks.ranked_labels(v, q, 5), 5).collect())) == wanted
+    v.write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = catalogue.QUERIES["recall_mrr_ndcg"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "zip_with" not in plan
