@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -21,7 +22,7 @@ EMAIL = rf"(?U)\b[{WORD}.+-]+@[{WORD}.-]+\.[{WORD}]+\b"
 
 # Character tables of the normal form.
 DIACRITICS = r"[\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"
-TATWEEL = r"\x{0640}+"
+TATWEEL = "\u0640"
 DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 LETTERS = ("أإآٱىئؤة", "ااااييوه")
 PUNCTUATION = ("؟،؛“”‘’", "?,;\"\"''")
@@ -32,29 +33,70 @@ def _drop(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
+def _runs(one: str) -> str:
+    """Runs of a class of characters but a single space, which would be replaced by itself."""
+    return rf"{one}(?:(?<! ){one}*|{one}+)"
+
+
+# the range in front is told quickly for most characters
+_SPACES = _runs(rf"[\x{{0000}}-\x{{0020}}\x{{0085}}-\x{{3000}}&&{SPACE[:-1]}]")
+_SIGNS = _runs(rf"[^{WORD}\x{{0600}}-\x{{06FF}}]")
+
+
 def one_line(c: Column) -> Column:
     """White space collapsed and trimmed."""
-    return F.trim(_drop(c, SPACE, " "))
+    return F.trim(_drop(c, _SPACES, " "))
+
+
+def _without_urls(c: Column) -> Column:
+    may = reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in ("://", "ww", "wW", "Ww", "WW")))
+    return F.when(may, _drop(c, URL, " ")).otherwise(c)
+
+
+def _without_emails(c: Column, text: Column) -> Column:
+    """c without addresses; text is what c was made of, and has an @ if c has."""
+    return F.when(F.contains(text, F.lit("@")), _drop(c, EMAIL, " ")).otherwise(c)
+
+
+def _without_links(c: Column) -> Column:
+    return _without_emails(_without_urls(c), c)
+
+
+def _replaced(c: Column, text: Column, *tables: tuple[str, str]) -> Column:
+    """c with the characters of the tables replaced and without _DROPPED, in one pass; text is what c was made of, and has all of its characters but spaces."""
+    marked = text.rlike(r"[\x{0600}-\x{06FF}\x{2018}-\x{201D}]")
+    return F.when(marked, F.translate(c, "".join(a for a, _ in tables) + _DROPPED, "".join(b for _, b in tables))).otherwise(c)
+
+
+_DROPPED = TATWEEL + "".join(map(chr, [*range(0x064B, 0x0660), 0x0670, *range(0x06D6, 0x06EE)]))  # tatweel and DIACRITICS
 
 
 def clean(c: Column) -> Column:
     """Null is empty; drops byte-order marks, addresses and tatweel; one line. Case and digits stay."""
     c = F.replace(F.coalesce(c, F.lit("")), F.lit("﻿"), F.lit(""))
-    return one_line(_drop(_drop(_drop(c, URL, " "), EMAIL, " "), TATWEEL))
+    return one_line(F.replace(_without_links(c), F.lit(TATWEEL), F.lit("")))
 
 
 def dedupe_key(c: Column) -> Column:
-    """clean(), then ASCII digits, no diacritics, plain letters, other signs as spaces, lower case."""
-    c = F.translate(_drop(F.translate(clean(c), *DIGITS), DIACRITICS), *LETTERS)
-    return F.lower(one_line(_drop(c, rf"[^{WORD}\x{{0600}}-\x{{06FF}}]+", " ")))
+    """clean(), then ASCII digits, no diacritics, plain letters, other signs (white space is one) as spaces, lower case."""
+    c = F.replace(F.coalesce(c, F.lit("")), F.lit("﻿"), F.lit(""))
+    c = _replaced(_without_links(c), c, DIGITS, LETTERS)
+    return F.lower(F.trim(_drop(c, _SIGNS, " ")))
+
+
+def _plain(c: Column) -> Column:
+    """No addresses, ASCII digits, no tatweel and diacritics, plain letters and punctuation."""
+    return _replaced(_without_links(c), c, DIGITS, LETTERS, PUNCTUATION)
+
+
+def _once(c: Column) -> Column:
+    """No repeated punctuation."""
+    return _drop(c, rf"([{REPEATABLE}])\1+", "$1")
 
 
 def matching_form(c: Column) -> Column:
     """No addresses, ASCII digits, no tatweel and diacritics, plain letters and punctuation, no repeated punctuation, one line, lower case."""
-    c = _drop(_drop(F.coalesce(c, F.lit("")), URL, " "), EMAIL, " ")
-    c = _drop(_drop(F.translate(c, *DIGITS), TATWEEL), DIACRITICS)
-    c = F.translate(F.translate(c, *LETTERS), *PUNCTUATION)
-    return F.lower(one_line(_drop(c, rf"([{REPEATABLE}])\1+", "$1")))
+    return F.lower(one_line(_once(_plain(F.coalesce(c, F.lit(""))))))
 
 
 def query_form(c: Column) -> Column:
@@ -64,8 +106,8 @@ def query_form(c: Column) -> Column:
 
 def letter_form(c: Column) -> Column:
     """No tatweel and diacritics, plain letters, one line, lower case; digits, signs and addresses stay."""
-    c = _drop(_drop(F.coalesce(c, F.lit("")), TATWEEL), DIACRITICS)
-    return F.lower(one_line(F.translate(c, *LETTERS)))
+    c = F.coalesce(c, F.lit(""))
+    return F.lower(one_line(_replaced(c, c, LETTERS)))
 
 
 #: Characters that NFKC leaves alone wherever they stand: ASCII, composed Latin letters, basic Arabic letters, digits and signs.
@@ -87,29 +129,30 @@ def with_nfkc(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(nfkc(F.when(~F.coalesce(F.col(c), F.lit("")).rlike(STABLE), F.col(c))), F.col(c)) for c in columns})
 
 
-def normalization_steps(c: Column) -> Column:
-    """The names of the steps of matching_form() that change the text, in order."""
-    names, steps = [], []
-    for name, step in (
-        ("remove_urls", lambda x: _drop(x, URL, " ")),
-        ("remove_emails", lambda x: _drop(x, EMAIL, " ")),
-        ("normalize_arabic_persian_digits", lambda x: F.translate(x, *DIGITS)),
-        ("remove_tatweel", lambda x: _drop(x, TATWEEL)),
-        ("remove_diacritics", lambda x: _drop(x, DIACRITICS)),
-        ("normalize_arabic_letter_variants", lambda x: F.translate(x, *LETTERS)),
-        ("normalize_punctuation", lambda x: F.translate(x, *PUNCTUATION)),
-        ("collapse_repeated_punctuation", lambda x: _drop(x, rf"([{REPEATABLE}])\1+", "$1")),
-        ("collapse_whitespace", lambda x: _drop(x, SPACE, " ")),
-        ("trim_and_lowercase", lambda x: F.lower(F.trim(x))),
-    ):
-        names.append(name)
-        steps.append(step)
-    before, out = F.coalesce(c, F.lit("")), []
-    for name, step in zip(names, steps):
-        after = step(before)
-        out.append(F.when(after != before, F.lit(name)))
-        before = after
-    return F.array_compact(F.array(*out))
+def with_normalization_steps(df: DataFrame, column: str, norm: str, steps: str) -> DataFrame:
+    """df with the columns norm (query_form() of the column) and steps (the names of the steps of matching_form() that change the text, in order).
+
+    Each step is a column of its own, so it runs once. The replacements of single characters do not touch each other's, so each is told by whether its characters are there when the addresses are gone.
+    """
+    c = lambda name: F.col(f"_{name}")
+    df = df.withColumn("_text", F.coalesce(column, F.lit("")))
+    df = df.withColumn("_bare", _without_urls(c("text"))).withColumn("_links", _without_emails(c("bare"), c("text")))
+    df = df.withColumn("_plain", _replaced(c("links"), c("links"), DIGITS, LETTERS, PUNCTUATION)).withColumn("_once", _once(c("plain")))
+    df = df.withColumn("_spaced", _drop(c("once"), _SPACES, " ")).withColumn("_norm", F.lower(F.trim(c("spaced"))))
+    changed = {
+        "remove_urls": c("bare") != c("text"),
+        "remove_emails": c("links") != c("bare"),
+        "normalize_arabic_persian_digits": c("links").rlike(f"[{DIGITS[0]}]"),
+        "remove_tatweel": F.contains(c("links"), F.lit(TATWEEL)),
+        "remove_diacritics": c("links").rlike(DIACRITICS),
+        "normalize_arabic_letter_variants": c("links").rlike(f"[{LETTERS[0]}]"),
+        "normalize_punctuation": c("links").rlike(f"[{PUNCTUATION[0]}]"),
+        "collapse_repeated_punctuation": c("once") != c("plain"),
+        "collapse_whitespace": c("spaced") != c("once"),
+        "trim_and_lowercase": c("norm") != c("spaced"),
+    }
+    named = F.array_compact(F.array(*(F.when(is_, F.lit(name)) for name, is_ in changed.items())))
+    return df.withColumns({steps: named, norm: c("norm")}).drop(*(f"_{x}" for x in ("text", "bare", "links", "plain", "once", "spaced", "norm")))
 
 
 def fold_latin() -> tuple[str, str]:

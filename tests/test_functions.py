@@ -136,3 +136,27 @@ def test_records(spark):
     assert one(spark, rec.flag(F.col("t")), t=" Yes ") is True
     assert one(spark, rec.null_like(F.col("t")), t=" NaN ") == ""
     assert one(spark, rec.passage(F.col("t"), F.lit(""), F.lit(None).cast("string"), F.lit("b")), t=" a ") == "passage: a b"
+
+
+def test_replacements_pass_over_what_stays(spark):
+    """Single spaces are no match, characters are replaced in one pass, and the forms equal the steps one after the other."""
+    assert not one(spark, F.col("t").rlike(tx._SPACES), t="a b c") and not one(spark, F.col("t").rlike(tx._SIGNS), t="a b c")
+    drop, bits = F.regexp_replace, ["a", "É", " ", "  ", "\t", " ", "　", "\u0085", "﻿", "ـ", "ً", "أ", "٣", "؟", "،", "!", "!", "..", "a@b.c", "HTTP://x", "wWw.y", "“", "😀", "٪"]
+    rng = random.Random(3)
+    df = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randint(0, 20))),) for _ in range(2000)] + [(None,)], "t string")
+    c = F.coalesce("t", F.lit(""))
+    links = lambda c: drop(drop(c, tx.URL, " "), tx.EMAIL, " ")
+    line = lambda c: F.trim(drop(c, tx.SPACE, " "))
+    cleaned = line(drop(links(F.replace(c, F.lit("﻿"), F.lit(""))), "ـ+", ""))
+    key = F.lower(line(drop(F.translate(drop(F.translate(cleaned, *tx.DIGITS), tx.DIACRITICS, ""), *tx.LETTERS), rf"[^{tx.WORD}\x{{0600}}-\x{{06FF}}]+", " ")))
+    plain = F.translate(F.translate(drop(drop(F.translate(links(c), *tx.DIGITS), "ـ+", ""), tx.DIACRITICS, ""), *tx.LETTERS), *tx.PUNCTUATION)
+    match = F.lower(line(drop(plain, rf"([{tx.REPEATABLE}])\1+", "$1")))
+    for form, steps in ((tx.clean, cleaned), (tx.dedupe_key, key), (tx.matching_form, match)):
+        assert df.select("t", form(F.col("t")).alias("x"), steps.alias("y")).localCheckpoint().filter("NOT (x <=> y)").collect() == []
+
+
+def test_steps_run_once(spark):
+    """Each step of the normal form stands once in the plan that names them."""
+    df = tx.with_normalization_steps(spark.createDataFrame([("أ  https://a.b ؟؟",)], "t string"), "t", "norm", "steps")
+    assert df.first()["steps"] == ["remove_urls", "normalize_arabic_letter_variants", "normalize_punctuation", "collapse_repeated_punctuation", "collapse_whitespace"]
+    assert df._jdf.queryExecution().executedPlan().toString().count("translate(") == 1
