@@ -81,14 +81,16 @@ def balanced_sample(rows: DataFrame, category: str, key: str, target: int, seed:
 def detect_hints(rows: DataFrame, key: str, text: Column, dictionary: list[tuple[str, str, list[str]]]) -> DataFrame:
     """key, canonical, type, matched_variant, term: dictionary terms found on word boundaries; the longest variant of a term that occurs stands for it.
 
-    The dictionary is a fixed list, so it becomes one expression over each row instead of a join; a pattern runs only where its words are somewhere in the text.
+    The dictionary is a fixed list, so it becomes one expression over each row instead of a join; a pattern runs only where its words are somewhere in the text,
+    but not between spaces, which settles it; it looks for the words before their edges.
     """
     edge = rf"[{tx.WORD}]"
+    stands = lambda v: F.contains(text, F.lit(f" {v} ")) | (F.contains(text, F.lit(v)) & text.rlike(rf"\Q{v}\E(?!{edge})(?<!{edge}\Q{v}\E)"))
     found = []
     for place, (canonical, kind, variants) in enumerate(dictionary):
         hit = F.lit(None).cast("string")
         for v in reversed(sorted(sorted(set(variants)), key=len, reverse=True)):  # at a tie the first by name
-            hit = F.when(F.contains(text, F.lit(v)) & text.rlike(rf"(?<!{edge})\Q{v}\E(?!{edge})"), F.lit(v)).otherwise(hit)
+            hit = F.when(stands(v), F.lit(v)).otherwise(hit)
         found.append(F.struct(F.lit(place).alias("term"), F.lit(canonical).alias("canonical"), F.lit(kind).alias("type"), hit.alias("matched_variant")))
     hits = F.filter(F.array(*found), lambda h: h["matched_variant"].isNotNull())
     return rows.select(key, F.explode(hits).alias("h")).select(key, "h.term", "h.canonical", "h.type", "h.matched_variant")

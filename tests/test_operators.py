@@ -376,3 +376,21 @@ def test_merge_entities_takes_name_and_type_of_one_first_mention(spark):
     rows = [("e", 5, f"name{i:02d}", f"type{i:02d}", "high", True, "a", 1, 1, "m", 0.5, i) for i in range(40)]
     got = gr.merge_entities(spark.createDataFrame(rows[::-1], schema).repartition(8), ("record",)).first()
     assert (got["canonical_name"], got["entity_type"]) == ("name00", "type00")
+
+
+def test_holdout_check_normalises_documents_once(spark):
+    """The keys of documents are kept for the checks: what is left of the plan reads them, as hashes."""
+    from evidara import catalogue
+
+    df = catalogue.QUERIES["holdout_overlap_check"](spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df._jdf.queryExecution().toString().count("\\ufeff") <= 1 and df.count() == 3
+
+
+def test_hints_find_words_before_their_edges(spark):
+    from evidara.operators import corpus
+
+    rows = spark.createDataFrame([(1, "in"), (2, "inn bin _in in_"), (3, "binin in."), (4, "in the"), (5, "inin,in"), (6, "éin")], "k int, t string")
+    found = corpus.detect_hints(rows, "k", F.col("t"), [("p", "x", ["in", "in the"])])
+    assert {(r["k"], r["matched_variant"]) for r in found.collect()} == {(1, "in"), (3, "in"), (4, "in the"), (5, "in")}
+    assert "\\Qin\\E(?!" in found._jdf.queryExecution().toString()
