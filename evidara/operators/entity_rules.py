@@ -103,20 +103,23 @@ def resolve_by_evidence(mentions: DataFrame, records: DataFrame) -> DataFrame:
 def distinct_phrases(phrases: DataFrame, near: float = 0.78) -> DataFrame:
     """phrases (query_id, norm, entity_type, source) without those that an earlier phrase of the query holds, or that nearly equal one of the same type.
 
-    Phrases of the corrected query come first, longer ones before shorter ones. Each decision depends on what was kept, so a query's few phrases are folded in Python.
+    Phrases of the corrected query come first, longer ones before shorter ones. Each decision depends on what was kept, so a query's few phrases are folded in Python, many queries in a batch; a single phrase is not sent there.
     """
-    order = {"corrected_query": 0, "reformulated_query": 1}
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_s=rows["source"].map(order).fillna(9), _n=-rows["norm"].str.len()).sort_values(["_s", "_n", "norm"], kind="stable")
-        kept: list[tuple[str, str]] = []
-        out = []
-        for r in rows.itertuples():
-            if not r.norm or any(r.norm in k for k, _ in kept) or any(t == r.entity_type and SequenceMatcher(None, r.norm, k).ratio() >= near for k, t in kept):
-                continue
-            kept.append((r.norm, r.entity_type))
-            out.append((r.query_id, r.norm, r.entity_type, r.source))
-        return pd.DataFrame(out, columns=["query_id", "norm", "entity_type", "source"])
-
-    slim = phrases.select("query_id", "norm", "entity_type", "source")
-    return slim.groupBy("query_id").applyInPandas(fold, slim.schema)
+
+    def fold(norms: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([None if n is None else _first_places(n, k, near) for n, k in zip(norms, kinds)])
+
+    place = F.when(F.col("source") == "corrected_query", 0).when(F.col("source") == "reformulated_query", 1).otherwise(9)
+    one = F.struct(place.alias("place"), (-F.length("norm")).alias("n"), "norm", "entity_type", "source")
+    per = phrases.filter("norm <> ''").groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    several = lambda c: F.when(F.size("p") > 1, F.col(f"p.{c}"))
+    kept = F.coalesce(F.pandas_udf(fold, "array<int>")(several("norm"), several("entity_type")), F.array(F.lit(0)))
+    return per.withColumn("i", F.explode(kept)).withColumn("p", F.get("p", "i")).select("query_id", "p.norm", "p.entity_type", "p.source")
+
+
+def _first_places(norms: list[str], kinds: list[str], near: float) -> list[int]:
+    kept: list[int] = []
+    for i, (norm, kind) in enumerate(zip(norms, kinds)):
+        if not any(norm in norms[k] or (kinds[k] == kind and SequenceMatcher(None, norm, norms[k]).ratio() >= near) for k in kept):
+            kept.append(i)
+    return kept

@@ -394,3 +394,11 @@ def test_hints_find_words_before_their_edges(spark):
     found = corpus.detect_hints(rows, "k", F.col("t"), [("p", "x", ["in", "in the"])])
     assert {(r["k"], r["matched_variant"]) for r in found.collect()} == {(1, "in"), (3, "in"), (4, "in the"), (5, "in")}
     assert "\\Qin\\E(?!" in found._jdf.queryExecution().toString()
+
+
+def test_single_phrases_are_not_folded(spark):
+    """Phrases of many queries go to Python in batches, not as a group for each query; the result is that of the fold."""
+    rows = [(1, "abc", "Test", "corrected_query"), (2, "b", "Test", "reformulated_query"), (2, "bcd", "Test", "corrected_query"), (2, "bcdef", "Symptom", "reformulated_query"), (2, "bcdefg", "Symptom", "reformulated_query"), (3, "", "Test", "corrected_query"), (3, None, "Test", "x"), (4, "q", None, "x"), (4, "q", None, "y")]
+    found = er.distinct_phrases(spark.createDataFrame(rows, "query_id int, norm string, entity_type string, source string"))
+    assert sorted(tuple(r)[:2] for r in found.collect()) == [(1, "abc"), (2, "bcd"), (2, "bcdefg"), (4, "q")]
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
