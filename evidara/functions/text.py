@@ -7,10 +7,9 @@ with_nfkc() sends just the values that it may change to Python. Operators apply
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WORD = r"\p{L}\p{N}_"
@@ -116,12 +115,14 @@ STABLE = r"^[\x{0000}-\x{007F}\x{00C0}-\x{00FF}\x{060C}\x{061B}\x{061F}\x{0621}-
 
 def nfkc(c: Column) -> Column:
     """The compatibility form (Arrow UDF)."""
-    return F.pandas_udf(_nfkc, T.StringType())(c)
+    return F.arrow_udf(_nfkc, T.StringType())(c)
 
 
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
+def _nfkc(texts: pa.Array) -> pa.Array:
+    # not over an iterator: of such functions each needs a Python worker of its own in every task
+    if texts.null_count == len(texts):
+        return texts
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], texts.type)
 
 
 def with_nfkc(df: DataFrame, *columns: str) -> DataFrame:
@@ -181,16 +182,16 @@ def compact(c: Column, limit: int) -> Column:
 def mojibake(df: DataFrame, column: str) -> DataFrame:
     """UTF-8 that was read as Latin-1 read anew, where the text shows its marks and the bytes allow it."""
 
-    def repair(texts: pd.Series) -> pd.Series:
+    def repair(texts: pa.Array) -> pa.Array:
         def one(t):
-            if not isinstance(t, str):
+            if t is None:
                 return t
             try:
                 return t.encode("latin-1").decode("utf-8")
             except (UnicodeEncodeError, UnicodeDecodeError):
                 return t
 
-        return texts.map(one)
+        return pa.array(map(one, texts.to_pylist()), texts.type)
 
     marked = F.coalesce(F.col(column), F.lit("")).rlike("[ØÙ]")
-    return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, F.pandas_udf(repair, T.StringType())(F.col(column))))
+    return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, F.arrow_udf(repair, T.StringType())(F.col(column))))

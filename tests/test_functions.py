@@ -31,6 +31,13 @@ def test_nfkc_only_where_needed(spark):
     assert got == {i: unicodedata.normalize("NFKC", t) if t else t for i, t in enumerate(texts)}
 
 
+def test_nfkc_of_several_columns_in_one_worker(spark):
+    df = tx.with_nfkc(spark.createDataFrame([("ﬁ", "x²", None), (None, None, "ａ")], "a string, b string, c string"), "a", "b", "c")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1  # a second one is a second worker in every task
+    assert [tuple(r) for r in df.collect()] == [("fi", "x2", None), (None, None, "a")]
+
+
 def test_mojibake(spark):
     df = tx.mojibake(spark.createDataFrame([("سلام".encode().decode("latin-1"),), ("Ø alone €",), ("ok",)], "t string"), "t")
     assert {r[0] for r in df.collect()} == {"سلام", "Ø alone €", "ok"}
