@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from ..sources.stages import materialise
 
-#: Rows and queries of a block, about; scores held at once in a task.
-ROW_BLOCK, QUERY_BLOCK, HELD = 65536, 2048, 1 << 22
+#: Rows and queries of a block, about; numbers of its rows' vectors, so that blocks of long vectors hold fewer rows; scores held at once in a task.
+ROW_BLOCK, QUERY_BLOCK, VALUES, HELD = 65536, 2048, 1 << 21, 1 << 20
 
 
 def usable(vector: str, dimension: int) -> Column:
@@ -51,6 +51,11 @@ def best_of(rows: np.ndarray, queries: np.ndarray, k: int, finish: Callable = la
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def block_rows(dimension: int) -> int:
+    """Rows of a block of vectors of this dimension: a task's memory depends neither on it nor on the table."""
+    return max(1, min(ROW_BLOCK, VALUES // max(1, dimension)))
+
+
 def paired(rows: DataFrame, queries: DataFrame, kernel: Callable, schema: str, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """kernel(queries, rows) for each pair of a block of queries and a block of rows. Blocks go by a hash of the whole row, so a key or vector that many rows share is spread unless all columns agree."""
     r, q = (max(1, -(-df.count() // size)) for df, size in ((rows, row_block), (queries, query_block)))
@@ -85,7 +90,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, cosine_scale: bo
     carried = [c for c in vectors.columns if c != "embedding"]
     asked = queries.select("query_id", "query_vector").filter(usable("query_vector", dimension))
     schema = f"{kinds(asked, ['query_id'])}, {kinds(vectors, carried)}, score double"
-    scored = paired(vectors.filter(usable("embedding", dimension)), asked, partial(_best, k, cosine_scale, carried), schema)
+    scored = paired(vectors.filter(usable("embedding", dimension)), asked, partial(_best, k, cosine_scale, carried), schema, block_rows(dimension))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -112,7 +117,7 @@ def mean_best(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     dimension = predicted.agg(F.max(F.size("a"))).first()[0] or 0
     left = predicted.select(F.col("i").cast("string").alias("i"), "a").filter(usable("a", dimension))
     right = gold.select(F.col("j").cast("string").alias("j"), "b").filter(usable("b", dimension))
-    maxima = paired(right, left, _maxima, "own boolean, id string, m double").groupBy("own", "id").agg(F.max("m").alias("m"))
+    maxima = paired(right, left, _maxima, "own boolean, id string, m double", block_rows(dimension)).groupBy("own", "id").agg(F.max("m").alias("m"))
     p, r = (F.avg(F.when(F.col("own") == side, F.col("m"))) for side in (True, False))
     sums = maxima.agg(p.alias("p"), r.alias("q"))
     f1 = F.when(F.col("p") + F.col("q") > 0, 2 * F.col("p") * F.col("q") / (F.col("p") + F.col("q"))).otherwise(0.0)
@@ -187,13 +192,13 @@ def ranked_labels(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataF
     whole = lambda c: F.when((F.size(c) == dimension) & F.forall(c, lambda x: x.isNotNull()), F.col(c))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole("embedding").alias("embedding"), "label")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), whole("query_vector").alias("query_vector"), "label")
-    found = materialise(paired(rows, asked, partial(_ranked, k, dimension), "query_id long, vec_id long, score double, gain int, n long"))
+    found = materialise(paired(rows, asked, partial(_ranked, k, dimension), "query_id long, vec_id long, score double, gain int, n long", block_rows(dimension)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = materialise(found.filter("n < 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "gain"))
     seen = found.filter("n >= 0").groupBy("query_id").agg(F.sum("n").alias("n_relevant"), F.max(F.when(F.col("n") > 0, F.struct("score", -F.col("vec_id")))).alias("at"))
     seen = seen.join(top.filter("gain > 0").groupBy("query_id").agg(F.min("rank").alias("near")), "query_id", "left")
     far = seen.filter("near IS NULL AND n_relevant > 0").select("query_id", F.col("at.score").alias("at_score"), (-F.col("at.col2")).alias("at_id"))
-    above = paired(rows.drop("label"), asked.drop("label").join(far, "query_id"), partial(_above, dimension), "query_id long, above long").groupBy("query_id").agg(F.sum("above").alias("above"))
+    above = paired(rows.drop("label"), asked.drop("label").join(far, "query_id"), partial(_above, dimension), "query_id long, above long", block_rows(dimension)).groupBy("query_id").agg(F.sum("above").alias("above"))
     relevant = seen.join(above, "query_id", "left")
     first = F.when(F.col("n_relevant") > 0, F.coalesce("near", F.col("above") + 1))
     return top, relevant.select("query_id", "n_relevant", first.alias("first"), F.array_repeat(F.lit(1), F.least(F.lit(k), F.col("n_relevant")).cast("int")).alias("ideal"))

@@ -38,7 +38,10 @@ class Model(NamedTuple):
         return at, np.stack([nearest(rest[:, g], c) for g, c in enumerate(self.codes)], 1).astype(np.uint8)
 
     def decode(self, at: np.ndarray, code: np.ndarray) -> np.ndarray:
-        return self.cells[at] + np.concatenate([c[code[:, g]] for g, c in enumerate(self.codes)], 1)
+        out, width = self.cells[at], self.codes.shape[2]
+        for g, c in enumerate(self.codes):
+            out[:, g * width : (g + 1) * width] += c[code[:, g]]
+        return out
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -142,8 +145,8 @@ def _ranks(model: Model, asked: np.ndarray, bars: np.ndarray, batches):
     for batch in batches:
         if batch.num_rows:
             x = model.decode(batch.column("cell").to_numpy(), _codes(batch.column("code")))
-            for at in range(0, len(x), HELD // len(asked)):
-                scores = np.sort(x[at : at + HELD // len(asked)] @ asked.T, 0)
+            for at in range(0, len(x), max(1, HELD // len(asked))):
+                scores = np.sort(x[at : at + max(1, HELD // len(asked))] @ asked.T, 0)
                 count += np.stack([len(scores) - np.searchsorted(scores[:, q], bars[q], "right") for q in range(len(asked))])
     yield pa.RecordBatch.from_pydict({"counts": [count.tobytes()]})
 

@@ -108,3 +108,14 @@ def test_ranked_labels_equal_the_plain_ranking(spark, monkeypatch, tmp_path):
     v.write.parquet(f"{tmp_path}/embeddings.parquet")
     plan = catalogue.QUERIES["recall_mrr_ndcg"](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "zip_with" not in plan
+
+
+def test_blocks_of_long_vectors_hold_fewer_rows(spark, monkeypatch):
+    assert all(blocks.block_rows(d) * d <= blocks.VALUES for d in (64, 256, 768))
+    v = spark.range(400).selectExpr("id AS vec_id", "transform(sequence(1, 256), i -> sin(id * i)) AS embedding")
+    q = v.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    whole = {tuple(r) for r in blocks.exact_top_k(v, q, 5).collect()}
+    sizes, paired = [], blocks.paired
+    monkeypatch.setattr(blocks, "VALUES", 256 * 50)
+    monkeypatch.setattr(blocks, "paired", lambda *a: sizes.append(a[4]) or paired(*a))
+    assert {tuple(r) for r in blocks.exact_top_k(v, q, 5).collect()} == whole and sizes == [50]
