@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -26,6 +28,8 @@ from ..sources.stages import materialise
 Provider = Callable[[list[str]], list[str]]
 #: An encoder takes texts and gives unit vectors, one each.
 Encoder = Callable[[list[str]], np.ndarray]
+#: Texts that an encoder gets at once, at most.
+ENCODED = 2048
 INSUFFICIENT = "The retrieved evidence is not enough for an answer."
 UNAVAILABLE = "No answer was made: the generation service failed although evidence was found."
 INCOMPLETE = "The answer is limited to the retrieved evidence, which does not cover the rest of the question."
@@ -119,13 +123,17 @@ def hashing_encoder(texts: list[str], dimension: int = 256) -> np.ndarray:
 
 
 def encode(df: DataFrame, text: str, encoder: Encoder, column: str = "embedding") -> DataFrame:
-    """df with the encoder's vector of each text. Write the result before using it twice."""
+    """df with the encoder's vector of each text, ENCODED texts at a time. Write the result before using it twice."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(**{column: [v.tolist() for v in encoder(batch[text].fillna("").tolist())] if len(batch) else []})
+            for at in range(0, batch.num_rows, ENCODED):
+                part = batch.slice(at, ENCODED)
+                vectors = np.ascontiguousarray(encoder(pc.fill_null(part.column(text), "").to_pylist()), np.float64)
+                ends = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, vectors.ravel())], [*part.schema.names, column])
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))]))
 
 
 def ask(df: DataFrame, provider: Provider, prompt: str = "prompt", reply: str = "reply") -> DataFrame:

@@ -225,3 +225,15 @@ def test_misspelt_names_count(spark):
 def test_encoder_gives_unit_vectors():
     v = aw.hashing_encoder(["a b c", "", "a b c"])
     assert np.allclose(np.linalg.norm(v, axis=1), [1, 0, 1]) and np.allclose(v[0], v[2])
+
+
+def test_encoder_gets_few_texts_at_once(spark, monkeypatch):
+    monkeypatch.setattr(aw, "ENCODED", 3)
+    df = spark.range(20, numPartitions=1).selectExpr("id", "CASE WHEN id % 7 <> 0 THEN concat('t', id) END AS t")
+
+    def encoder(texts):
+        assert len(texts) <= 3 and None not in texts
+        return np.array([[len(t), len(texts)] for t in texts], np.float32)
+
+    got = aw.encode(df, "t", encoder).collect()
+    assert [r["embedding"][0] for r in got] == [0 if i % 7 == 0 else len(f"t{i}") for i in range(20)] and got[0]["t"] is None
