@@ -62,7 +62,7 @@ class Lattice:
         weight = alpha * (-np.log(2.0 - scores) if ranks else scores)
         self.byte_weight = float(weight.min(initial=0.0))
         self.bytes = {m.id_to_piece(i): i for i in range(n) if m.is_byte(i)}
-        self.unknown = m.unk_id()
+        self.unknown, self.spelt = m.unk_id(), {}
         spelt = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).encode() for i in range(n)]
         self.text = np.frombuffer(b"".join(spelt), np.uint8)
         self.text_size = np.array([len(x) for x in spelt])
@@ -117,7 +117,10 @@ class Lattice:
 
     def fallback(self, cp: int) -> list[int]:
         """The pieces of a character's bytes."""
-        return [self.bytes.get(f"<0x{b:02X}>", self.unknown) for b in chr(cp).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+        found = self.spelt.get(cp)
+        if found is None:
+            found = self.spelt[cp] = [self.bytes.get(f"<0x{b:02X}>", self.unknown) for b in chr(cp).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -242,6 +245,20 @@ def _uniform(key: np.ndarray, sample: int, place: np.ndarray | int, step: int =
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+_FULL = (1 << 64) - 1
+
+
+def _one(key: int, sample: int, place: int, step: int = 0) -> float:
+    """_uniform() of one key, in plain numbers: an array for each number of a text takes many times as long."""
+    x = (key + (((place << 24) + (sample << 58) + step) & _FULL) * 0x9E3779B97F4A7C15) & _FULL
+    x ^= x >> 30
+    x = (x * 0xBF58476D1CE4E5B9) & _FULL
+    x ^= x >> 27
+    x = (x * 0x94D049BB133111EB) & _FULL
+    x ^= x >> 31
+    return ((x >> 11) + 0.5) * 2.0**-53
+
+
 def _paths(parts: Parts, state: np.ndarray, key: np.ndarray, sample: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Arcs from each state (of part number place of its text) to its part's end: arcs in the order of the states, and how many each has."""
     count = np.zeros(len(state), np.int64)
@@ -301,14 +318,15 @@ def sample_texts(texts: list[str | None], keys: list[int | None], path: str, k:
     out: list[list] = [[] for _ in texts]
     regions: list[list[tuple]] = [[] for _ in texts]  # (maximum, sample it parts from, arc it parts at, arcs that are out)
     active = np.flatnonzero(sizes > 0)
+    highest, number = -np.log(-np.log(_uniform(own_key, 63, 0))), own_key.tolist()
     for d in np.flatnonzero(sizes == 0):
-        out[d].append((np.zeros(0, np.int64), 0.0, float(-np.log(-np.log(_uniform(own_key[d : d + 1], 63, 0)))[0]), []))
+        out[d].append((np.zeros(0, np.int64), 0.0, float(highest[d]), []))
     paths: list[list[np.ndarray]] = [[] for _ in texts]
     for r in range(k):
         state_of, place_of, doc_of, plans = [], [], [], []
         for d in active.tolist():
             if r == 0:
-                plans.append((d, None, float(-np.log(-np.log(_uniform(own_key[d : d + 1], 63, 0)))[0])))
+                plans.append((d, None, float(highest[d])))
                 state_of.append(parts.first[code[first[d] : first[d] + sizes[d]]])
                 place_of.append(np.arange(sizes[d]))
             else:
@@ -321,7 +339,7 @@ def sample_texts(texts: list[str | None], keys: list[int | None], path: str, k:
                 arcs = np.arange(parts.ptr[state], parts.ptr[state + 1])
                 left = _without(arcs, gone)
                 p = np.cumsum(np.exp(parts.logp[left] - parts.logp[left].max()))
-                u = float(_uniform(own_key[d : d + 1], r + 16, j)[0])
+                u = _one(number[d], r + 16, j)
                 arc = int(left[min(int(np.searchsorted(p, u * p[-1], side="right")), len(left) - 1)])
                 part = int((parts.next[path[:j]] < 0).sum())
                 rest = parts.first[code[first[d] + part + 1 : first[d] + sizes[d]]]
@@ -350,7 +368,7 @@ def sample_texts(texts: list[str | None], keys: list[int | None], path: str, k:
             owner.append(d)
             limit.append(value)
         whose, lead_, limit_ = own_key[np.array(owner)], np.array(lead), np.array(limit)
-        wanted = k - r + 1
+        wanted = k - r  # one for each sample still to come, and one for the threshold
 
         def maxima(which: np.ndarray, reach: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             """For the paths which: path, place and low (minus the logarithm of what the noise adds to exp(-limit)) of the wanted highest regions, highest first, among the places down to _FAR of
@@ -396,7 +414,7 @@ def sample_texts(texts: list[str | None], keys: list[int | None], path: str, k:
                 left = _without(arcs_, gone)
                 if len(left):
                     mass_ = float(parts.logp[begin[0]].sum()) + float(np.log(np.exp(parts.logp[left]).sum()))
-                    e = -math.log(float(_uniform(own_key[d : d + 1], r + 48, begin[2])[0]))
+                    e = -math.log(_one(number[d], r + 48, begin[2]))
                     if mass_ > -700:
                         regions[d].append((-math.log(math.exp(-value_) + e * math.exp(-mass_)), len(paths[d]) - 1, begin[2], gone))
             p = float(parts.logp[whole[w]].sum())

@@ -303,3 +303,13 @@ def test_few_word_shards_stay_mapped(spark, monkeypatch):
     words = ngram_lm.Words(model)
     ids, counts = words.ids(hashes)
     assert len(words.held) <= 2 and (ids[:-3] >= 0).all() and ids[-3:].tolist() == [-1, -1, ids[-1]] and counts.max() > 1
+
+
+def test_one_noise_number_equals_the_array_s():
+    import numpy as np
+
+    from evidara.llm import piece_sampling as ps
+
+    keys = np.array([0, 1, (1 << 64) - 1, 1 << 63, 12345678901234567890], np.uint64)
+    for sample, place, step in ((0, 0, 0), (63, 0, 0), (50, 1 << 20, 3), (17, (1 << 40) - 1, 0)):
+        assert [ps._one(k, sample, place, step) for k in keys.tolist()] == ps._uniform(keys, sample, place, step).tolist()
