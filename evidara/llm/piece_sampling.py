@@ -8,8 +8,7 @@ of the perturbed values in each, drawn when the region comes about: it takes the
 from it. The region that would come next gives the threshold t, and exp(-exp(log p - t)) the chance that a path stays out: its inclusion score.
 
 Texts fall apart where no piece can cross (mostly at words), so arcs and masses are worked out once for each distinct part of a batch, and all texts of a batch are sampled together.
-Regions whose mass lies so far below the others that the least possible noise cannot bring them among those wanted are passed over (_FAR); where too few others are left, all are looked at down to a log-mass of -700,
-below which doubles end.
+Places of a path are looked at from its begin on, until the least possible noise (_LEAST) cannot bring a later region among those wanted, or down to a log-mass of -700, below which doubles end.
 Noise comes from a hash of (seed, row key, sample, part, step), so a row's samples depend on nothing else.
 
 Defined cases: null and empty texts have one segmentation, the empty one; texts with fewer than k segmentations give all they have, with inclusion 1; characters without
@@ -20,14 +19,14 @@ columns are not read.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import slices
@@ -39,12 +38,12 @@ SEED = 3
 #: Bytes of text sampled together: the arcs of their distinct parts and all paths take some 60 times as much.
 SLICE = 2 << 20
 _CP = 21
-#: A region this far (log-mass) down is looked at only if one of those wanted needs noise beyond _LEAST: the uniform numbers' steps of 2**-53 bound the noise.
-_FAR, _LEAST = -60.0, -37.5
+#: The uniform numbers' steps of 2**-53 bound the noise: no region comes more than this over its log-mass. None is looked at below _END.
+_LEAST, _END = -37.5, -700.0
 #: Characters of parts whose masses are summed as they are, and the exponent of their scale: 52 * 12 lies within a double's 700.
 SHORT, RISE = 52, 12.0
-#: Arcs at the begin of a path among which regions are looked for first.
-_HEAD = 256
+#: Arcs at the begin of a path among which regions are looked for first, and numbers of a matrix of paths by places.
+_HEAD, _CELLS = 384, 1 << 18
 
 
 class Lattice:
@@ -64,12 +63,12 @@ class Lattice:
         self.bytes = {m.id_to_piece(i): i for i in range(n) if m.is_byte(i)}
         self.unknown, self.spelt = m.unk_id(), {}
         spelt = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).encode() for i in range(n)]
-        self.text = np.frombuffer(b"".join(spelt), np.uint8)
-        self.text_size = np.array([len(x) for x in spelt])
-        self.text_at = np.cumsum(self.text_size) - self.text_size
+        self.text = pa.array(spelt, pa.large_binary())
+        self.weight_of = np.zeros(n)
+        self.weight_of[plain] = weight
         # trie
         node: dict[tuple[int, int], int] = {}
-        count, at, value = 1, [-1], [0.0]
+        count, at, value, depth = 1, [-1], [0.0], [0]
         for piece, i, w in zip(pieces, plain, weight):
             here = 0
             for c in piece:
@@ -78,6 +77,7 @@ class Lattice:
                     there = node[here, ord(c)] = count
                     at.append(-1)
                     value.append(0.0)
+                    depth.append(depth[here] + 1)
                     count += 1
                 here = there
             at[here], value[here] = i, w
@@ -88,12 +88,16 @@ class Lattice:
             while self.keys[at_] >= 0:
                 at_ = (at_ + 1) & ((1 << self.bits) - 1)
             self.keys[at_], self.child[at_] = (a << _CP) | c, b
+        self.root = np.zeros(0x110000, np.int32)
+        self.root[[c for a, c in node if a == 0]] = [b for (a, _), b in node.items() if a == 0]
         self.piece, self.weight = np.array(at, np.int32), np.array(value)
+        with np.errstate(over="ignore"):
+            self.raised = np.exp(self.weight + RISE * np.array(depth))  # pieces longer than SHORT may be too much for a double, and stand in no short part
         # a text may be cut before a word mark, and around line breaks and tabs, if no piece crosses there
         inside = {c for p in pieces for c in p if len(p) > 1}
-        signs = "".join(c for c in "\n\t\r" if c not in inside)
-        inner = any("▁" in p[1:] for p in pieces)
-        self.parts = re.compile("(?s).+") if inner else re.compile(f"▁[^▁{signs}]*|[{signs}]|[^▁{signs}]+" if signs else "▁[^▁]*|[^▁]+")
+        self.signs = np.zeros(256, bool)
+        self.signs[[ord(c) for c in "\n\t\r" if c not in inside]] = True
+        self.whole = any("▁" in p[1:] for p in pieces)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -115,6 +119,25 @@ class Lattice:
             who = who[~same & (held >= 0)]
         return out
 
+    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The parts of normalised texts: how many each text has, the number of each part's kind, and the kinds by number."""
+        own = [t.encode() for t in texts]
+        data, end = b"".join(own), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        raw, begins = np.frombuffer(data, np.uint8), np.zeros(len(data) + 1, bool)
+        begins[0] = True
+        begins[end] = True
+        if not self.whole and len(raw):
+            mark = np.frombuffer("▁".encode(), np.uint8)
+            at = np.flatnonzero(raw[: len(raw) - 2] == mark[0])
+            begins[at[(raw[at + 1] == mark[1]) & (raw[at + 2] == mark[2])]] = True
+            at = np.flatnonzero(self.signs[raw])
+            begins[at] = True
+            begins[at + 1] = True
+        begins[-1] = True
+        edge = np.flatnonzero(begins)
+        parts = pa.LargeStringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge), pa.py_buffer(data)).dictionary_encode()
+        return np.diff(np.searchsorted(edge, end), prepend=0), parts.indices.to_numpy().astype(np.int64), parts.dictionary
+
     def fallback(self, cp: int) -> list[int]:
         """The pieces of a character's bytes."""
         found = self.spelt.get(cp)
@@ -131,16 +154,18 @@ def lattice(path: str, alpha: float) -> Lattice:
 class Parts:
     """Arcs of the lattices of distinct parts. A state is a place in the joined parts; arcs of a state stand together."""
 
-    def __init__(self, model: Lattice, parts: list[str]):
-        cp = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.int32)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
+    def __init__(self, model: Lattice, parts: list[str] | pa.Array):
+        parts = pa.array(parts, pa.large_string())
+        edge = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        cp = np.frombuffer(parts.buffers()[2].to_pybytes()[edge[0] : edge[-1]].decode().encode("utf-32-le"), np.int32)
+        size = pc.utf8_length(parts).to_numpy().astype(np.int64)
         self.first = np.cumsum(size) - size
         end = np.repeat((self.first + size).astype(np.int32), size)
-        starts, ends, pieces, weights = [], [], [], []
+        starts, ends, pieces, raised = [], [], [], []
         place, node, step = np.arange(len(cp), dtype=np.int32), np.zeros(len(cp), np.int32), 0
         single = np.zeros(len(cp), bool)
         while len(place):
-            node = model.children(node, cp[place + step])
+            node = model.children(node, cp[place + step]) if step else model.root[cp]
             ok = node > 0
             place, node = place[ok], node[ok]
             step += 1
@@ -150,7 +175,7 @@ class Parts:
             starts.append(place[on])
             ends.append(place[on] + step)
             pieces.append(model.piece[node[on]])
-            weights.append(model.weight[node[on]])
+            raised.append(model.raised[node[on]])
             more = place + step < end[place]
             place, node = place[more], node[more]
         odd = np.flatnonzero(~single).astype(np.int32)
@@ -158,64 +183,73 @@ class Parts:
         ends.append(odd + 1)
         pieces.append(-1 - cp[odd])  # a character that becomes bytes
         kinds, back = np.unique(cp[odd], return_inverse=True)
-        weights.append(np.array([model.byte_weight * len(model.fallback(c)) for c in kinds.tolist()])[back] if len(odd) else np.zeros(0))
+        odd_weight = np.array([model.byte_weight * len(model.fallback(c)) for c in kinds.tolist()])
+        raised.append(np.exp(odd_weight + RISE)[back] if len(odd) else np.zeros(0))
         count = np.zeros(len(cp), np.int32)
         for own in starts:
             count[own] += 1
         self.ptr = np.concatenate([[0], np.cumsum(count)])
-        arcs = int(self.ptr[-1])
-        start, stop = np.repeat(np.arange(len(cp), dtype=np.int32), count), np.empty(arcs, np.int32)
-        self.piece, weight, free = np.empty(arcs, np.int32), np.empty(arcs), self.ptr[:-1].copy()
+        arcs, places = int(self.ptr[-1]), len(cp)
+        start, stop = np.repeat(np.arange(places, dtype=np.int32), count), np.empty(arcs, np.int32)
+        self.piece, value, free = np.empty(arcs, np.int32), np.empty(arcs), self.ptr[:-1].copy()
         # of one start the longest piece comes first: it mostly is the likeliest, so a draw ends after an arc or two
-        for own, to, what, w in zip(starts[::-1], ends[::-1], pieces[::-1], weights[::-1]):
+        for own, to, what, w in zip(starts[::-1], ends[::-1], pieces[::-1], raised[::-1]):
             at = free[own]
-            stop[at], self.piece[at], weight[at] = to, what, w
+            stop[at], self.piece[at], value[at] = to, what, w
             free[own] += 1
-        del starts, ends, pieces, weights, place, node, free
-        last = stop == end[start] if len(start) else np.zeros(0, bool)
-        left = (end[start] - start) if len(start) else start
+        del starts, ends, pieces, raised, place, node, free
+        over = end[start]
+        last, left = stop == over, over - start
+        stop[last] = places  # a place of its own after all others, where a part is done
         by = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 65536 else left, kind="stable")
-        mass, value = np.zeros(len(cp)), np.empty(arcs)
+        mass = np.zeros(places + 1)
 
-        def sums(by: np.ndarray) -> None:
-            """Masses in logarithms."""
-            value[by] = weight[by]
+        def summed(by: np.ndarray, value: np.ndarray, add) -> np.ndarray:
+            """value (of the arcs by) with what lies after the arcs, place by place from the parts' ends on; puts the places' masses in mass."""
+            s, to = start[by], stop[by]
+            head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
             for a, b in _runs(left[by]):
-                own = by[a:b]
-                s = start[own]
-                head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                v = value[own] + np.where(last[own], 0.0, mass[np.where(last[own], 0, stop[own])])
-                value[own] = v
-                top = np.maximum.reduceat(v, head)
-                mass[s[head]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(head, len(own))))), head))
+                own = head[np.searchsorted(head, a) : np.searchsorted(head, b)]
+                mass[s[own]] = add(value, to, a, b, own - a)
+            return value
+
+        def logs(value, to, a, b, head):
+            v = value[a:b]
+            v += mass[to[a:b]]
+            top = np.maximum.reduceat(v, head)
+            return top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(head, b - a)))), head))
+
+        def products(value, to, a, b, head):
+            v = value[a:b]
+            v *= mass[to[a:b]]
+            return np.add.reduceat(v, head)
 
         # parts of words' sizes: sums of paths as they are, multiplied by e to RISE for each character, which keeps them far from a double's ends
-        short = left <= SHORT if not len(left) or left.max() <= SHORT else np.repeat(size <= SHORT, size)[start]
-        own_by = by[short[by]]
-        value[own_by] = np.exp(weight[own_by] + RISE * (stop - start)[own_by])
-        for a, b in _runs(left[own_by]):
-            own = own_by[a:b]
-            s, to = start[own], np.where(last[own], 0, stop[own])
-            v = value[own] * np.where(last[own], 1.0, mass[to])
-            value[own] = v
-            head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            mass[s[head]] = np.add.reduceat(v, head)
-        per = np.repeat(mass, count)
+        short = np.ones(arcs, bool) if not len(left) or left.max() <= SHORT else np.repeat(size <= SHORT, size)[start]
+        own_by = by if short.all() else by[short[by]]
+        mass[places] = 1.0
+        value[own_by] = summed(own_by, value[own_by], products)
+        per = np.repeat(mass[:-1], count)
         plain = short & (per > 1e-280) & (per < 1e280)
         if plain.all():
             p = np.minimum(value / per, 1.0)
             self.logp = np.log(p)
         else:  # parts with a mass near a double's ends, and long ones
-            odd = np.zeros(len(cp), bool)
-            odd[start[~plain]] = True
             part = np.repeat(np.arange(len(parts)), size)
-            again = np.isin(part, np.unique(part[odd]))[start]
+            far = np.zeros(len(parts), bool)
+            far[part[start[~plain]]] = True
+            again = far[part][start]
             p = np.minimum(np.divide(value, per, out=np.ones(arcs), where=~again & (per > 0)), 1.0)
-            sums(by[again[by]])
-            self.logp = np.where(again, np.minimum(value - np.repeat(mass, count), 0.0), np.log(p))
+            own_by = by[again[by]]
+            own = self.piece[own_by]
+            weight, mass[places] = model.weight_of[np.maximum(own, 0)], 0.0
+            weight[own < 0] = odd_weight[np.searchsorted(kinds, -1 - own[own < 0])] if len(odd) else 0.0
+            value[own_by] = summed(own_by, weight, logs)
+            self.logp = np.where(again, np.minimum(value - np.repeat(mass[:-1], count), 0.0), np.log(p))
             p = np.exp(self.logp)
-        self.start, self.next = start, np.where(last, -1, stop).astype(np.int32)
-        del value, left, by, own_by, last, stop, per
+        stop[last] = -1
+        self.start, self.next = start, stop
+        del value, left, by, own_by, last, over, per
         self.edge = np.cumsum(p)
         if len(start):
             shift = np.concatenate([[0.0], self.edge])[self.ptr[:-1]]
@@ -237,20 +271,33 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
 
 
-def _uniform(key: np.ndarray, sample: int, place: np.ndarray | int, step: int = 0) -> np.ndarray:
-    """Numbers in (0, 1) by a hash of the key and the numbers."""
+_FULL = (1 << 64) - 1
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _seeds(key: np.ndarray, sample: int, place: np.ndarray | int) -> np.ndarray:
+    """What the numbers of all steps come of."""
     with np.errstate(over="ignore"):
-        n = (np.asarray(place).astype(np.uint64) << np.uint64(24)) + np.uint64((sample << 58) + step)
-        x = mix(key + n * np.uint64(0x9E3779B97F4A7C15))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        return key + ((np.asarray(place).astype(np.uint64) << np.uint64(24)) + np.uint64(sample << 58)) * np.uint64(_STEP)
 
 
-_FULL = (1 << 64) - 1
+def _drawn(seeds: np.ndarray, step: int = 0) -> np.ndarray:
+    x = mix(seeds + np.uint64((step * _STEP) & _FULL))
+    x >>= np.uint64(11)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
+
+
+def _uniform(key: np.ndarray, sample: int, place: np.ndarray | int, step: int = 0) -> np.ndarray:
+    """Numbers in (0, 1) by a hash of the key and the numbers."""
+    return _drawn(_seeds(key, sample, place), step)
 
 
 def _one(key: int, sample: int, place: int, step: int = 0) -> float:
     """_uniform() of one key, in plain numbers: an array for each number of a text takes many times as long."""
-    x = (key + (((place << 24) + (sample << 58) + step) & _FULL) * 0x9E3779B97F4A7C15) & _FULL
+    x = (key + (((place << 24) + (sample << 58) + step) & _FULL) * _STEP) & _FULL
     x ^= x >> 30
     x = (x * 0xBF58476D1CE4E5B9) & _FULL
     x ^= x >> 27
@@ -263,13 +310,14 @@ def _paths(parts: Parts, state: np.ndarray, key: np.ndarray, sample: int, place:
     """Arcs from each state (of part number place of its text) to its part's end: arcs in the order of the states, and how many each has."""
     count = np.zeros(len(state), np.int64)
     who = np.argsort(state.astype(np.int32))  # near states lie near in memory
-    now, step, taken = state[who], 0, []
+    now, seeds, step, taken = state[who], _seeds(key, sample, place)[who], 0, []
     while len(who):
-        arc = parts.choose(now, _uniform(key[who], sample, place[who], step))
+        arc = parts.choose(now, _drawn(seeds, step))
         taken.append((who, arc))
-        count[who] += 1
-        on = parts.next[arc] >= 0
-        who, now, step = who[on], parts.next[arc[on]], step + 1
+        now, step = parts.next[arc], step + 1
+        on = now >= 0
+        count[who[~on]] = step
+        who, now, seeds = who[on], now[on], seeds[on]
     offset = np.cumsum(count) - count
     arcs = np.empty(int(count.sum()), np.int32)
     for i, (w, a) in enumerate(taken):
@@ -277,22 +325,52 @@ def _paths(parts: Parts, state: np.ndarray, key: np.ndarray, sample: int, place:
     return arcs, count
 
 
-def _highest(group: np.ndarray, value: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The items of the k highest values of each group (groups stand together), with value and group, group by group and highest first."""
-    if not len(group):
-        return item, value, group
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size, left, taken = np.diff(np.append(first, len(group))), value.copy(), []
-    for _ in range(k):
-        top = np.maximum.reduceat(left, first)
-        at = np.flatnonzero(left == np.repeat(top, size))
-        at = at[np.concatenate([[True], group[at[1:]] != group[at[:-1]]])]
-        at = at[left[at] > -np.inf]
-        taken.append(at)
-        left[at] = -np.inf
-    at = np.concatenate(taken)
-    at = at[np.argsort(group[at], kind="stable")]
-    return item[at], value[at], group[at]
+def _regions(parts: Parts, paths: list[np.ndarray], lead: np.ndarray, key: np.ndarray, sample: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Path, place and low (minus the logarithm of what the noise adds to exp(-limit)) of the wanted highest regions of each path from its place lead on, highest first.
+
+    A region is all that parts from its path at one place. Its mass over an exponential number is exp(low). Paths of like length go into a matrix, with the
+    first reach places; where a later region may come before the last of those found, with four times as many.
+    """
+    size = np.fromiter(map(len, paths), np.int64, len(paths))
+    todo, reach, found = np.argsort(size, kind="stable"), _HEAD, []
+    while len(todo):
+        again, at = [], 0
+        while at < len(todo):
+            # paths go by length, so the last that fits is the widest
+            width = np.minimum(size[todo[at : at + _CELLS]], reach)
+            n = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), _CELLS, side="right")))
+            which, wide = todo[at : at + n], int(width[n - 1])
+            at += n
+            places, logp = np.arange(wide), np.zeros((n, wide))
+            logp[places < width[:n, None]] = parts.logp[np.concatenate([paths[w][:reach] for w in which.tolist()])]
+            total = np.cumsum(logp, axis=1)
+            before = np.concatenate([np.zeros((n, 1)), total[:, :-1]], axis=1)[:, :wide]
+            u = _drawn(_seeds(key[which][:, None], sample, places))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                race = np.exp(before) * np.expm1(logp) / np.log(u)
+            race[~((logp < 0) & (before > _END) & (places >= lead[which][:, None]))] = -1.0
+            rows, least = np.arange(n), np.full(n, -np.inf)
+            for i in range(min(wanted, wide)):
+                best = race.argmax(axis=1)
+                ok = np.flatnonzero(race[rows, best] >= 0)
+                best = best[ok]
+                with np.errstate(divide="ignore"):
+                    low = before[ok, best] + np.log(-np.expm1(logp[ok, best])) - np.log(-np.log(u[ok, best]))
+                race[ok, best] = -1.0
+                found.append((which[ok], best, low))
+                if i == wanted - 1:
+                    least[ok] = low
+            sure = (size[which] <= reach) | (total[:, -1] <= np.maximum(least + _LEAST, _END))
+            again.append(which[~sure])
+        left = np.concatenate(again)
+        if len(left):
+            out = np.zeros(len(paths), bool)
+            out[left] = True
+            found = [tuple(x[~out[f[0]]] for x in f) for f in found]
+        todo, reach = left, 4 * reach
+    path, place, low = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((-low, path))
+    return path[by], place[by], low[by]
 
 
 def _without(arcs: np.ndarray, gone: list[int]) -> np.ndarray:
@@ -306,13 +384,8 @@ def sample_texts(texts: list[str | None], keys: list[int | None], path: str, k:
     if not 0 < k < 15:
         raise ValueError("from 1 to 14 samples")
     model = lattice(path, alpha)
-    lists = [model.parts.findall(t) for t in (normal if normal is not None else [model.model.normalize(t) if t else "" for t in texts])]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = [p for own in lists for p in own]
-    every = np.empty(len(flat), object)
-    every[:] = flat
-    code, distinct = pd.factorize(every)
-    parts = Parts(model, distinct.tolist()) if len(distinct) else None
+    sizes, code, distinct = model.split(normal if normal is not None else [model.model.normalize(t) if t else "" for t in texts])
+    parts = Parts(model, distinct) if len(distinct) else None
     first = np.cumsum(sizes) - sizes
     own_key = mix(np.array([0 if x is None else x for x in keys], np.int64).view(np.uint64) ^ mix(np.array([seed], np.uint64)))
     out: list[list] = [[] for _ in texts]
@@ -369,37 +442,7 @@ def sample_texts(texts: list[str | None], keys: list[int | None], path: str, k:
             limit.append(value)
         whose, lead_, limit_ = own_key[np.array(owner)], np.array(lead), np.array(limit)
         wanted = k - r  # one for each sample still to come, and one for the threshold
-
-        def maxima(which: np.ndarray, reach: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            """For the paths which: path, place and low (minus the logarithm of what the noise adds to exp(-limit)) of the wanted highest regions, highest first, among the places down to _FAR of
-            the first reach arcs (None: all places); and whether others could come before the last of them."""
-            heads = [whole[w][:reach] for w in which.tolist()]
-            size = np.fromiter(map(len, heads), np.int64, len(heads))
-            of = np.repeat(np.arange(len(heads)), size)
-            logp = parts.logp[np.concatenate(heads)]
-            begin = np.cumsum(size) - size
-            total = np.cumsum(logp)
-            before = total - logp - np.repeat(np.where(begin > 0, total[begin - 1], 0.0), size)
-            place = np.arange(len(of)) - begin[of]
-            floor = _FAR if reach else -700.0
-            i = np.flatnonzero((before > floor) & (place >= lead_[which][of]) & (logp < 0))
-            mass = before[i] + np.log(-np.expm1(logp[i]))
-            low = mass - np.log(-np.log(_uniform(whose[which][of[i]], r + 32, place[i])))
-            i, low, path = _highest(of[i], low, i, wanted)
-            sure = np.ones(len(heads), bool)
-            if reach:
-                end = begin + size - 1
-                whole_seen = (np.fromiter((len(whole[w]) for w in which.tolist()), np.int64, len(heads)) <= reach) & (before[end] > _FAR)
-                deep = before[end] <= _FAR
-                sure = whole_seen | (deep & (np.bincount(path[low >= _FAR - _LEAST], minlength=len(heads)) >= wanted))
-            return which[path], place[i], low, sure
-
-        every = np.arange(len(whole))
-        path, place, low, sure = maxima(every, _HEAD)
-        if not sure.all():
-            kept = sure[path]
-            more = maxima(every[~sure], None)
-            path, place, low = (np.concatenate([x[kept], y]) for x, y in zip((path, place, low), more))
+        path, place, low = _regions(parts, whole, lead_, whose, r + 32, wanted)
         with np.errstate(over="ignore", divide="ignore"):
             value = -np.log(np.exp(-limit_[path]) + np.exp(-low))
         for w, at, v in zip(path.tolist(), place.tolist(), value.tolist()):
@@ -427,14 +470,13 @@ def sample_texts(texts: list[str | None], keys: list[int | None], path: str, k:
             ids = np.zeros(0, np.int64)
             if len(arcs_):
                 ids = parts.piece[arcs_]
-                odd = np.flatnonzero(ids < 0)
-                if len(odd):
+                odd = ids < 0
+                if odd.any():
                     spelt = [model.fallback(-1 - x) for x in ids[odd].tolist()]
                     reps = np.ones(len(ids), np.int64)
                     reps[odd] = [len(x) for x in spelt]
-                    ids = np.repeat(ids.astype(np.int64), reps)
-                    for at, x in zip((np.cumsum(reps) - reps)[odd].tolist(), spelt):
-                        ids[at : at + len(x)] = x
+                    ids = np.repeat(ids, reps)
+                    ids[np.repeat(odd, reps)] = list(chain.from_iterable(spelt))
             # log(1 - exp(-exp(p - t))), near p - t where that is small
             x = p - threshold
             rows.append((ids, p, value, 0.0 if threshold == -math.inf else x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))))
@@ -446,10 +488,7 @@ def decode(ids: np.ndarray, path: str, alpha: float = ALPHA) -> bytes:
     """The normalised text (with word marks) that the pieces spell, in UTF-8."""
     if not len(ids):
         return b""
-    model = lattice(path, alpha)
-    size = model.text_size[ids]
-    shift = model.text_at[ids] - (np.cumsum(size) - size)
-    return model.text[np.arange(int(size.sum())) + np.repeat(shift, size)].tobytes()
+    return lattice(path, alpha).text.take(pa.array(ids)).buffers()[2].to_pybytes()
 
 
 def plain_text(ids: np.ndarray, path: str, alpha: float = ALPHA) -> str:

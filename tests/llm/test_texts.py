@@ -313,3 +313,62 @@ def test_one_noise_number_equals_the_array_s():
     keys = np.array([0, 1, (1 << 64) - 1, 1 << 63, 12345678901234567890], np.uint64)
     for sample, place, step in ((0, 0, 0), (63, 0, 0), (50, 1 << 20, 3), (17, (1 << 40) - 1, 0)):
         assert [ps._one(k, sample, place, step) for k in keys.tolist()] == ps._uniform(keys, sample, place, step).tolist()
+
+
+def _text(n):
+    return " ".join(sentence(i, 12) for i in range(n))
+
+
+def test_regions_are_looked_for_only_where_one_may_be_wanted(monkeypatch):
+    """A long text's samples need noise for its own draws and for the places near the begin, not for all places again."""
+    path, drawn = tokenizer_path(PIECE_MODEL), []
+    ps.lattice(path, ps.ALPHA)
+    plain = ps.mix
+    monkeypatch.setattr(ps, "mix", lambda x: (drawn.append(x.size), plain(x))[1])
+    got = ps.sample_texts(["the and of to in " * 2000], [7], path, 3)[0]
+    pieces = [len(s[0]) for s in got]
+    assert min(pieces) > 8000 and sum(drawn) < sum(pieces) + 2000
+
+
+def test_samples_of_a_text_do_not_change_in_company():
+    path = tokenizer_path(PIECE_MODEL)
+    texts = [_text(30), "an ab", _text(3), "", "日本語" * 40 + "\n\tx", _text(90)]
+    alone = [ps.sample_texts([t], [i], path, 3)[0] for i, t in enumerate(texts)]
+    for got, own in zip(ps.sample_texts(texts, list(range(len(texts))), path, 3), alone):
+        assert [(s[0].tolist(), *s[1:]) for s in got] == [(s[0].tolist(), *s[1:]) for s in own]
+
+
+def test_highest_regions_equal_those_of_all_places(monkeypatch):
+    model = ps.lattice(tokenizer_path(PIECE_MODEL), ps.ALPHA)
+    rng = np.random.default_rng(5)
+
+    class Arcs:
+        logp = np.concatenate([[0.0], -rng.random(400) ** 6, [-40.0, -1e-12]])
+
+    assert model.root[ord("a")] == model.children(np.zeros(1, np.int32), np.array([ord("a")]))[0]
+    paths = [rng.integers(0, 403, n).astype(np.int32) for n in (1, 2, 3, 900, 40, 40, 3000, 7)] + [np.zeros(5, np.int32), np.full(60, 402, np.int32)]
+    lead, key = np.array([0, 1, 3, 700, 0, 39, 10, 2, 0, 0]), ps.mix(np.arange(10, dtype=np.uint64))
+    wanted = []
+    for w, own in enumerate(paths):
+        logp = Arcs.logp[own]
+        before = np.cumsum(logp) - logp
+        at = np.flatnonzero((logp < 0) & (before > -700) & (np.arange(len(own)) >= lead[w]))
+        low = before[at] + np.log(-np.expm1(logp[at])) - np.log(-np.log(ps._uniform(key[w], 33, at)))
+        wanted += [(w, int(at[i]), low[i]) for i in np.argsort(-low)[:3]]
+    for head, cells in ((384, 1 << 18), (2, 8), (5, 1000)):
+        monkeypatch.setattr(ps, "_HEAD", head)
+        monkeypatch.setattr(ps, "_CELLS", cells)
+        got = list(zip(*(x.tolist() for x in ps._regions(Arcs, paths, lead, key, 33, 3))))
+        assert [g[:2] for g in got] == [x[:2] for x in wanted] and np.allclose([g[2] for g in got], [x[2] for x in wanted])
+
+
+def test_texts_are_split_before_words_and_around_line_breaks():
+    import re
+
+    model = ps.lattice(tokenizer_path(PIECE_MODEL), ps.ALPHA)
+    texts = ["▁an▁ab", "", "x\n\n▁y\tz▁▁", "", "▀▁▂", "\n", "日▁本\r語", ""]
+    sizes, code, kinds = model.split(texts)
+    signs = "".join(map(chr, np.flatnonzero(model.signs)))
+    found = [re.findall(f"▁[^▁{signs}]*|[{signs}]|[^▁{signs}]+", t) for t in texts]
+    assert sizes.tolist() == [len(f) for f in found] and [kinds[c].as_py() for c in code.tolist()] == [p for f in found for p in f]
+    assert len(set(kinds.to_pylist())) == len(kinds) and [x.tolist() for x in model.split([""])[:2]] == [[0], []] and model.split([])[0].tolist() == []
