@@ -388,7 +388,7 @@ def answer_questions(
     replies = materialise(ask(prompts_of(context, facts, modes), with_retries(provider, g.max_attempts, g.retry_base_seconds, g.retry_max_seconds)))
     claims = materialise(validated_claims(replies))
     cited = claims.filter("error IS NULL").withColumn("claim_id", F.concat_ws("-", F.col("query_id").cast("string"), F.col("n").cast("string")))
-    cited = materialise(cited.join(planned.select("query_id", F.col("reformulated_query").alias("query"), "primary_intent"), "query_id"))
+    cited = materialise(cited.join(cl.query_features(planned.select("query_id", F.col("reformulated_query").alias("query"), "primary_intent")), "query_id"))
     rows = context.select(
         "query_id", F.col("display_id").alias("evidence_id"), F.col("evidence_id").alias("item"), "texts", "question_only", "answer_relevance", "entity_identity", F.col("vector").alias("vector_similarity"), F.col("intent").alias("intent_support"),
         F.col("coverage").alias("cited_coverage"), "source_reliability", "relation_ids",

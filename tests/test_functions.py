@@ -167,3 +167,9 @@ def test_steps_run_once(spark):
     df = tx.with_normalization_steps(spark.createDataFrame([("أ  https://a.b ؟؟",)], "t string"), "t", "norm", "steps")
     assert df.first()["steps"] == ["remove_urls", "normalize_arabic_letter_variants", "normalize_punctuation", "collapse_repeated_punctuation", "collapse_whitespace"]
     assert df._jdf.queryExecution().executedPlan().toString().count("translate(") == 1
+
+
+def test_tokens_need_no_single_spaces(spark):
+    odd = ["", "a  b\t\u00a0c", "wait...what!!", "؟؟نعم،،لا؛؛", "ΟΔΟΣ..ΑΣ", "x@y.zz a@@b", "www.a.b  c://d https://e..f g", "İstanbul  ÇA", "1,,2..3 ٣٫٤", "\u200e..\u0640ab\u064b\u064b", "a\u2028\u2029b", "؟", "  "]
+    df = spark.createDataFrame([(t,) for t in odd], "t string").select("t", tm.token_set(F.col("t")).alias("a"), F.array_distinct(tm.all_tokens(tx.query_form(F.col("t")))).alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect()) and df.filter("size(a) > 1").count() > 6

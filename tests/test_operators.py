@@ -402,3 +402,24 @@ def test_single_phrases_are_not_folded(spark):
     found = er.distinct_phrases(spark.createDataFrame(rows, "query_id int, norm string, entity_type string, source string"))
     assert sorted(tuple(r)[:2] for r in found.collect()) == [(1, "abc"), (2, "bcd"), (2, "bcdefg"), (4, "q")]
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_a_segment_that_is_its_whole_text_stands_once(spark):
+    df = spark.createDataFrame([(1, ["rest lowers fever", "rest lowers fever"]), (2, ["لا يفيد السكر"]), (3, ["يفيد الماء."]), (4, ["no. no"])], "id int, texts array<string>")
+    got = sorted(((r["id"], r["segment"], r["only"], r["negated"]) for r in cl.segments(df, ["id"]).collect()), key=str)
+    assert got == [(1, "rest lowers fever", None, False), (2, "لا يفيد السكر", None, True), (3, "يفيد الماء", None, False), (3, "يفيد الماء.", False, False), (4, "no. no", None, False)]
+
+
+def test_features_come_before_citations(spark):
+    """Claims may bring features worked out before they were repeated for each citation; the query for claims does that, and shuffles no pairs of claims and segments by claim alone."""
+    rows = [("a", "rest lowers fever", "fever rest"), ("b", "لا يفيد السكر ابدا", "هل يفيد السكر"), ("c", "take 3 pills daily", "how many pills")]
+    claims = spark.createDataFrame([(*r, "none", "q", e) for r in rows for e in ("E1", "E2")], "claim_id string, claim string, query string, primary_intent string, query_id string, evidence_id string")
+    evidence = spark.createDataFrame(
+        [("q", "E1", ["rest lowers fever quickly! take 3 pills"], 0.9, 0.9, 0.9, None, 1.0), ("q", "E2", ["يفيد السكر. لا يفيد السكر"], 0.5, 0.9, 0.9, 0.6, 1.0)],
+        "query_id string, evidence_id string, texts array<string>, answer_relevance double, entity_identity double, vector_similarity double, intent_support double, cited_coverage double",
+    )
+    ready = cl.query_features(cl.claim_features(claims)).drop("claim", "query")
+    got, plain = (sorted(cl.verify(c, evidence, ["query_id", "evidence_id"]).collect()) for c in (ready, claims))
+    assert got == plain and [(r["claim_id"], r["best_evidence_id"]) for r in got] == [("a", "E1"), ("b", "E2"), ("c", "E1")]
+    plan = cl.verify(ready, evidence, ["query_id", "evidence_id"])._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "claim_id" in line and "evidence_id" in line]
