@@ -44,3 +44,8 @@ def test_bidirectional_edges_of_all_pairs(spark, folder):
     assert len(_wanted()) > gr.PAIR_CAP
     rows = _check(spark, folder, "bidirectional_edges")
     assert len(rows) == 2 * len(_wanted()) == len({r["edge_id"] for r in rows})
+
+
+def test_edge_materialize_counts_all_pairs(spark, folder):
+    counts = {r["edge"]: r["n"] for r in _check(spark, folder, "edge_materialize")}
+    assert counts["MEDICAL_RELATION"] == len(_wanted())
