@@ -49,3 +49,8 @@ def test_bidirectional_edges_of_all_pairs(spark, folder):
 def test_edge_materialize_counts_all_pairs(spark, folder):
     counts = {r["edge"]: r["n"] for r in _check(spark, folder, "edge_materialize")}
     assert counts["MEDICAL_RELATION"] == len(_wanted())
+
+
+def test_relation_evidence_of_all_pairs(spark, folder):
+    rows = _check(spark, folder, "relation_evidence_top3")
+    assert len({r["relation_id"] for r in rows}) == len(_wanted()) and len(rows) == 3 * len(_wanted())
