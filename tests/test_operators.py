@@ -1,4 +1,5 @@
 import math
+import re
 import sqlite3
 
 from pyspark.sql import functions as F
@@ -370,6 +371,16 @@ def test_block_max_over_several_tiles_and_slices(spark, monkeypatch):
         assert 0 < report["read"] <= report["of"]
 
 
+def test_search_deals_out_numbers(spark):
+    """What tiles and slices are sent has no term's text and no posting as a row of its own; texts of terms do not matter to what is sent for a query."""
+    df = spark.createDataFrame([(1, "w1 w2", "w3", "a")], "qa_id long, question string, answer string, category string")
+    out = se.block_max(*se.blocked(df, "qa_id"), spark.createDataFrame([(1, "w1")], "query_id long, term string"), "qa_id", 3)
+    line = next(x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapCoGroupsInArrow" in x)
+    sent = re.findall(r"\b(\w+)#\d+", line)
+    assert "keys" in sent and "weights" in sent and "postings" not in sent
+    assert [r["qa_id"] for r in out.collect()] == [1]
+
+
 def test_merge_entities_takes_name_and_type_of_one_first_mention(spark):
     """Mentions of one ordinal: the file's first names the entity, whatever order tasks see them in."""
     schema = "entity_id string, ordinal long, canonical_name string, entity_type string, quality string, actionable boolean, alias string, chunk_id long, qa_id long, model string, confidence double, record long"
